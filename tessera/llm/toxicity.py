@@ -24,8 +24,8 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
 #: Bounds of the training sample: toxic documents (clean ones: twice as many), and characters of a document
 #: (longer documents don't teach; they are scored whole all the same).
-SAMPLE_EACH, SAMPLE_CHARS = 1000, 6_000
-MIN_DOCS, STEPS, RATE, EPSILON, SHRINK, BIAS, MAX_SENTENCES = 10, 100, 0.3, 1e-4, 4e-3, -10.0, 400
+SAMPLE_EACH, SAMPLE_CHARS = 1500, 8_000
+MIN_DOCS, STEPS, RATE, EPSILON, SHRINK, BIAS, MAX_SENTENCES = 5, 100, 0.3, 1e-4, 4e-3, -10.0, 400
 CACHE_WORDS = 200_000
 
 
