@@ -1,4 +1,4 @@
 """Registered queries of the library's own operators, and the SQL each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import graph_queries, interval_queries, path_queries  # noqa: F401  they register
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
