@@ -27,8 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    weights = toxicity.fit(docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id"))
+    weights = toxicity.fit(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
     named = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns])
     return toxicity.score(named, weights, "d_text").where(F.col("score") < TOXIC).select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
 

@@ -13,3 +13,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def ceil_div(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
+
+
+#: Hash values that a share of rows is told by.
+SHARES = 1 << 20
+
+
+def in_share(hashed: Column, share: Column | float) -> Column:
+    """True for about this share (0 to 1) of the rows, by a hash of theirs."""
+    return F.pmod(hashed, F.lit(SHARES)) < (share if isinstance(share, Column) else F.lit(float(share))) * SHARES

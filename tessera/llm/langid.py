@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_share
+
 HIDDEN, WINDOW, BATCH = 6, 128, 2048
 #: Bounds of the training sample: rows, and bytes taken of each (evenly spread windows).
 SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 2
@@ -148,14 +150,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     with no rows left the model knows no language and predicts "und".
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, WINDOW * SAMPLE_WINDOWS * 2).alias("text"))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    if not counts:
+        return {"langs": [], "weights": {}}
+    langs, each = [r["lang"] for r in counts], max(1, sample_rows // len(counts))
+    # twice the rows that are wanted of each language, one of each text; then the first by hash
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * each / r["count"]))])
+    some = rows.where(in_share(F.col("h"), F.try_element_at(share, F.col("lang")))).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(4 * sample_rows).collect()
     sample = []
     for k, name in enumerate(langs):
-        part = rows.where(F.col("lang") == name).orderBy("h", "text").limit(max(1, sample_rows // len(langs))).select("text").collect()
-        for r in part:
+        for r in [r for r in some if r["lang"] == name][:each]:
             sample += [(k, x) for x in _windows(r["text"].encode()[: WINDOW * SAMPLE_WINDOWS])]
-    if not sample:
-        return {"langs": [], "weights": {}}
     return {"langs": langs, "weights": train(np.stack([x for _, x in sample]), np.array([k for k, _ in sample]), len(langs))}
 
 

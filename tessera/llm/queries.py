@@ -113,7 +113,7 @@ from p left join a on p.host is not distinct from a.host
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    weights = toxicity.fit(docs.where(~held_out()).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"))
+    weights = toxicity.fit(docs.where(~held_out()), labels.where(~held_out()))
     out = toxicity.score(docs.select("doc_id", "text", held_out().alias("held_out")), weights).select("doc_id", "held_out", "score")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_share
+
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
 #: Bounds of the training sample: toxic documents (clean ones: twice as many), and characters of a document
@@ -82,13 +84,22 @@ def train(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
     return {"": bias} | {f: float(w[i]) for f, i in feature_id.items() if w[i]}
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", sample_each: int = SAMPLE_EACH) -> dict[str, float]:
-    """Weights from a bounded sample: at most sample_each toxic and twice as many clean documents, of at
-    most SAMPLE_CHARS characters, in the order of a hash of the text. Null texts and labels teach nothing."""
-    rows = labelled.where(F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    rows = rows.select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"), F.xxhash64(text).alias("h"))
-    sample = [r for k in (0, 1) for r in rows.where(F.col("toxic") == k).orderBy("h", "text").limit((2 - k) * sample_each).collect()]
-    return train([r["text"] for r in sample], np.array([r["toxic"] for r in sample]))
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_each: int = SAMPLE_EACH) -> dict[str, float]:
+    """Weights from a bounded sample of docs with labels (both by doc_id, and only rows that may be learned from): at most
+    sample_each toxic and twice as many clean documents, of at most SAMPLE_CHARS characters, one of each text.
+
+    The sample is drawn from labels by a hash of the id, three times what is wanted, so that the join ships only these few
+    rows, and no texts but theirs move. Null texts, ids and labels teach nothing.
+    """
+    rows = labels.select(F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
+    counts = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
+    want = {k: (2 - k) * sample_each for k in (0, 1)}
+    share = F.when(F.col("_toxic") == 1, min(1.0, 3 * want[1] / max(1, counts.get(1, 0)))).otherwise(min(1.0, 3 * want[0] / max(1, counts.get(0, 0))))
+    drawn = rows.where(in_share(F.xxhash64("_id"), share)).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))  # about 9 * sample_each rows at most
+    got = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+    got = got.groupBy(F.xxhash64("_text").alias("h")).agg(F.min("_text").alias("text"), F.max("_toxic").alias("toxic")).orderBy("h").limit(9 * sample_each).collect()
+    sample = [r for k in (0, 1) for r in [r for r in got if r["toxic"] == k][: want[k]]]
+    return train([r["text"] for r in sample], np.array([r["toxic"] for r in sample], dtype=int))
 
 
 class Scorer:
