@@ -209,20 +209,24 @@ def longest_paths(edges: DataFrame) -> DataFrame:
     return _union(found).groupBy("src", "dst").agg(F.max("length").alias("length"), F.max_by("paths", "length").alias("paths"))
 
 
-def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """Edges of an acyclic graph without a longer path between their ends. ValueError on a cycle."""
+def transitive_reduction(edges: DataFrame, acyclic: bool = False) -> DataFrame:
+    """Edges of an acyclic graph without a longer path between their ends. ValueError on a cycle; acyclic: the caller knows that there
+    is none."""
     e = materialize(edges.select("src", "dst").distinct())
-    topological_order(e)
+    if not acyclic:
+        topological_order(e)
     reach = closure(e.withColumn("label", F.lit(True)), BOOLEAN).select("src", "dst")
     longer = e.select("src", F.col("dst").alias("_m")).join(reach.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
     return edges.join(longer, ["src", "dst"], "left_anti").select(*edges.columns)
 
 
-def drop_nodes_keep_paths(edges: DataFrame, keep: DataFrame, semiring: Semiring) -> DataFrame:
+def drop_nodes_keep_paths(edges: DataFrame, keep: DataFrame, semiring: Semiring, acyclic: bool = False) -> DataFrame:
     """Remove the nodes of an acyclic graph that are not in keep(id); kept nodes are connected by the semiring sum
-    over all paths through removed nodes of the products of their labels. ValueError on a cycle."""
+    over all paths through removed nodes of the products of their labels. ValueError on a cycle; acyclic: the
+    caller knows that there is none."""
     e = materialize(build_with(edges, semiring.plus))
-    topological_order(e)
+    if not acyclic:
+        topological_order(e)
     kept = materialize(keep.select("id").distinct())
     to_kept = lambda d: d.join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "label")
     to_gone = lambda d: d.join(kept.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "label")

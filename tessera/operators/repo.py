@@ -115,8 +115,8 @@ def include_paths(resolved: DataFrame, libraries: DataFrame) -> DataFrame:
 def dependency_report(imports: DataFrame, libraries: DataFrame, library: str = "library") -> DataFrame:
     """(src, dst): imports reduced, only modules of libraries(module) kept with their paths, and reduced again."""
     first = materialize(transitive_reduction(imports.select("src", "dst")))
-    kept = drop_nodes_keep_paths(first.withColumn("label", F.lit(True)), libraries.select(F.col("module").alias("id")), BOOLEAN)
-    return transitive_reduction(materialize(kept.select("src", "dst")))
+    kept = drop_nodes_keep_paths(first.withColumn("label", F.lit(True)), libraries.select(F.col("module").alias("id")), BOOLEAN, acyclic=True)
+    return transitive_reduction(materialize(kept.select("src", "dst")), acyclic=True)
 
 
 def stale_modules(modules: DataFrame, stored: DataFrame, imports: DataFrame) -> DataFrame:

@@ -326,10 +326,10 @@ def to_integer(a: Column, how: str) -> Column:
     return F.when(~F.isnan(a) & ~is_infinite(a), f(a).cast("long"))
 
 
-@F.pandas_udf("struct<numerator:string,denominator:string,mantissa:long,exponent:long,bits:long>")
-def float_parts(a: pd.Series) -> pd.DataFrame:
-    """The exact ratio as decimal strings (NaN is 0/0, infinities are 1/0 and -1/0), the odd mantissa and exponent (0, 0 for zero; null for NaN and infinities), and
-    the bit pattern."""
+PARTS = "struct<numerator:string,denominator:string,mantissa:long,exponent:long,bits:long>"
+
+
+def _parts(a: pd.Series) -> pd.DataFrame:
     rows = []
     for x in a.astype("float64"):
         bits = int(np.float64(x).view(np.int64))
@@ -347,6 +347,17 @@ def float_parts(a: pd.Series) -> pd.DataFrame:
     return out.astype({"mantissa": "Int64", "exponent": "Int64"})
 
 
+def float_parts(a: Column) -> Column:
+    """A struct: the exact ratio as decimal strings (NaN is 0/0, infinities are 1/0 and -1/0), the odd mantissa and exponent (0, 0 for zero; null for NaN and
+    infinities), and the bit pattern."""
+
+    @F.pandas_udf(PARTS)
+    def parts(a: pd.Series) -> pd.DataFrame:
+        return _parts(a)
+
+    return parts(a)
+
+
 def encode_float(mantissa: Column, exponent: Column) -> Column:
     return mantissa.cast("double") * F.pow(F.lit(2.0), exponent.cast("double"))
 

@@ -16,7 +16,8 @@ def query(sql: str | None = None, views: str = ""):
         if sql:
             parts = [f"{v} as ({SQL[v]})" for v in views.split()]
             body = sql.strip()
-            ORACLE_SQL[f.__name__] = (f"with recursive {', '.join(parts)}" if parts else "") + ("\n" if body.startswith(",") or not parts else "\n") + body
+            head = "with recursive " if parts or body.startswith(",") else ""
+            ORACLE_SQL[f.__name__] = f"{head}{', '.join(parts)}\n{body if parts else body.lstrip(',')}"
         return f
 
     return add

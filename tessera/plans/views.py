@@ -138,7 +138,7 @@ def switches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["bills"] = """select account, cast(sum(ms) as bigint) as ms from (
-  select account, epoch_ms(lead(ts) over (partition by stream order by ts, account nulls first)) - epoch_ms(ts) as ms from switches) where account is not null and ms is not null group by account"""
+  select account, epoch_us(lead(ts) over (partition by stream order by ts, account nulls first)) // 1000 - epoch_us(ts) // 1000 as ms from switches) where account is not null and ms is not null group by account"""
 
 SQL["ticks"] = """select event_type as name, 'sum' as kind, cast(round(value * 100) as bigint) as n, user_id, event_id from events union all select event_type, 'max', cast(round(value * 100) as bigint), user_id, event_id from events"""
 
