@@ -164,8 +164,11 @@ def prefix_and_suffix_runs(df: DataFrame, group: str, seq: str, cond: Column) ->
 
 
 def align(a: DataFrame, b: DataFrame, seq: str) -> DataFrame:
-    """(pos, left, right): a and b (seq, value) paired by position, with both tails."""
-    n = lambda d, name: d.select(F.row_number().over(W.orderBy(seq)).alias("pos"), F.col("value").alias(name))
+    """(pos, left, right): a and b (distinct seq, value) paired by position, with both tails. Positions are dense ids, so no
+    task sees a whole table."""
+    from .graph import dense_ids
+
+    n = lambda d, name: d.join(dense_ids(d, seq, "_i"), seq).select((F.col("_i") + 1).alias("pos"), F.col("value").alias(name))
     return n(a, "left").join(n(b, "right"), "pos", "full")
 
 
