@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import ceil_div
 
-#: Rows of a block of candidates and of a block of queries: with 64 numbers a row, 2 MB each.
-ROWS, QUERIES = 4096, 4096
+#: Rows of a block of candidates and of a block of queries: with 64 numbers a row, 4 MB each. Every row goes to as
+#: many tasks as there are query blocks and every query to as many as there are row blocks, so larger blocks move less.
+ROWS, QUERIES = 8192, 8192
 
 
 def usable(vec: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 #: Tokens held by one packing buffer, and words remembered by a tokenizer.
-BUFFER_TOKENS, CACHE_WORDS, GROUP = 1_500_000, 600_000, 64
+BUFFER_TOKENS, CACHE_WORDS, GROUP = 1_500_000, 300_000, 64
 STEP_TOKENS = 16 * WINDOW
 OTHER_SPACE = re.compile(r"[^\S \n]")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 300_000
 
 
 # -- the model file -------------------------------------------------------------------------------
