@@ -85,13 +85,12 @@ def unbounded_member(points: DataFrame, r: DataFrame) -> DataFrame:
     return points.join(f, (F.col("grp") == F.col("_g")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")), "left_semi")
 
 
-def overlay(layers: DataFrame) -> DataFrame:
+def overlay(layers: DataFrame, width: int = 4096) -> DataFrame:
     """(grp, start, end, labels): segments of layers(grp, start, end, seq, value) split at every boundary, with the covering values,
-    the highest seq (the newest) first. Equal neighbours stay apart."""
+    the highest seq (the newest) first. Equal neighbours stay apart. width: that of overlap_join's bins."""
     r = layers.where("start < end")
     cuts = r.select("grp", F.explode(F.array("start", "end")).alias("at")).distinct()
     seg = cuts.select("grp", F.col("at").alias("start"), F.lead("at").over(_by("at")).alias("end")).where("end is not null")
-    width = 1 << 12
     cover = overlap_join(seg, r.select("grp", "start", "end", "seq", "value"), width)
     return cover.groupBy("grp", "start", "end").agg(F.transform(F.sort_array(F.collect_list(F.struct("b_seq", "b_value")), False), lambda x: x["b_value"]).alias("labels"))
 

@@ -205,7 +205,8 @@ def j12_suggest(spark, sf):
     return t.suggest(w.select(F.col("word").alias("name")), w.select(F.col("word").alias("candidate"))).where("name <> candidate")
 
 
-@query()
+@query("""with w as (select unnest(string_split(p_name, ' ')) as word from part union select event_type[2] || event_type[1] || event_type[3:] from events), o as (select event_type as option from events union select unnest(string_split(p_name, ' ')) from part),
+d as (select word, option, damerau_levenshtein(word, option) as distance from w, o) select * from d where distance <= 3 qualify distance = min(distance) over (partition by word)""")
 def j13_close_options(spark, sf):
     words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).union(table(spark, sf, "events").select(F.concat(F.substr("event_type", F.lit(2), F.lit(1)), F.substr("event_type", F.lit(1), F.lit(1)), F.substr("event_type", F.lit(3)))))
     options = table(spark, sf, "events").select(F.col("event_type").alias("option")).union(table(spark, sf, "part").select(F.explode(F.split("p_name", " "))))
