@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
 from .blocks import against_all, best, matrix, query_rows, ranked, vectors
 
 LISTS, PART = 2, 256
@@ -65,6 +66,7 @@ def top_k(df: DataFrame, k: int = 20, vec_id: str = "vec_id", vec: str = "vec",
     # at most k numbers for each block of rows
     cutoff = lists_of.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("scores")), False).alias("s"))
     cutoff = cutoff.select("query_id", F.when(F.size("s") >= k, F.element_at("s", k)).alias("cutoff"))  # fewer: no cutoff
+    cutoff = materialize(cutoff)  # else the next phase would gather the lists again
 
     def resolve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ids, x, q, of = b["vec_id"].to_numpy(), matrix(b["vec"]), matrix(a["vec"]), a["query_id"].to_numpy()
