@@ -10,6 +10,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables in the shared folder that are still there.
+_written: list[str] = []
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once for each Spark context."""
     sc = spark.sparkContext
@@ -50,13 +54,24 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    _written.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete what materialize() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _delete(df.sparkSession, path)
+        _written.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that materialize() wrote in this process: for when the results have been written or read."""
+    while _written:
+        _delete(spark, _written.pop())

@@ -297,3 +297,18 @@ def test_running_bills_over_several_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     sums = {r["account"]: r["ms"] for r in got.where("account is not null").groupBy("account").agg(F.sum("ms").alias("ms")).collect()}
     assert sums == {"a": 15, "b": 20} and got.agg(F.sum("late")).first()[0] == 1
+
+
+def test_written_rounds_are_deleted(spark, tmp_path):
+    import os
+
+    from tessera.sources import tables
+
+    folder = tables.shared_dir(spark).removeprefix("file:")
+    tables.clean(spark)
+    before = set(os.listdir(folder))
+    a, b = tables.materialize(spark.range(3)), tables.materialize(spark.range(4))
+    assert a.count() == 3 and len(set(os.listdir(folder)) - before) == 2
+    tables.release(a)
+    tables.clean(spark)
+    assert set(os.listdir(folder)) == before
