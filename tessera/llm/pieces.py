@@ -195,13 +195,15 @@ def encoder_for(model_path: str) -> Encoder:
     return Encoder(model_path)
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """docs with ids (array<int>), starts and ends (array<long>): the pieces of each whole text and the
-    bytes of the original text that each came from. Spans follow each other without gaps; the marker
+    bytes of the original text that each came from; decoded adds a column of that name, the text that the
+    ids decode to, made in the same pass. Spans follow each other without gaps; the marker
     put before a text has no bytes of its own. A null or empty text has no pieces. Columns of docs with
     these names are replaced; repeated rows are encoded alike; an empty table gives no rows."""
-    docs = docs.drop("ids", "starts", "ends", "_text")
-    schema = docs.withColumn("ids", F.lit(None).cast("array<int>")).withColumn("starts", F.lit(None).cast("array<long>")).withColumn("ends", F.lit(None).cast("array<long>")).schema
+    docs = docs.drop("ids", "starts", "ends", *["decoded"] * decoded)
+    schema = docs.withColumn("ids", F.lit(None).cast("array<int>")).withColumn("starts", F.lit(None).cast("array<long>")).withColumn("ends", F.lit(None).cast("array<long>"))
+    schema = (schema.withColumn("decoded", F.lit(None).cast("string")) if decoded else schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(model_path)
@@ -219,7 +221,11 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                 offsets = np.cumsum([0, *(len(b) // 4 for b, _ in got)]).astype(np.int32)
                 lists = [np.frombuffer(b"".join(b for b, _ in got), np.int32), np.concatenate([e[:-1] for _, e in got]), np.concatenate([e[1:] for _, e in got])]
                 arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in lists]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "ids", "starts", "ends"])
+                names = [*batch.schema.names, "ids", "starts", "ends"]
+                if decoded:
+                    arrays.append(pa.array([encoder.sp.decode(np.frombuffer(b, np.int32).tolist()) for b, _ in got], pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
 
     return docs.mapInArrow(run, schema)
 

@@ -63,9 +63,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    got = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
-    decoded = pieces.decode(F.col("ids"), model)
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    got = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
