@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import materialize, table
 from . import ann, chat, langid, linededup, packing, pieces, sharding, simhash, topk, toxicity
 from .common import held_out
 
@@ -85,7 +85,8 @@ select * from r where rank <= 20
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", linededup.host_of(F.col("url")).alias("host"), linededup.page_text(F.col("html")).alias("text"))
+    # the operator reads its rows twice; pages are parsed once
+    pages = materialize(table(spark, sf_dir, "pages").select("page_id", linededup.host_of(F.col("url")).alias("host"), linededup.page_text(F.col("html")).alias("text")))
     return linededup.drop_boilerplate(pages, "host")
 
 
