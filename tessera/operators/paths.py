@@ -145,25 +145,23 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     done = []
     live = materialize(e.where("src <> dst"))
     while not live.isEmpty():
-        core = live
-        while True:  # trim
+        core, edges_left = live, live.count()
+        while edges_left:  # trim
             ends = core.select(F.col("src").alias("id")).intersect(core.select(F.col("dst").alias("id")))
-            kept = materialize(keep_nodes(core, ends))
-            same = kept.count() == core.count()
-            core = kept
-            if same:
+            core, before = materialize(keep_nodes(core, ends)), edges_left
+            edges_left = core.count()
+            if edges_left == before:
                 break
-        if core.isEmpty():
+        if not edges_left:
             break
         colour = materialize(core.select(F.col("src").alias("id")).union(core.select(F.col("dst").alias("id"))).distinct().withColumn("c", F.col("id")))
-        while True:  # the least node that reaches each node
+        spread, was = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0], None
+        while spread != was:  # the least node that reaches each node
             step = colour.select(F.col("id").alias("src"), "c").join(core, "src").select(F.col("dst").alias("id"), "c")
             new = materialize(colour.union(step).groupBy("id").agg(F.min("c").alias("c")))
-            moved = new.exceptAll(colour).isEmpty()
             release(colour)
-            colour = new
-            if moved:
-                break
+            colour, was = new, spread
+            spread = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
         a, b = colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), colour.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
         inside = materialize(core.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst", "cs"))
         roots = colour.where("id = c").select("id")

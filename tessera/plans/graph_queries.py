@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.semiring import MAX_MIN, MIN_PLUS, POLARITY, POLARITIES
 from ..operators import graph as g
 from . import views as v
 from .base import query
 
-E = "src, dst, label"
-
-
-@query(f"select src, dst, label * 2 + src as label from main_next", "next_supp main_next")
+@query("select src, dst, label * 2 + src as label from main_next", "next_supp main_next")
 def p1_map_edges(spark, sf):
     return g.map_edges(v.main_next(spark, sf), F.col("label") * 2 + F.col("src"))
 
@@ -44,11 +40,9 @@ def p6_split_labels(spark, sf):
     return a.select(F.lit(1).alias("part"), "*").union(b.select(F.lit(2).alias("part"), "*"))
 
 
-@query("select a.src, b.dst, e.label from (select distinct src from main_next) a cross join (select distinct dst from top_next) b left join main_next e on e.src = a.src and e.dst = b.dst", "next_supp main_next top_next")
+@query("select n.dst as src, n.src as dst, e.label from next_supp n left join main_next e on e.src = n.dst and e.dst = n.src", "next_supp main_next")
 def j1_edge_lookup(spark, sf):
-    e = v.main_next(spark, sf)
-    pairs = e.select("src").distinct().crossJoin(v.top_next(spark, sf).select("dst").distinct())
-    return g.edge_lookup(pairs, e)
+    return g.edge_lookup(g.transpose(v.next_supp(spark, sf)).select("src", "dst"), v.main_next(spark, sf))
 
 
 @query("select 'from' as side, e.* from main_next e join top_next t on e.src = t.dst union all select 'to', e.* from main_next e join top_next t on e.dst = t.dst", "next_supp main_next top_next")
