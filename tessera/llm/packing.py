@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 #: Tokens held by one packing buffer, and words remembered by a tokenizer.
-BUFFER_TOKENS, CACHE_WORDS, GROUP = 1_500_000, 300_000, 64
+BUFFER_TOKENS, CACHE_WORDS, GROUP = 1_500_000, 450_000, 64
 STEP_TOKENS = 16 * WINDOW
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -72,17 +72,15 @@ class WordCachingTokenizer:
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for null."""
         split = [t.split(" ") if t and not ("  " in t or "\n " in t or " \n" in t or t[0] == " " or t[-1] == " " or OTHER_SPACE.search(t)) else None for t in texts]
-        get = self.known.get
-        got = [list(map(get, w[1:])) if w else None for w in split]
-        missing = {x for w, g in zip(split, got) if g and None in g for x, y in zip(w[1:], g) if y is None}
-        if missing:
+        firsts, tails = [w[0] if w else None for w in split], [w[1:] if w else [] for w in split]
+        words = set().union(*tails)
+        if missing := words.difference(self.known):
             if len(self.known) + len(missing) > CACHE_WORDS:
                 self.known.clear()
-                missing = {x for w in split if w for x in w[1:]}
-            self._learn(sorted(missing))
-            get = self.known.__getitem__
-            got = [list(map(get, w[1:])) if g is not None and (None in g) else g for w, g in zip(split, got)]
-        return [(_bytes(self.encode(t)) if t else b"") if w is None else _bytes(self.encode(w[0])) + b"".join(g) for t, w, g in zip(texts, split, got)]
+                missing = words
+            self._learn(list(missing))
+        get = self.known.__getitem__
+        return [(_bytes(self.encode(t)) if t else b"") if w is None else _bytes(self.encode(w)) + b"".join(map(get, tail)) for t, w, tail in zip(texts, firsts, tails)]
 
 
 @lru_cache(maxsize=1)
