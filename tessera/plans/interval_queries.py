@@ -68,16 +68,15 @@ def r1_overlay(spark, sf):
     return i.overlay(v.order_spans(spark, sf)).withColumn("labels", F.array_join("labels", "|"))
 
 
-@query('select grp, seq, value, unnest(range(start, "end")) as pos from urgent', UC)
+@query('select grp, tag, k, unnest(range(start, "end")) as pos from doc_spans', "words doc_spans")
 def r2_expand(spark, sf):
-    return i.expand(v.urgent(spark, sf))
+    return i.expand(v.doc_spans(spark, sf))
 
 
-@query(""", x as (select grp, d, max(value) as value from (select grp, value, unnest(range(start, "end")) as d from order_spans) group by grp, d)
-select grp, min(d) as start, max(d) + 1 as "end", value from (select *, d - row_number() over (partition by grp, value order by d) as k from x) group by grp, value, k""", "order_spans")
+@query(""", x as (select grp, k as d, tag as value from doc_spans)
+select grp, min(d) as start, max(d) + 1 as "end", value from (select *, d - row_number() over (partition by grp, value order by d) as r from x) group by grp, value, r""", "words doc_spans")
 def r3_coalesce(spark, sf):
-    days = i.expand(v.order_spans(spark, sf)).groupBy("grp", "pos").agg(F.max("value").alias("value"))
-    return i.coalesce_positions(days)
+    return i.coalesce_positions(v.doc_spans(spark, sf).select("grp", F.col("k").alias("pos"), F.col("tag").alias("value")))
 
 
 @query('select grp, min(start) as start, max("end") as "end" from order_spans group by grp', "order_spans")
