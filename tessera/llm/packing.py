@@ -1,11 +1,12 @@
 """Hierarchical multi-length packing of token sequences.
 
 Context sizes are tiers: 1024, 512, ... 1. Each document's ids fill whole windows of the longest
-tier; what remains is routed to the smallest tier that holds it. The longest tier packs its remainders
-one to a window and fills each window's gap with remainders of shorter tiers, the largest that fits
-first; a last small gap is closed by cutting a piece off the next shorter remainder. What is left at
-the end goes to windows of shorter tiers, whose sizes are powers of two and so need no padding.
-Sequences of a buffer are dealt to step groups of near equal token counts.
+tier; what remains is routed to the smallest tier that holds it. From the longest tier to the shortest,
+each packs its remainders one to a window and fills each window's gap with remainders of shorter tiers,
+the largest that fits first; a gap that none fits is closed by cutting a piece off the shortest
+remainder, whose end is routed anew. Only a buffer's last window can lack a filling: it is split into
+shorter tiers, so nothing is padded. Sequences of all tiers of a buffer are dealt to step groups of near
+equal token counts.
 
 Tokens are made and packed in one pass over the input partitions, in buffers of bounded size: there
 is no shuffle, and tokens never leave their task.
@@ -93,33 +94,37 @@ def plan(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
     """Sequences of (document number, start, length), each within window, over all ids of documents
     of these lengths. Every sequence is exactly a window or a smaller power of two long."""
     full: list[list[tuple[int, int, int]]] = []
-    rest: list[tuple[int, int, int]] = []  # (length, document, start), the shorter tiers' pool
+    rest: list[tuple[int, int, int]] = []  # (length, document, start): sorted, the tiers' pools in a row
     for d, n in enumerate(lengths):
         cut = n - n % window
         full += [[(d, s, window)] for s in range(0, cut, window)]
         if n > cut:
             rest.append((n - cut, d, cut))
     rest.sort()
-    while rest and sum_at_least(rest, window):
+    while rest:
         length, d, s = rest.pop()
-        seq, gap = [(d, s, length)], window - length
-        while gap:
+        tier = min(window, 1 << (length - 1).bit_length())  # the smallest that holds it
+        seq, gap = [(d, s, length)], tier - length
+        while gap and rest:
             i = bisect_right(rest, (gap, 1 << 60, 0)) - 1
-            if i >= 0:  # the largest that fits whole
+            if i >= 0:  # the largest that fits whole; gap < tier / 2, so it is of a shorter tier
                 n, d, s = rest.pop(i)
                 seq.append((d, s, n))
                 gap -= n
-            else:  # all are longer: cut the shortest
+            else:  # all are longer: cut the shortest, whose end is routed anew
                 n, d, s = rest.pop(0)
                 seq.append((d, s, gap))
                 left = (n - gap, d, s + gap)
                 rest.insert(bisect_right(rest, left), left)
                 gap = 0
-        full.append(seq)
-    # the tail: less than a window in all, in windows of the shorter tiers
-    tail = [(d, s, n) for n, d, s in reversed(rest)]
+        full += [seq] if not gap else _tail(seq, tier)
+    return full
+
+
+def _tail(pieces: list[tuple[int, int, int]], tier: int) -> list[list[tuple[int, int, int]]]:
+    """The last pieces of a buffer, less than a window of this tier, in windows of the shorter tiers."""
+    tail, out = list(pieces), []
     total = sum(n for _, _, n in tail)
-    tier = window
     while total:
         tier //= 2
         if total >= tier:
@@ -131,19 +136,9 @@ def plan(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
                 if n > take:
                     tail.insert(0, (d, s + take, n - take))
                 gap -= take
-            full.append(seq)
+            out.append(seq)
             total -= tier
-    return full
-
-
-def sum_at_least(rest: list[tuple[int, int, int]], least: int) -> bool:
-    """Do these remainders hold least ids or more? Looks at the longest first, so at few of them."""
-    total = 0
-    for n, _, _ in reversed(rest):
-        total += n
-        if total >= least:
-            return True
-    return False
+    return out
 
 
 def _emit(ids: list[int | None], tokens: list[bytes], first: int, groups: int, window: int) -> tuple[pd.DataFrame, int, int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -344,6 +344,35 @@ def test_packing_round_trip(spark):
     assert packing.pack(rows.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
 
 
+def test_packing_routes_remainders_to_their_tiers():
+    # nothing longer to fill: short documents stay whole in windows of their own tier
+    assert packing.plan([512, 512, 256, 256, 128]) == [[(1, 0, 512)], [(0, 0, 512)], [(3, 0, 256)], [(2, 0, 256)], [(4, 0, 128)]]
+    # gaps of the longer tier take the largest shorter remainders that fit
+    assert packing.plan([700, 300, 24, 500, 12]) == [[(0, 0, 700), (1, 0, 300), (2, 0, 24)], [(3, 0, 500), (4, 0, 12)]]
+    lengths = np.random.default_rng(4).lognormal(6, 1.2, 3000).astype(int) + 1
+    plan = packing.plan(lengths.tolist())
+    sizes = [sum(n for _, _, n in seq) for seq in plan]
+    assert min(Counter(sizes)[t] for t in (1024, 512)) > 50
+    for seq, size in zip(plan[:-10], sizes):
+        if size < 1024:  # led by a remainder of that very tier
+            assert size // 2 < seq[0][2] <= size
+    pieces_of = defaultdict(list)
+    for d, s, n in (x for seq in plan for x in seq):
+        pieces_of[d].append((s, n))
+    for d, want in enumerate(lengths):
+        at = 0
+        for s, n in sorted(pieces_of[d]):
+            assert s == at and n > 0
+            at += n
+        assert at == want
+    out, _, groups = packing._emit(list(range(3000)), [b"\0\0\0\0" * n for n in lengths], 0, 0, 1024)
+    seqs = out.groupby("sequence_id").first()
+    totals = seqs.groupby("step_group")["tier"].sum()
+    assert len(totals) == groups > 1 and totals.max() - totals.min() <= 1024
+    by_tier = seqs[seqs["tier"] == 512].groupby("step_group").size().reindex(range(groups), fill_value=0)
+    assert by_tier.max() - by_tier.min() <= 2
+
+
 def test_pieces(spark):
     model = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
