@@ -284,6 +284,14 @@ def test_line_dedup(spark):
     assert len(got) == len(pages) and linededup.drop_boilerplate(df.limit(0), "host").collect() == []
 
 
+def test_line_dedup_of_large_and_small_hosts(spark):
+    pages = [("big", f"own {i}" + "\nLicensed" * (i % 100 == 0) + "\nrare" * (i < 3)) for i in range(800)] + [("small", f"mine {i}\nMenu" + "\ntwice" * (i < 2)) for i in range(5)]
+    df = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(pages)], "page_id long, host string, text string")
+    got = {r["page_id"]: r["text"] for r in linededup.drop_boilerplate(df, "host").collect()}
+    assert got[100] == "own 100" and got[0] == "own 0\nrare"  # on 1 % of a large host's pages, and on 3 of 800
+    assert [got[800], got[804]] == ["mine 0\ntwice", "mine 4"]  # a host of fewer than ten pages
+
+
 # -- 5, 6 and 7 -----------------------------------------------------------------------------------
 
 
