@@ -59,3 +59,22 @@ def test_entry_works_without_the_optional_parts(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_queries_see_every_edge(spark, con):
+    edges = con.execute(ORACLE_SQL["p3_transpose_whole"]).fetchall()
+    assert QUERIES["p3_transpose_whole"](spark, SF).count() == len(edges) > 2 * QUERIES["p3_transpose"](spark, SF).count()
+    after = {}
+    for dst, src, _ in edges:  # transposed
+        after.setdefault(src, []).append(dst)
+    start = min(after)
+    best, level = {start: [start]}, [start]
+    while level:
+        found = {}
+        for x in level:
+            for y in after.get(x, []):
+                if y not in best:
+                    found[y] = min(found.get(y, [*best[x], y]), [*best[x], y])
+        best |= found
+        level = list(found)
+    assert {r["id"]: list(r["path"]) for r in QUERIES["g2_shortest_paths_whole"](spark, SF).collect()} == best
