@@ -145,22 +145,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     """A model from labelled rows: {"langs": [...], "weights": {...}}.
 
     docs holds only rows that may be learned from. A bounded sample is taken, at most sample_rows
-    rows, spread evenly over the languages, in the order of a hash of the text; of each row at most
+    different texts, spread evenly over the languages, in the order of a hash of the text; of each at most
     SAMPLE_WINDOWS windows. Rows with a null language or a text without letters teach nothing;
     with no rows left the model knows no language and predicts "und".
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, WINDOW * SAMPLE_WINDOWS * 2).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    # different texts are counted, not rows: copies share a hash and are drawn as one
+    counts = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
     if not counts:
         return {"langs": [], "weights": {}}
-    langs, each = [r["lang"] for r in counts], max(1, sample_rows // len(counts))
-    # twice the rows that are wanted of each language, one of each text; then the first by hash
+    each = max(1, sample_rows // len(counts))
+    # twice the texts that are wanted of each language; then the first by hash
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * each / r["count"]))])
     some = rows.where(in_share(F.col("h"), F.try_element_at(share, F.col("lang")))).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(4 * sample_rows).collect()
-    sample = []
-    for k, name in enumerate(langs):
-        for r in [r for r in some if r["lang"] == name][:each]:
-            sample += [(k, x) for x in _windows(r["text"].encode()[: WINDOW * SAMPLE_WINDOWS])]
+    drawn = {r["lang"]: [x["text"] for x in some if x["lang"] == r["lang"]][:each] for r in counts}
+    langs = [name for name, texts in drawn.items() if texts]  # one without a text can't be taught
+    sample = [(k, x) for k, name in enumerate(langs) for t in drawn[name] for x in _windows(t.encode()[: WINDOW * SAMPLE_WINDOWS])]
     return {"langs": langs, "weights": train(np.stack([x for _, x in sample]), np.array([k for k, _ in sample]), len(langs))}
 
 

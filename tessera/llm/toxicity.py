@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
 from .common import in_share
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -88,16 +89,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Weights from a bounded sample of docs with labels (both by doc_id, and only rows that may be learned from): at most
     sample_each toxic and twice as many clean documents, of at most SAMPLE_CHARS characters, one of each text.
 
-    The sample is drawn from labels by a hash of the id, three times what is wanted, so that the join ships only these few
-    rows, and no texts but theirs move. Null texts, ids and labels teach nothing.
+    Labelled documents are first brought to one hash for each different text; of these the sample is drawn, three times
+    what is wanted, so no texts but the sample's move. Null texts, ids and labels teach nothing.
     """
     rows = labels.select(F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
-    counts = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
+    hashed = docs.where((F.length(text) <= SAMPLE_CHARS) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h"))
+    # one row for each different text, so that copies neither count nor are drawn apart
+    texts = materialize(hashed.join(rows.groupBy("_id").agg(F.max("_toxic").alias("_toxic")), "_id").groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic")))
+    counts = {r["_toxic"]: r["count"] for r in texts.groupBy("_toxic").count().collect()}
     want = {k: (2 - k) * sample_each for k in (0, 1)}
     share = F.when(F.col("_toxic") == 1, min(1.0, 3 * want[1] / max(1, counts.get(1, 0)))).otherwise(min(1.0, 3 * want[0] / max(1, counts.get(0, 0))))
-    drawn = rows.where(in_share(F.xxhash64("_id"), share)).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))  # about 9 * sample_each rows at most
-    got = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
-    got = got.groupBy(F.xxhash64("_text").alias("h")).agg(F.min("_text").alias("text"), F.max("_toxic").alias("toxic")).orderBy("h").limit(9 * sample_each).collect()
+    drawn = texts.where(in_share(F.col("_h"), share))  # about 9 * sample_each rows at most
+    got = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id").where(F.xxhash64("_text") == F.col("_h"))
+    got = got.groupBy(F.col("_h").alias("h")).agg(F.min("_text").alias("text"), F.max("_toxic").alias("toxic")).orderBy("h").limit(9 * sample_each).collect()
     sample = [r for k in (0, 1) for r in [r for r in got if r["toxic"] == k][: want[k]]]
     return train([r["text"] for r in sample], np.array([r["toxic"] for r in sample], dtype=int))
 

@@ -274,6 +274,18 @@ def test_chat_rotation(spark):
     assert whole.startswith("<|system|>\nbe nice<|end|>\n<|assistant|>\nhi < |ann|><|end|>\n<|user name=bob|>\nyo<|end|>\n<|user name=cat|>\n<|end|>\n")
 
 
+def test_copies_do_not_crowd_out_the_samples(spark, monkeypatch):
+    monkeypatch.setattr(langid, "train", lambda windows, langs, classes: np.bincount(langs, minlength=classes))
+    texts = [(f"eigen {i}", "de") for i in range(20)] + [("kopie", "de")] * 4000 + [(f"own {i}", "en") for i in range(300)]
+    df = spark.createDataFrame([(i, t, lang, int(lang == "de")) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string, toxic int")
+    model = langid.fit(df, sample_rows=20)
+    assert sorted(model["langs"]) == ["de", "en"] and min(model["weights"]) >= 5  # windows of each language, one a text
+    got = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: got.append((texts, toxic)))
+    toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), sample_each=5)
+    assert len(set(got[0][0])) == len(got[0][0]) and (got[0][1].sum(), len(got[0][1])) == (5, 15)
+
+
 def test_line_dedup(spark):
     pages = [("h", f"Menu\nown {i}\n\nown {i}") for i in range(30)] + [("h", "copy line\nMenu")] * 30 + [(None, "Menu"), ("h", None), ("h", ""), ("g", "Menu\nx")]
     df = spark.createDataFrame([(i, h, t, "z") for i, (h, t) in enumerate(pages)], "page_id long, host string, text string, n_lines string")
