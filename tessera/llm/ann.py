@@ -8,8 +8,8 @@ time from the deepest match, each adding the rows that share the now shorter pre
 different candidates are found. Candidates are ranked by their true inner product.
 
 Vectors of unequal length are first lifted by one coordinate to the length of the longest, which turns
-the largest inner product into the smallest angle. The index is built over every row, block by block; a
-block is a forest of its own, and each query searches all blocks.
+the largest inner product into the smallest angle. The index is built over every row: a block of rows is
+a forest of its own, built once by the task that holds the block, and all queries stream past it.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import against_all, best, matrix, query_rows, ranked, vectors
+from .blocks import best, matrix, past_blocks, ranked, stored, to_every_block
 
 TREES, CHARS, DIMS, SEED = 60, 3, 64, 11
 #: Candidates to gather in a block, as a share of its rows: vectors without any cluster structure in 64
 #: dimensions need this much for a recall above 0.9.
-SHARE = 0.35
+SHARE = 0.42
 
 
 def strings(x: np.ndarray, trees: int, chars: int, seed: int = SEED) -> np.ndarray:
@@ -85,13 +85,12 @@ def search(df: DataFrame, k: int = 20, vec_id: str = "vec_id", vec: str = "embed
     vectors in double precision, ties to smaller ids.
 
     Rows whose vector is null, zero, empty, or holds null or non-finite numbers take no part, nor do
-    rows without an id or of another dimension than the longest. Repeated rows are candidates each;
-    queries with one id count once. A query has fewer than k rows only if there are no more candidates.
-    An empty table gives no rows.
+    rows without an id. A vector shorter than the longest counts as zero beyond its end. Repeated rows are
+    candidates each; queries with one id count once. A query has fewer than k rows only if there are no more
+    candidates. Other columns are not read; an empty table gives no rows.
     """
-    rows = vectors(df, vec_id, vec)
-    rows = rows.where(F.exists("vec", lambda x: x != 0))
-    longest = rows.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 1.0
+    rows = stored(df, vec_id, vec, lambda v: F.exists(v, lambda x: x != 0))
+    longest = rows.longest
 
     def lifted(x: np.ndarray, is_query: bool) -> np.ndarray:
         n = (x * x).sum(1)
@@ -99,21 +98,22 @@ def search(df: DataFrame, k: int = 20, vec_id: str = "vec_id", vec: str = "embed
         by = np.sqrt(np.maximum(n if is_query else longest, 1e-300))
         return (np.column_stack([x, more]) / np.reshape(by, (-1, 1))).astype(np.float32)
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, x, of = b["vec_id"].to_numpy(), matrix(b["vec"]), a["query_id"].to_numpy()
-        q = matrix(a["vec"])
-        forest = Forest(lifted(x, False), trees, chars)
-        least = max(8 * k, int(share * len(x)))
-        codes = _as_numbers(strings(lifted(q, True), trees, chars))
-        out = []
-        for i in range(0, len(q), 512):
-            lo, hi = forest.ranges(codes[:, i : i + 512])
-            for j in range(lo.shape[2]):
-                at = forest.candidates(lo[:, :, j], hi[:, :, j], least)
-                at = at[ids[at] != of[i + j]]
-                score = x[at] @ q[i + j]
-                top = best(score, ids[at], k)
-                out.append(pd.DataFrame({"query_id": of[i + j], "vec_id": ids[at[top]], "score": score[top]}))
-        return pd.concat(out) if out else pd.DataFrame()
-
-    return ranked(against_all(query_rows(rows, every), rows, work, "query_id long, vec_id long, score double"), k)
+    def build(b: pd.DataFrame) -> tuple:
+        x = matrix(b["vec"])
+        return b["id"].to_numpy(np.int64), x, Forest(lifted(x, False), trees, chars)
+
+    def answer(block: tuple, a: pd.DataFrame) -> pd.DataFrame:
+        ids, x, forest = block
+        q, of = matrix(a["vec"]), a["id"].to_numpy(np.int64)
+        lo, hi = forest.ranges(_as_numbers(strings(lifted(q, True), trees, chars)))
+        least, out = max(8 * k, int(share * len(x))), []
+        for j in range(len(q)):
+            at = forest.candidates(lo[:, :, j], hi[:, :, j], least)
+            at = at[ids[at] != of[j]]
+            score = x[at] @ q[j]
+            top = best(score, ids[at], k)
+            out.append((of[j], ids[at[top]], score[top]))
+        return pd.DataFrame({"query_id": np.repeat(of, [len(t) for _, t, _ in out]), "vec_id": np.concatenate([t for _, t, _ in out]), "score": np.concatenate([s for _, _, s in out])})
+
+    asked = to_every_block(rows.queries(every), rows.blocks)
+    return ranked(past_blocks(rows.table.drop("rid"), asked, rows.blocks, build, answer, "query_id long, vec_id long, score double"), k)

@@ -1,8 +1,13 @@
-"""A stated query set against all rows of a vector table, in pairs of blocks."""
+"""A stated query set against all rows of a vector table, block by block.
+
+The rows are dealt into blocks; a task reads its block once and makes what it needs of it (an index, a
+matrix) once; then the queries stream past in batches of bounded size.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,49 +15,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
 from .common import ceil_div
 
-#: Rows of a block of candidates and of a block of queries: with 64 numbers a row, 4 MB each. Every row goes to as
-#: many tasks as there are query blocks and every query to as many as there are row blocks, so larger blocks move less.
-ROWS, QUERIES = 8192, 8192
+#: Rows of a block at most: with 64 numbers a row, 8 MB. Every query goes to every block, so larger blocks move less;
+#: FEWEST rows make a block while cores are idle.
+ROWS, FEWEST = 16384, 1024
+#: Queries answered at a time.
+PART = 256
 
 
 def usable(vec: Column) -> Column:
     """Not null and without null or non-finite components."""
-    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(vec) > 0)
-
-
-def vectors(df: DataFrame, vec_id: str, vec: str) -> DataFrame:
-    """(vec_id, vec array<double>) of the usable rows, those of the longest dimension only."""
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec")).where(usable(F.col("vec")) & F.col("vec_id").isNotNull())
-    dim = rows.agg(F.max(F.size("vec"))).first()[0]
-    return rows.where(F.size("vec") == F.lit(dim))
-
-
-def query_rows(rows: DataFrame, every: int = 20) -> DataFrame:
-    """The stated query set: rows whose id is divisible by every; of rows that share an id the least."""
-    return rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
-
-
-def against_all(queries: DataFrame, rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """work(query frame, row frame) -> frame, for each pair of a query block and a row block.
-
-    queries: query_id, vec and more; rows: vec_id, vec. Block numbers are hashes of ids, as many as
-    keep a block at about ROWS or QUERIES rows; every query block goes to every row block.
-    """
-    n_rows, n_queries = ceil_div(rows.count(), ROWS), ceil_div(queries.count(), QUERIES)
-    q = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).alias("qb"), _numbers(n_rows).alias("rb"))
-    r = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).alias("rb"), _numbers(n_queries).alias("qb"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return work(a, b) if len(a) and len(b) else pd.DataFrame()
-
-    return q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInPandas(run, schema)
-
-
-def _numbers(n: int) -> Column:
-    """Every block number, 0 to n - 1."""
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+@dataclass
+class Vectors:
+    """A written table (rid, block, id, vec) of the rows that take part, all of length dim, and what is known of it."""
+
+    table: DataFrame
+    dim: int
+    blocks: int
+    #: The greatest squared length, and the greatest size of a component.
+    longest: float
+    largest: float
+
+    def queries(self, every: int) -> DataFrame:
+        """(id, vec) of the rows whose id is divisible by every; of rows that share an id the least."""
+        return materialize(self.table.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vec").alias("vec")))
+
+
+def stored(df: DataFrame, vec_id: str, vec: str, among: Callable[[Column], Column] | None = None) -> Vectors:
+    """The usable rows that have an id and satisfy among(vec). Vectors shorter than the longest count as zero beyond their end."""
+    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).where(usable(F.col("vec")) & F.col("id").isNotNull())
+    rows = rows.where(among(F.col("vec"))) if among else rows
+    squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    known = rows.agg(F.max(F.size("vec")), F.count("*"), F.max(squares), F.max(F.array_max(F.transform("vec", F.abs)))).first()
+    dim, n = known[0] or 0, known[1]
+    whole = F.when(F.size("vec") == dim, F.col("vec")).otherwise(F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("vec"))))
+    blocks = max(ceil_div(n, ROWS), min(df.sparkSession.sparkContext.defaultParallelism, ceil_div(n, FEWEST)))
+    table = materialize(rows.select(F.monotonically_increasing_id().alias("rid"), "id", whole.alias("vec")))
+    # by row, not by id: an id that very many rows share is dealt like any other
+    table = table.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
+    return Vectors(table, dim, blocks, known[2] or 1.0, known[3] or 0.0)
+
+
+def to_every_block(queries: DataFrame, blocks: int) -> DataFrame:
+    return queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
+def past_blocks(rows: DataFrame, queries: DataFrame, blocks: int, build: Callable, answer: Callable, schema: str) -> DataFrame:
+    """answer(build(rows of a block), some queries of the block) for every block; both have columns block, id and vec, and others
+    that are null on the other side. build sees a whole block (ROWS rows or somewhat more), answer at most PART queries."""
+    both = rows.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    both = both.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, index = None, [], None
+        for pdf in batches:
+            for b, part in pdf.groupby("block", sort=False):
+                if b != block:
+                    block, held, index = b, [], None
+                asks = part["asks"].to_numpy(bool)
+                if not asks.all():
+                    held.append(part[~asks])
+                if asks.any() and held:
+                    index, held = build(pd.concat(held)), []
+                if index is not None:
+                    part = part[asks]
+                    for i in range(0, len(part), PART):
+                        yield answer(index, part.iloc[i : i + PART])
+
+    return both.mapInPandas(run, schema)
 
 
 def matrix(vec: pd.Series) -> np.ndarray:

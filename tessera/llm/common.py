@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,10 +16,18 @@ def ceil_div(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-#: Hash values that a share of rows is told by.
-SHARES = 1 << 20
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores behind as keep it apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def in_share(hashed: Column, share: Column | float) -> Column:
-    """True for about this share (0 to 1) of the rows, by a hash of theirs."""
-    return F.pmod(hashed, F.lit(SHARES)) < (share if isinstance(share, Column) else F.lit(float(share))) * SHARES
+def first_of_each(texts: DataFrame, kind: str, order: str, most: int) -> DataFrame:
+    """At most most rows of each kind, the first in this order; every partition passes on no more than that of a kind."""
+    n = fresh(texts, "n")[0]
+    return texts.withColumn(n, F.row_number().over(W.partitionBy(kind).orderBy(order))).where(F.col(n) <= most).drop(n)

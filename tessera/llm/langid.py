@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_share
+from ..sources.tables import materialize
+from .common import first_of_each, fresh
 
 HIDDEN, WINDOW, BATCH = 6, 128, 2048
-#: Bounds of the training sample: rows, and bytes taken of each (evenly spread windows).
-SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 2
+#: Bounds of the training sample: rows, and windows taken of each (evenly spread over the whole text).
+SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 8
 STEPS, TRAIN_BATCH, SEED = 200, 160, 7
 UNDETERMINED = "und"
 
@@ -115,7 +116,7 @@ def train(windows: np.ndarray, langs: np.ndarray, classes: int, steps: int = STE
         w[f"o{side}"] = rng.normal(0, 0.35, (n, classes))
     w = {k: v.astype(np.float32) for k, v in w.items()}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    by_class = [np.flatnonzero(langs == k) for k in range(classes)]
+    by_class = [i for k in range(classes) if len(i := np.flatnonzero(langs == k))]
     each = max(1, TRAIN_BATCH // classes)
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(i, each) for i in by_class])
@@ -141,26 +142,37 @@ def _windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(rows * WINDOW), np.uint8).reshape(rows, WINDOW)
 
 
+def _spread(text: Column) -> Column:
+    """SAMPLE_WINDOWS windows of WINDOW characters, evenly spread from a text's first to its last character; all of a shorter text."""
+    far = F.greatest(F.length(text) - WINDOW, F.lit(0))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.floor(i * far / (SAMPLE_WINDOWS - 1)).cast("int")))
+    return F.transform(starts, lambda p: F.substr(text, p + 1, F.lit(WINDOW)))
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict:
     """A model from labelled rows: {"langs": [...], "weights": {...}}.
 
-    docs holds only rows that may be learned from. A bounded sample is taken, at most sample_rows
-    different texts, spread evenly over the languages, in the order of a hash of the text; of each at most
-    SAMPLE_WINDOWS windows. Rows with a null language or a text without letters teach nothing;
-    with no rows left the model knows no language and predicts "und".
+    docs holds only rows that may be learned from. A bounded sample teaches: of every language the same number of
+    different texts, together sample_rows (one of each language if there are more languages than that), the first in the order of a
+    hash of the text; of each text SAMPLE_WINDOWS windows, evenly spread over the whole of it, those without a letter
+    left out if others have one. Every language that has a text with a letter is learned. Rows with a null
+    language or a text without letters teach nothing; with no rows left the model knows no language and predicts "und".
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, WINDOW * SAMPLE_WINDOWS * 2).alias("text"))
-    # different texts are counted, not rows: copies share a hash and are drawn as one
-    counts = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
-    if not counts:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    texts = materialize(rows.select("lang", "h").distinct())  # copies are one text
+    n = texts.select("lang").distinct().count()
+    if not n:
         return {"langs": [], "weights": {}}
-    each = max(1, sample_rows // len(counts))
-    # twice the texts that are wanted of each language; then the first by hash
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * each / r["count"]))])
-    some = rows.where(in_share(F.col("h"), F.try_element_at(share, F.col("lang")))).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(4 * sample_rows).collect()
-    drawn = {r["lang"]: [x["text"] for x in some if x["lang"] == r["lang"]][:each] for r in counts}
-    langs = [name for name, texts in drawn.items() if texts]  # one without a text can't be taught
-    sample = [(k, x) for k, name in enumerate(langs) for t in drawn[name] for x in _windows(t.encode()[: WINDOW * SAMPLE_WINDOWS])]
+    drawn = materialize(first_of_each(texts, "lang", "h", max(1, sample_rows // n)))
+    # at most sample_rows or n rows; of the texts only the windows of those drawn move
+    some = rows.join(F.broadcast(drawn), ["lang", "h"]).select("lang", "h", _spread(F.col("text")).alias("windows"))
+    some = some.groupBy("lang", "h").agg(F.min("windows").alias("windows")).orderBy("lang", "h").collect()
+    langs = sorted({r["lang"] for r in some})
+    number = {name: k for k, name in enumerate(langs)}
+    sample = []
+    for r in some:
+        lettered = [w for w in r["windows"] if any(map(str.isalpha, w))]
+        sample += [(number[r["lang"]], _windows(w.encode()[:WINDOW])[0]) for w in lettered or r["windows"]]
     return {"langs": langs, "weights": train(np.stack([x for _, x in sample]), np.array([k for k, _ in sample]), len(langs))}
 
 
@@ -194,7 +206,7 @@ def _pooled(texts: list[bytes], model: dict) -> np.ndarray:
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (the pooled probability of lang_pred, 0 to 1).
 
-    A null text, a text without letters, and any text under a model without languages get "und"
+    Each byte of a text is labelled, in windows of WINDOW bytes. A null text, a text without letters, and any text under a model without languages get "und"
     and score 0. Columns of docs called lang_pred or score are replaced; all others stay. Every
     byte of a text is read; repeated rows are scored alike; an empty table gives no rows.
     """
@@ -219,4 +231,5 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     start, size = k + 1, 0
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return docs.withColumn("_label", label(F.col(text))).select(*docs.columns, "_label.lang_pred", "_label.score")
+    found = fresh(docs, "label")[0]
+    return docs.withColumn(found, label(F.col(text))).select(*docs.columns, f"{found}.lang_pred", f"{found}.score")

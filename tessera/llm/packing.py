@@ -14,7 +14,8 @@ is no shuffle, and tokens never leave their task.
 
 from __future__ import annotations
 
-import base64
+import json
+import os
 import re
 import sys
 import zlib
@@ -29,11 +30,14 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 WINDOW = 1024
 #: Tokens held by one packing buffer, and words remembered by a tokenizer.
 BUFFER_TOKENS, CACHE_WORDS, GROUP = 1_500_000, 450_000, 64
 STEP_TOKENS = 16 * WINDOW
+#: The pattern by which byte-level pre-tokenization splits a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -44,27 +48,49 @@ def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
 
+def _ranks(model: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level BPE model by bytes; None if its merges aren't in the order of ids."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
+    alphabet = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    vocab = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if all(c in alphabet for c in token)}
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    return vocab if merged == sorted(merged) and sum(len(t) == 1 for t in vocab) == 256 else None
+
+
 class WordCachingTokenizer:
-    """Byte-level BPE ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts, as the tokenizers library gives them for a byte-level BPE file, as little-endian unsigned
+    32-bit bytes.
 
     The split pattern never matches across a single space between two non-space characters (it only
-    ever takes the space into the match that follows it), so such words are encoded apart and
-    remembered; a text with any other white space next to a space is encoded whole. Words not
-    yet known of a group of texts are encoded in one call, and told apart by their byte counts.
+    ever takes the space into the match that follows it), and neither do special tokens, so such words are encoded
+    apart and remembered; a text with any other white space next to a space is encoded whole. Words not yet known
+    of a group of texts are encoded in one call of a faster library that is given the file's vocabulary, and told apart by their byte
+    counts; words and texts with special tokens go through tokenizers.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"), "use_regex": True}
+        plain = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
+        ranks = _ranks(spec["model"]) if plain else None
+        if ranks is None:
+            raise ValueError("not a plain byte-level BPE file")
+        self.quick = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.size[i] = len(token)
         self.known: dict[str, bytes] = {}
 
+    def encode(self, text: str) -> bytes:
+        return _bytes(self.library.encode(text, add_special_tokens=False).ids if self.special.search(text) else self.quick(text))
+
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of these words, each after a space."""
-        ids = np.array(self.encode(" " + " ".join(words)), "<u4")
+        ids = np.array(self.quick(" " + " ".join(words)), "<u4")
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
         cuts = [0, *(np.searchsorted(np.cumsum(self.size[ids]), ends) + 1).tolist()]
         blob = ids.tobytes()
@@ -79,15 +105,18 @@ class WordCachingTokenizer:
             if len(self.known) + len(missing) > CACHE_WORDS:
                 self.known.clear()
                 missing = words
-            self._learn(list(missing))
+            marked = set(filter(self.special.search, missing))
+            if missing - marked:
+                self._learn(list(missing - marked))
+            self.known.update((w, self.encode(" " + w)) for w in marked)
         get = self.known.__getitem__
-        return [(_bytes(self.encode(t)) if t else b"") if w is None else _bytes(self.encode(w)) + b"".join(map(get, tail)) for t, w, tail in zip(texts, firsts, tails)]
+        return [(self.encode(t) if t else b"") if w is None else self.encode(w) + b"".join(map(get, tail)) for t, w, tail in zip(texts, firsts, tails)]
 
 
 @lru_cache(maxsize=1)
-def tokenizer_for(ranks_path: str, pattern: str) -> WordCachingTokenizer:
+def tokenizer_for(path: str) -> WordCachingTokenizer:
     """One for each Python worker, so that what it remembers serves all of the worker's tasks."""
-    return WordCachingTokenizer(ranks_path, pattern)
+    return WordCachingTokenizer(path)
 
 
 def plan(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -161,18 +190,19 @@ def _emit(ids: list[int | None], tokens: list[bytes], first: int, groups: int, w
     return out, first + len(sequences), groups + n_groups
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 0) -> DataFrame:
     """One row for each piece: doc_id, start (the document's ids before it), length, ids_crc32 (of its
     ids as little-endian unsigned 32-bit numbers), doc_tokens, sequence_id, offset (in its sequence),
     tier (the sequence's size, a power of two) and step_group.
 
-    A document's ids are its text's, then end_id. A null or empty text has end_id alone; a null id and
+    A document's ids are those that the tokenizers library gives its text by the file tokenizer_path, special tokens in the
+    text included, then end_id. A null or empty text has end_id alone; a null id and
     repeated rows are packed like others; an empty table gives no rows. Sequence and group numbers
     are unique, in blocks by input partition. Only the two columns named are read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = tokenizer_for(ranks_path, pattern)
+        tokenizer = tokenizer_for(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         first = groups = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         ids, tokens, held = [], [], 0

@@ -1,10 +1,11 @@
 """Offset-preserving SentencePiece encoding and decoding.
 
-A text is normalised by the model's compiled character map, taking the longest prefix that the map
+A text is normalised here by the model's compiled character map, taking the longest prefix that the map
 holds at each place, and every normalised character remembers the source bytes it came from. Spaces
-become U+2581, with one put before the text. Pieces never cross from a character into a following
-U+2581, so the normalised text falls into segments that are merged one by one (by the library, whose
-merges these are) and remembered. Each piece is projected back to the bytes of the original text.
+become U+2581, with one put before the text. The ids are the merges of this normalised text: the library gets it with its own
+normalisation switched off. Where no piece of the model crosses from a character into a following
+U+2581, the normalised text falls into segments that are merged one by one and remembered; else it is
+merged whole. Each piece is projected back to the bytes of the original text.
 """
 
 from __future__ import annotations
@@ -53,10 +54,29 @@ def _fields(b: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+def _message(number: int, value: bytes | int) -> bytes:
+    """One field of a serialised message."""
+
+    def varint(n: int) -> bytes:
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+#: The numbers of fields of a model file (its normaliser; and of that: map, dummy prefix, squeezing of spaces,
+#: escaping of spaces), and of the kinds of pieces that are taken as they are.
+NORMALIZER, CHARSMAP, DUMMY, SQUEEZE, ESCAPE, USER_DEFINED = 3, 2, 3, 4, 5, 4
+
+
 def normalizer_of(model: bytes) -> dict:
-    """The normaliser's settings in a model file. The fields' numbers."""
-    spec = dict(_fields(next((v for k, v in _fields(model) if k == 3), b"")))
-    return {"charsmap": spec.get(2, b""), "dummy": bool(spec.get(3, 1)), "squeeze": bool(spec.get(4, 1)), "escape": bool(spec.get(5, 1))}
+    """The normaliser's settings in a model file; of fields that are repeated the last one counts."""
+    spec = dict(f for k, v in _fields(model) if k == NORMALIZER for f in _fields(v))
+    return {"charsmap": spec.get(CHARSMAP, b""), "dummy": bool(spec.get(DUMMY, 1)), "squeeze": bool(spec.get(SQUEEZE, 1)), "escape": bool(spec.get(ESCAPE, 1))}
+
+
+def with_normalizer(model: bytes, charsmap: bytes, dummy: bool, squeeze: bool) -> bytes:
+    """The model with other settings of its normaliser."""
+    return model + _message(NORMALIZER, _message(CHARSMAP, charsmap) + _message(DUMMY, int(dummy)) + _message(SQUEEZE, int(squeeze)) + _message(ESCAPE, 1))
 
 
 class CharMap:
@@ -89,71 +109,106 @@ class CharMap:
         return found
 
 
-def normalize(text: str, spec: dict, charmap: CharMap) -> tuple[str, np.ndarray]:
-    """The normalised text, and for each of its characters, and its end, the source byte offset."""
+def normalize(text: str, spec: dict, charmap: CharMap, whole: re.Pattern | None = None) -> tuple[str, np.ndarray]:
+    """The normalised text, and for each of its characters, and its end, the source byte offset. Matches of whole are
+    symbols that stay as they are."""
     data, out, at, i = text.encode(), [], [], 0
-    space = SPACE if spec["escape"] else " "
+    stays = {len(text[: m.start()].encode()): m.group() for m in whole.finditer(text)} if whole else {}
+
+    def step() -> tuple[int, str]:
+        """Source bytes and normalised text of the longest prefix from here."""
+        if i in stays:
+            return len(stays[i].encode()), stays[i]
+        if found := charmap.longest(data, i):
+            return found[0], found[1].decode()
+        n = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
+        return n, data[i : i + n].decode()
+
+    space, squeeze = SPACE if spec["escape"] else " ", spec["squeeze"]
+    while squeeze and i < len(data) and (first := step())[1] == " ":
+        i += first[0]
+    if i == len(data):
+        return "", np.array([i], np.int64)
+    if spec["dummy"]:
+        out.append(space)
+        at.append(i)
+    after_space = squeeze
     while i < len(data):
-        n, new = charmap.longest(data, i) or (0, b"")
-        if not n:
-            lead = data[i]
-            n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            new = data[i : i + n]
-        for c in new.decode():
-            c = space if c == " " else c
-            if spec["squeeze"] and c == space and (not out or out[-1] == space):
-                continue
-            out.append(c)
-            at.append(i)
+        n, new = step()
+        if after_space:
+            new = new.lstrip(" ")
+        out += new.replace(" ", space)
+        at += [i] * len(new)
+        after_space = squeeze and (new.endswith(" ") if new else after_space)
         i += n
-    end = len(data)
-    while spec["squeeze"] and out and out[-1] == space:
+    while squeeze and out and out[-1] == space:
         out.pop()
-        end = at.pop()
-    if out and spec["dummy"]:
-        out.insert(0, space)
-        at.insert(0, at[0])
-    return "".join(out), np.array([*at, end], np.int64)
+        at.pop()
+    return "".join(out), np.array([*at, len(data)], np.int64)
 
 
 # -- encoding -------------------------------------------------------------------------------------
 
 
 class Encoder:
-    def __init__(self, model_path: str):
-        with open(model_path, "rb") as f:
-            blob = f.read()
-        self.sp = sentencepiece.SentencePieceProcessor(model_proto=blob)
-        self.spec = normalizer_of(blob)
+    def __init__(self, model: str | bytes):
+        if isinstance(model, str):
+            with open(model, "rb") as f:
+                model = f.read()
+        self.spec = normalizer_of(model)
         self.charmap = CharMap(self.spec["charsmap"])
+        #: The library without a normalisation of its own, for the merges; and as it is, for decoding.
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=with_normalizer(model, b"", False, False))
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = self.sp.get_piece_size()
-        self.is_byte = [self.sp.is_byte(i) for i in range(size)]
         pieces = [self.sp.id_to_piece(i) for i in range(size)]
-        #: Characters of a piece, and source bytes if a U+2581 stands for a space. A byte piece
-        #: has one byte; an unknown one is told apart below.
+        self.is_byte = [self.sp.is_byte(i) for i in range(size)]
+        own = [dict(_fields(v)) for k, v in _fields(model) if k == 1]
+        symbols = sorted((p[1].decode() for p in own if p.get(3) == USER_DEFINED), key=len, reverse=True)
+        self.symbols = re.compile("|".join(map(re.escape, symbols))) if symbols else None
+        #: Characters of a piece, and source bytes if a U+2581 stands for a space. A byte piece has one byte.
         self.chars = [len(p) for p in pieces]
         self.bytes = [1 if b else len(p.replace(SPACE, " ").encode()) for p, b in zip(pieces, self.is_byte)]
-        self.plain = not self.spec["charsmap"] and self.spec["dummy"] and self.spec["escape"] and not self.spec["squeeze"] and self.sp.piece_to_id("<0x41>") != self.sp.unk_id()
-        alone = [self.sp.piece_to_id(SPACE)]
-        #: The library encodes nothing for an empty text, so the lone marker is known from the start.
-        self.start = {SPACE: (array("i", alone).tobytes(), array("i", [1]).tobytes())}
-        self.known: dict[str, tuple[bytes, bytes]] = dict(self.start)
+        #: Every character has a piece or falls back to bytes, so ids tell their characters.
+        self.falls_back = any(self.is_byte)
+        normal = [p for p, q in zip(pieces, own) if q.get(3, 1) in (1, USER_DEFINED)]
+        #: Whether pieces never cross from a character into a following U+2581 (spaces may follow each other).
+        self.splits = not any(SPACE in p.lstrip(SPACE) for p in normal)
+        #: The character map is empty and spaces are only replaced: the longest prefix is always one character, as it is.
+        self.plain = not self.spec["charsmap"] and self.spec["dummy"] and self.spec["escape"] and not self.spec["squeeze"] and self.falls_back and self.splits and not symbols
+        self.known: dict[str, tuple] = {}
+
+    def _spans(self, segment: str, ids: list[int]) -> list[tuple[int, int]]:
+        """(character of the segment, byte in it) at which each piece begins."""
+        if not self.falls_back:  # an unknown piece can hold several characters
+            return [(p.begin, 0) for p in self.merges.encode(segment, out_type="immutable_proto", num_threads=1).pieces]
+        out, char, byte = [], 0, 0
+        for i in ids:
+            out.append((char, byte))
+            if self.is_byte[i]:  # one byte of a character that has no piece
+                byte += 1
+                if byte == len(segment[char].encode()):
+                    char, byte = char + 1, 0
+            else:
+                char += self.chars[i]
+        return out
 
     def _merge(self, segments: list[str]) -> None:
-        """Remember ids and source byte counts of the segments' pieces. The library puts the first
-        U+2581 itself, and leaves text that is normalised as it is."""
+        """Remember of each normalised segment its ids and their source byte counts, as 32-bit bytes, the latter for plain models only."""
         new = [s for s in dict.fromkeys(segments) if s not in self.known]
         if len(self.known) + len(new) > CACHE_SEGMENTS:
-            self.known = dict(self.start)
-            new = [s for s in dict.fromkeys(segments) if s not in self.known]
-        for s, ids in zip(new, self.sp.encode([s[1:] for s in new], num_threads=1)):
+            self.known = {}
+            new = list(dict.fromkeys(segments))
+        for s, ids in zip(new, self.merges.encode(new, num_threads=1)):
             self.known[s] = array("i", ids).tobytes(), array("i", [self.bytes[i] for i in ids]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
         """Of each text (ids as 32-bit bytes, piece boundaries: for each piece its start, then the last
         one's end), boundaries in bytes of the original text."""
         plain = [bool(t) and self.plain and SPACE not in t for t in texts]
-        cut = [SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if p else [] for t, p in zip(texts, plain)]
+        aligned = [normalize(t, self.spec, self.charmap, self.symbols) if t and not p else ("", None) for t, p in zip(texts, plain)]
+        normal = [SPACE + t.replace(" ", SPACE) if p else a for t, p, (a, _) in zip(texts, plain, aligned)]
+        cut = [SEGMENT.findall(n) if self.splits else [n] * bool(n) for n in normal]
         get = self.known.get
         got = [list(map(get, c)) for c in cut]
         if missing := [s for c, g in zip(cut, got) if None in g for s, x in zip(c, g) if x is None]:
@@ -162,41 +217,35 @@ class Encoder:
             get = self.known.__getitem__
             got = [list(map(get, c)) for c in cut]
         out = []
-        for t, p, g in zip(texts, plain, got):
+        for t, p, c, g, (_, at) in zip(texts, plain, cut, got, aligned):
+            ids = b"".join([x[0] for x in g])
             if p:
                 ends = np.zeros(len(lengths := np.frombuffer(b"".join([x[1] for x in g]), np.int32)) + 1, np.int64)
                 np.cumsum(lengths, out=ends[1:])
                 ends[1:] -= 1  # the marker put before the text has no byte there
-                out.append((b"".join([x[0] for x in g]), ends))
+            elif at is None:
+                ends = np.zeros(1, np.int64)
             else:
-                out.append(self._by_alignment(t) if t else (b"", np.zeros(1, np.int64)))
+                bounds, first = [], 0
+                for s, (own, _) in zip(c, g):
+                    for char, byte in self._spans(s, np.frombuffer(own, np.int32).tolist()):
+                        start = int(at[first + char])
+                        bounds.append(min(start + byte, max(start, int(at[first + char + 1]))))
+                    first += len(s)
+                ends = np.array([*bounds, len(t.encode())], np.int64)
+                ends[0] = 0  # what is squeezed away at the front belongs to the first piece, at the back to the last
+            out.append((ids, ends))
         return out
 
-    def _by_alignment(self, text: str) -> tuple[bytes, np.ndarray]:
-        normal, at = normalize(text, self.spec, self.charmap)
-        ids = self.sp.encode(text, num_threads=1)
-        bounds, char, byte = [], 0, 0
-        for i in ids:
-            bounds.append(int(at[char]) + byte)
-            if self.is_byte[i]:  # one byte of a character that has no piece
-                byte += 1
-                if byte == len(normal[char].encode()):
-                    char, byte = char + 1, 0
-            elif i == self.sp.unk_id():
-                char += 1
-            else:
-                char += self.chars[i]
-        return array("i", ids).tobytes(), np.array([*bounds, len(text.encode())], np.int64)
-
 
 @lru_cache(maxsize=1)
-def encoder_for(model_path: str) -> Encoder:
+def encoder_for(model_path: str | bytes) -> Encoder:
     """One for each Python worker, so that what it remembers serves all of the worker's tasks."""
     return Encoder(model_path)
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", decoded: bool = False) -> DataFrame:
-    """docs with ids (array<int>), starts and ends (array<long>): the pieces of each whole text and the
+def encode(docs: DataFrame, model_path: str | bytes, text: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with ids (array<int>; those of the model, a file or its content), starts and ends (array<long>): the pieces of each whole text and the
     bytes of the original text that each came from; decoded adds a column of that name, the text that the
     ids decode to, made in the same pass. Spans follow each other without gaps; the marker
     put before a text has no bytes of its own. A null or empty text has no pieces. Columns of docs with

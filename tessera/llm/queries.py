@@ -58,13 +58,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     got = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("starts", "ends").alias("spans_xxhash64"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,9 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as vec from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.vec, v.vec), lambda z: z[1] * z[2])) as bigint) as score
+  select q.vec_id as query_id, v.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.vec, v.vec), lambda z: z[1] * z[2])), 0) as bigint) as score
   from v q join v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id
 ), r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select * from r where rank <= 20
@@ -102,7 +102,7 @@ l as (select host, text, unnest(list_distinct(list_transform(string_split(text,
 t as (select host, count(*) as pages from d group by host),
 g as (
   select l.host, l.line from l join t on l.host is not distinct from t.host where l.line <> '' group by l.host, l.line, t.pages
-  having count(*) >= {linededup.MIN_PAGES} and count(*) > t.pages * cast({linededup.RATIO} as double)
+  having count(*) > 1 and count(*) > t.pages * cast({linededup.RATIO} as double)
 ), a as (select host, list(line) as gone from g group by host)
 select p.page_id, p.host, array_to_string(list_filter(string_split(p.text, chr(10)), lambda x: not coalesce(list_contains(a.gone, trim(x)), false)), chr(10)) as text,
   cast(coalesce(len(string_split(p.text, chr(10))), 0) as bigint) as n_lines,

@@ -5,8 +5,8 @@ parts as there are shards. Differencing repeatedly combines the two partial part
 spread (largest part less smallest), the largest part of one with the smallest of the other, and so on.
 
 Groups are summed first, then differenced in Spark tasks, one bucket of groups (by hash) at a time, which leaves
-one partial partition for each bucket. These few tuples are differenced in the same way to one; only they
-pass the driver, one number for each bucket and shard.
+one partial partition for each bucket. FAN buckets at a time are differenced in the same way to one, in tasks again,
+level by level until one is left; every level writes where the parts of its buckets went.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from ..sources.tables import materialize
 from .common import ceil_div
 
 SHARDS = 40
-#: Groups of a bucket, and documents of a slot bucket within a shard.
-GROUPS, SLOTS = 20_000, 20_000
+#: Groups of a bucket, partial partitions combined by a task, and documents of a slot bucket within a shard.
+GROUPS, FAN, SLOTS = 20_000, 256, 20_000
 
 
 def difference(sizes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +76,20 @@ def combine(tuples: list[np.ndarray], parts: int, one_each: bool = False) -> tup
     return out, sums
 
 
+def _one_level(partial: DataFrame, shards: int) -> DataFrame:
+    """(bucket, part, bytes, up, to): each FAN buckets of partial(bucket, part, bytes) become the bucket up, their parts its parts to."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "part"])
+        names, at = np.unique(pdf["bucket"], return_inverse=True)
+        sums = np.zeros((len(names), shards), np.int64)
+        sums[at, pdf["part"]] = pdf["bytes"]
+        return pdf.assign(to=combine(list(sums), shards)[0][at, pdf["part"]])
+
+    up = F.floor(F.col("bucket") / FAN).cast("long")
+    return partial.withColumn("up", up).groupBy("up").applyInPandas(run, "bucket long, part long, bytes long, up long, to long")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
     """One row for each document: doc_id, size (UTF-8 bytes of the text and overhead), text_crc32, shard
     (0 to shards - 1) and slot (gapless from 0 in each shard).
@@ -97,16 +111,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
 
     placed = groups.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets))).repartition(buckets, "bucket")
     placed = materialize(placed.mapInPandas(local, "grp string, bytes long, bucket long, part long"))
-    partial = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect()  # buckets * shards numbers
-    names = sorted({r["bucket"] for r in partial})
-    at = {b: i for i, b in enumerate(names)}
-    sums = np.zeros((len(names), shards), np.int64)
-    for r in partial:
-        sums[at[r["bucket"]], r["part"]] = r["bytes"]
-    to, _ = combine(list(sums), shards)
-    spark = docs.sparkSession
-    final = spark.createDataFrame([(int(b), int(p), int(to[at[b], p])) for b in names for p in range(shards)], "bucket long, part long, shard int")
-    where = placed.join(final, ["bucket", "part"]).select("grp", "shard")
+    where = placed.select("grp", "bucket", "part")
+    partial = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))  # shards rows a bucket
+    while True:
+        partial = materialize(partial)
+        buckets = ceil_div(buckets, FAN)
+        moved = materialize(_one_level(partial, shards))
+        where = where.join(moved.select("bucket", "part", "up", "to"), ["bucket", "part"]).select("grp", F.col("up").alias("bucket"), F.col("to").alias("part"))
+        if buckets == 1:
+            break
+        partial = moved.groupBy(F.col("up").alias("bucket"), F.col("to").alias("part")).agg(F.sum("bytes").alias("bytes"))
+    where = where.select("grp", F.col("part").cast("int").alias("shard"))
 
     out = rows.join(where, "grp").select("doc_id", "size", "text_crc32", "shard")
     # slots: documents of a shard in hash buckets, numbered within each after the buckets before it

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..sources.tables import materialize, release
+from ..sources.tables import materialize
+from .common import fresh
 
 #: The code's generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1, segment widths and shifts.
 GENERATOR = 0b110001110101
@@ -189,24 +190,32 @@ def links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 key, at, side = keys_of(fp.view(np.uint64))
                 yield pd.DataFrame({"key": key, "fingerprint": fp[at], "side": side})
 
-    # One exchange by key serves the count, both sides of the join and the blocks.
-    keys = prints.select("fingerprint").mapInPandas(emit, schema)
-    keys = keys.selectExpr("*", "count(*) over (partition by key) as members")
+    keys = materialize(prints.select("fingerprint").mapInPandas(emit, schema))
+    # members are counted by partial sums; only the few common keys with their counts are joined
+    hot = materialize(keys.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK))
+    rare = keys.join(hot, "key", "left_anti")
+    common = keys.join(hot, "key")
     differ = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= bits
-    left = keys.where("side = 0")
-    right = keys.where("side = 1").withColumnRenamed("fingerprint", "other")
-    plain = left.where(F.col("members") <= BLOCK).select("key", "fingerprint").join(right.where(F.col("members") <= BLOCK).select("key", "other"), "key")
+    plain = rare.where("side = 0").select("key", "fingerprint").join(rare.where("side = 1").select("key", F.col("fingerprint").alias("other")), "key")
     plain = plain.where((F.col("fingerprint") < F.col("other")) & differ).select(F.col("fingerprint").alias("src"), F.col("other").alias("dst"))
 
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = lambda c: F.pmod(F.xxhash64(c), blocks)
+    own = F.pmod(F.xxhash64("fingerprint"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    many = F.col("members") > BLOCK
-    a = left.where(many).select("key", own("fingerprint").cast("int").alias("i"), every.alias("j"), "fingerprint")
-    b = right.where(many).select("key", every.alias("i"), own("other").cast("int").alias("j"), F.col("other").alias("fingerprint"))
     by = ("key", "i", "j")
-    hot = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(lambda x, y: _forest(x["fingerprint"].to_numpy(), y["fingerprint"].to_numpy(), bits), "src long, dst long")
-    return plain.union(hot)
+    a = common.where("side = 0").select("key", own.alias("i"), every.alias("j"), "fingerprint").toDF(*by, "fingerprint")
+    b = common.where("side = 1").select("key", every.alias("i"), own.alias("j"), "fingerprint").toDF(*by, "fingerprint")
+    shared = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(lambda x, y: _forest(x["fingerprint"].to_numpy(), y["fingerprint"].to_numpy(), bits), "src long, dst long")
+    return plain.union(shared)
+
+
+def _classes(rows: DataFrame, bits: int) -> DataFrame:
+    """(fingerprint, least, component) of each fingerprint of the written rows(doc_id, fingerprint): its least id, and the least
+    fingerprint that it is linked to."""
+    prints = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    edges = materialize(links(prints, bits))
+    parts = connected_components(edges).withColumnRenamed("node", "fingerprint")
+    return prints.join(parts, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, bits: int = MAX_BITS) -> DataFrame:
@@ -219,24 +228,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     an empty table gives no rows. Only the two columns named are read.
     """
     rows = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words).select("doc_id", "fingerprint"))
-    prints = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    edges = materialize(links(prints, bits))
-    parts = connected_components(edges).withColumnRenamed("node", "fingerprint")
-    grouped = prints.join(parts, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    grouped = _classes(rows, bits)
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = grouped.select("fingerprint", "component").join(least, "component").select("fingerprint", "component_id")
-    release(edges)
     return rows.join(of_print, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each component, the one of the smallest id.
-
-    Of rows that repeat an id and its text one stays; rows with a null id stay if they share no component with
-    an id, one for each text."""
-    marks = materialize(near_duplicates(docs, doc_id, text, words, bits))
-    least = marks.select(F.col("component_id").alias("_least")).distinct()
-    kept = docs.join(least, docs[doc_id].eqNullSafe(F.col("_least")), "left_semi")
-    again = materialize(marks.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
-    many = F.col(doc_id).eqNullSafe(F.col("_again"))
-    return kept.join(again, many, "left_anti").union(kept.join(again, many, "left_semi").dropDuplicates([doc_id, text]))
+    """docs with one row of each component: the one of the smallest id (null ids come last), of rows that share it the one of the
+    text with the smallest hash, of rows that repeat both any one. All columns stay, whatever their names."""
+    marked = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words)
+    rows = materialize(marked.select("doc_id", "fingerprint", F.xxhash64("text").alias("h")))
+    of_print = _classes(rows.select("doc_id", "fingerprint"), bits).select("fingerprint", "component")
+    same = rows.groupBy("doc_id", "h", "fingerprint").agg(F.count("*").alias("n")).join(of_print, "fingerprint")
+    first = same.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "n")).alias("r"))
+    i, h, n = fresh(docs, "i", "h", "n")
+    first = materialize(first.select(F.col("r.doc_id").alias(i), F.col("r.h").alias(h), F.col("r.n").alias(n)))
+    rowwise = docs[doc_id].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text]) == F.col(h))
+    single, repeated = (docs.join(first.where(c), rowwise, "left_semi") for c in (F.col(n) == 1, F.col(n) > 1))
+    return single.union(repeated.dropDuplicates([doc_id, text]))

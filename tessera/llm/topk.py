@@ -1,15 +1,16 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The dimensions are cut into LISTS slices; a row's score is the sum of its scores in the slices, and
-each slice of each block of rows is a score list.
-
-1. Every list gives its k highest entries; their scores summed over all lists are gathered, and the
-   k-th best of a query is a safe cutoff: the true k-th score is not below it.
-2. The cutoff goes back with the queries. A row that reaches it must reach cutoff / LISTS in
-   some list (else its sum would be lower), so each list collects its entries from that threshold on.
-   An entry seen in some lists only is bounded by what was seen plus the threshold for each other
-   list; entries bounded below the cutoff go.
-3. What remains is scored exactly over all lists, and the k best of each block are merged.
+The dimensions are cut into LISTS slices; a row's score is the sum of its scores in the slices. Each
+slice of each block of rows is a score list, in a task of its own that holds that slice only.
+
+1. Every list gives its k highest entries. The most promising of a query's entries, over all lists, are
+   scored in full, and the k-th best of these totals is a safe cutoff: the true k-th score is not below it.
+2. The cutoff goes back with the queries. A row that reaches it must reach cutoff / LISTS in some list
+   (else its sum would be lower), so each list gives its entries from that threshold on, and no others move.
+   The k-th best of the rows that all lists gave raises the cutoff. An entry seen in some lists only is
+   bounded by what was seen plus, for each other list, just less than the threshold; entries bounded
+   below the cutoff go.
+3. What remains is scored exactly, and the k best of each block are merged.
 """
 
 from __future__ import annotations
@@ -17,77 +18,140 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .blocks import against_all, best, matrix, query_rows, ranked, vectors
+from .blocks import Vectors, best, matrix, past_blocks, ranked, stored, to_every_block
+
+LISTS = 2
+#: Entries of a query that are scored in full for the first cutoff, in terms of k (any k or more would be safe).
+PROBES = 16
+
+
+def _kth(totals: DataFrame, k: int) -> DataFrame:
+    """(id, cutoff): the k-th highest total of each query; queries with fewer have none."""
+    order = W.partitionBy("id").orderBy(F.desc("total"))
+    return totals.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select("id", F.col("total").alias("cutoff"))
+
+
+class Search:
+    """One search; its phases' tables can be counted apart."""
+
+    def __init__(self, df: DataFrame, k: int, vec_id: str, vec: str, lists: int, every: int):
+        self.k, self.lists = k, lists
+        self.rows: Vectors = stored(df, vec_id, vec)
+        high = self.rows.largest**2 * max(1, self.rows.dim)
+        if high >= 2**63:
+            raise ArithmeticError("inner products may not fit 64-bit integers")
+        #: Whole numbers are exact in doubles while sums stay below 2^53.
+        self.kind = np.float64 if high < 2**53 else np.int64
+        self.queries = self.rows.queries(every)
+        at = np.linspace(0, self.rows.dim, lists + 1).astype(int).tolist()
+        self.cuts = list(zip(at, at[1:]))
+
+    def _sliced(self, d: DataFrame, *more: str) -> DataFrame:
+        """One row for each list: block is the list's number."""
+        parts = F.array(*[F.struct(F.lit(s).alias("s"), F.slice("vec", a + 1, b - a).alias("vec")) for s, (a, b) in enumerate(self.cuts)])
+        return d.select("id", "block", *more, F.explode(parts).alias("p")).select("id", *more, (F.col("block") * self.lists + F.col("p.s")).alias("block"), "p.vec")
+
+    def _from_lists(self, queries: DataFrame, pick) -> DataFrame:
+        """(id, list, rids, scores) of pick(scores, row of the query frame) -> positions, on each list."""
+        kind = self.kind
+
+        def build(b: pd.DataFrame) -> tuple:
+            return b["id"].to_numpy(np.int64), b["rid"].to_numpy(np.int64), matrix(b["vec"]).astype(kind), int(b["block"].iat[0])
+
+        def answer(block: tuple, a: pd.DataFrame) -> pd.DataFrame:
+            ids, rids, x, number = block
+            scores, out = matrix(a["vec"]).astype(kind) @ x.T, []
+            for j, own in enumerate(a["id"]):
+                at = pick(scores[j], ids != own, a["least"].iat[j] if "least" in a else None)
+                if len(at):
+                    out.append((own, number, rids[at].tolist(), scores[j][at].astype(np.int64).tolist()))
+            return pd.DataFrame(out, columns=["id", "list", "rids", "scores"])
+
+        rows = self._sliced(self.rows.table, "rid")
+        more = [c for c in queries.columns if c not in ("id", "vec")]
+        asked = self._sliced(to_every_block(queries, self.rows.blocks), *more)
+        return past_blocks(rows, asked, self.rows.blocks * self.lists, build, answer, "id long, list int, rids array<long>, scores array<long>")
 
-LISTS, PART = 2, 256
+    def first_lists(self) -> DataFrame:
+        """Phase 1: the k highest entries of every list."""
+        k = self.k
 
+        def pick(scores, others, _):
+            at = np.flatnonzero(others)
+            return at if len(at) <= k else at[np.argpartition(scores[at], len(at) - k)[len(at) - k :]]
 
-def _slices(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Scores of each slice (queries, rows). Whole numbers: exact in doubles while sums stay below
-    2^53, else in 64-bit integers."""
-    high = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    if high >= 2**53:
-        q, x = q.astype(np.int64), x.astype(np.int64)
-    return [q[:, d] @ x[:, d].T for d in np.array_split(np.arange(q.shape[1]), lists)]
+        return self._from_lists(self.queries, pick)
+
+    def first_cutoff(self) -> DataFrame:
+        """(id, cutoff) from the most promising entries of phase 1."""
+        seen = self.first_lists().select("id", F.explode(F.arrays_zip("rids", "scores")).alias("e")).groupBy("id", F.col("e.rids").alias("rid")).agg(F.max("e.scores").alias("part"))
+        order = W.partitionBy("id").orderBy(F.desc("part"), "rid")
+        probes = seen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PROBES * self.k).select("id", "rid")
+        vectors = self.rows.table.select("rid", F.col("vec").alias("other"))
+        pairs = probes.join(vectors, "rid").join(self.queries, "id")
+        products = F.zip_with(*[F.transform(c, lambda x: x.cast("long")) for c in ("vec", "other")], lambda x, y: x * y)
+        return _kth(pairs.select("id", F.aggregate(products, F.lit(0).cast("long"), lambda s, x: s + x).alias("total")), self.k)
+
+    def collected(self, cutoffs: DataFrame) -> DataFrame:
+        """Phase 2: entries from cutoff / lists on, of every list; all of them where there is no cutoff."""
+        rest = F.expr(f"cutoff % {self.lists} > 0").cast("long")
+        least = self.queries.join(cutoffs, "id", "left").select("id", "vec", (F.expr(f"cutoff div {self.lists}") + rest).alias("least"))
+
+        def pick(scores, others, least):
+            return np.flatnonzero(others if pd.isna(least) else others & (scores >= least))
+
+        return self._from_lists(least, pick)
+
+    def resolved(self, entries: DataFrame, cutoffs: DataFrame) -> DataFrame:
+        """Phase 3: (query_id, vec_id, score), the k best of each block among the entries that can still reach the cutoff."""
+        lists, k, kind = self.lists, self.k, self.kind
+        each = entries.select("id", F.explode(F.arrays_zip("rids", "scores")).alias("e")).groupBy("id", F.col("e.rids").alias("rid")).agg(F.sum("e.scores").alias("total"), F.count("*").alias("n"))
+        raised = _kth(each.where(F.col("n") == lists), k).withColumnRenamed("cutoff", "higher")
+        bounds = cutoffs.join(raised, "id", "left").select("id", "cutoff", F.greatest("cutoff", F.coalesce("higher", "cutoff")).alias("higher"))
+        block = (F.col("list") / lists).cast("int")
+        wanted = entries.groupBy("id", block.alias("block")).agg(F.collect_list(F.struct("rids", "scores")).alias("lists"))
+        asked = wanted.join(self.queries, "id").join(bounds, "id", "left")
+
+        def build(b: pd.DataFrame) -> tuple:
+            order = np.argsort(b["rid"].to_numpy(np.int64))
+            return b["rid"].to_numpy(np.int64)[order], b["id"].to_numpy(np.int64)[order], matrix(b["vec"]).astype(kind)[order]
+
+        def answer(block: tuple, a: pd.DataFrame) -> pd.DataFrame:
+            rids, ids, x = block
+            out = []
+            for own, q, got, cutoff, higher in zip(a["id"], a["vec"], a["lists"], a["cutoff"], a["higher"]):
+                seen = np.concatenate([g["rids"] for g in got])
+                part = np.concatenate([g["scores"] for g in got])
+                rid, where = np.unique(seen, return_inverse=True)
+                if not pd.isna(cutoff):
+                    total, n = np.zeros(len(rid), np.int64), np.bincount(where)
+                    np.add.at(total, where, part)
+                    rid = rid[total + (lists - n) * (-(-int(cutoff) // lists) - 1) >= int(higher)]
+                at = np.searchsorted(rids, rid)
+                exact = (x[at] @ np.asarray(q).astype(kind)).astype(np.int64)
+                top = best(exact, ids[at], k)
+                out.append((own, ids[at[top]], exact[top]))
+            if not out:
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": np.repeat([o for o, _, _ in out], [len(t) for _, t, _ in out]), "vec_id": np.concatenate([t for _, t, _ in out]), "score": np.concatenate([s for _, _, s in out])})
+
+        return past_blocks(self.rows.table, asked, self.rows.blocks, build, answer, "query_id long, vec_id long, score long")
 
 
 def top_k(df: DataFrame, k: int = 20, vec_id: str = "vec_id", vec: str = "vec", lists: int = LISTS, every: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (long): the k highest inner products of each query (rows
     whose vec_id is divisible by every) with every row but those of its own id; ties to smaller ids.
 
-    vec holds whole numbers. Rows whose vector is null, empty, or holds null or non-finite numbers
-    take no part, nor do rows without an id or of another dimension than the longest. Repeated rows are
-    candidates each; queries with one id count once. An empty table gives no rows.
+    vec holds whole numbers. Rows whose vector is null or holds null or non-finite numbers take no part, nor do
+    rows without an id. A vector shorter than the longest counts as zero beyond its end, an empty one as zero.
+    Repeated rows are candidates each; queries with one id count once. Other columns are not read; an
+    empty table gives no rows. ArithmeticError if numbers are so large that a sum may exceed 64 bits.
     """
-    rows = vectors(df, vec_id, vec)
-    queries = query_rows(rows, every)
-
-    def gather(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out, ids, x, of = [], b["vec_id"].to_numpy(), matrix(b["vec"]), a["query_id"].to_numpy()
-        q = matrix(a["vec"])
-        for i in range(0, len(q), PART):
-            parts = _slices(q[i : i + PART], x, lists)
-            for j, own in enumerate(of[i : i + PART]):
-                others = ids != own
-                at = np.flatnonzero(others) if not others.all() else None
-                picks = []
-                for p in parts:
-                    row = p[j] if at is None else p[j][at]
-                    top = np.argpartition(row, max(0, len(row) - k))[max(0, len(row) - k) :] if len(row) else np.empty(0, int)
-                    picks.append(top if at is None else at[top])
-                u = np.unique(np.concatenate(picks))
-                out.append((own, np.sort(sum(p[j][u] for p in parts)).astype(np.int64)[::-1][:k].tolist()))
-        return pd.DataFrame(out, columns=["query_id", "scores"])
-
-    lists_of = against_all(queries, rows, gather, "query_id long, scores array<long>")
-    # at most k numbers for each block of rows
-    cutoff = lists_of.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("scores")), False).alias("s"))
-    cutoff = cutoff.select("query_id", F.when(F.size("s") >= k, F.element_at("s", k)).alias("cutoff"))  # fewer: no cutoff
-    cutoff = materialize(cutoff)  # else the next phase would gather the lists again
-
-    def resolve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, x, q, of = b["vec_id"].to_numpy(), matrix(b["vec"]), matrix(a["vec"]), a["query_id"].to_numpy()
-        least = a["cutoff"].astype("float64").fillna(-np.inf).to_numpy()
-        out = []
-        for i in range(0, len(q), PART):
-            parts = _slices(q[i : i + PART], x, lists)
-            cut = least[i : i + PART, None]
-            share = cut / lists
-            seen = [p >= share for p in parts]
-            bound = sum(np.where(s, p, np.where(np.isinf(share), 0, share)) for s, p in zip(seen, parts))
-            some = np.logical_or.reduce(seen)
-            # a little slack: the share is a rounded quotient
-            keep = some & ((bound >= cut - 1) | np.isinf(cut))
-            for j in range(len(cut)):
-                at = np.flatnonzero(keep[j] & (ids != of[i + j]))
-                exact = sum(p[j][at] for p in parts)
-                at, exact = at[exact >= cut[j]], exact[exact >= cut[j]]
-                top = best(exact, ids[at], k)
-                out.append(pd.DataFrame({"query_id": of[i + j], "vec_id": ids[at[top]], "score": exact[top].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame()
-
-    found = against_all(queries.join(cutoff, "query_id"), rows, resolve, "query_id long, vec_id long, score long")
-    return ranked(found, k)
+    search = Search(df, k, vec_id, vec, lists, every)
+    cutoffs = materialize(search.first_cutoff())
+    entries = materialize(search.collected(cutoffs))
+    return ranked(search.resolved(entries, cutoffs), k)

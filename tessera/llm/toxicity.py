@@ -13,22 +13,24 @@ or more count.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .common import in_share
+from .common import first_of_each, fresh
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
-#: Bounds of the training sample: toxic documents (clean ones: twice as many), and characters of a document
-#: (longer documents don't teach; they are scored whole all the same).
-SAMPLE_EACH, SAMPLE_CHARS = 1500, 8_000
-MIN_DOCS, STEPS, RATE, EPSILON, SHRINK, BIAS, MAX_SENTENCES = 5, 100, 0.3, 1e-4, 4e-3, -10.0, 400
+#: Bounds of the training sample: toxic texts (clean ones: twice as many), and characters of all texts of a label.
+SAMPLE_EACH, SAMPLE_CHARS = 1500, 24_000_000
+MIN_DOCS, STEPS, RATE, EPSILON, SHRINK, BIAS = 5, 100, 0.3, 1e-4, 4e-3, -10.0
 CACHE_WORDS = 200_000
 
 
@@ -41,69 +43,88 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
-def train(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
-    """Weights by feature (and "" for the bias): full-batch Adam on the noisy-or log-likelihood,
-    with shrinking so that what tells nothing weighs nothing. Two sparse steps make a sentence's
-    sum: features to words, words to sentences."""
+def _bags(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words; the word of each (sentence, word), where each sentence begins among these, and the document of each sentence.
+    Sentences without words are left out."""
     word_id: dict[str, int] = {}
-    in_sent, in_word, doc = [], [], []
+    number = word_id.setdefault
+    words, starts, docs = array("i"), array("q"), array("i")
     for d, t in enumerate(texts):
         low = t.lower()
-        for a, b in sentences(low)[:MAX_SENTENCES]:
-            own = [word_id.setdefault(x, len(word_id)) for x in set(WORD.findall(low, a, b))]
-            in_word += own
-            in_sent += [len(doc)] * len(own)
-            doc.append(d)
+        for a, b in sentences(low):
+            if own := set(WORD.findall(low, a, b)):
+                starts.append(len(words))
+                docs.append(d)
+                words.extend([number(x, len(word_id)) for x in own])
+    return word_id, np.array(words), np.array(starts), np.array(docs)
+
+
+def train(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
+    """Weights by feature, and the fixed BIAS under "": full-batch Adam on the noisy-or log-likelihood,
+    with shrinking so that what tells nothing weighs nothing. Two sparse steps make a sentence's
+    sum: features to words, words to sentences. The bias is a prior, not trained: it is what keeps a document of
+    very many unremarkable sentences clean."""
+    word_id, in_word, starts, doc = _bags(texts)
+    used, doc = np.unique(doc, return_inverse=True)  # documents with words
+    y = toxic[used].astype(bool)
+    if not len(used) or y.all() or not y.any():
+        return {"": BIAS}
     feature_id: dict[str, int] = {}
     of_word, of_feature = [], []
     for x, i in word_id.items():
         own = [feature_id.setdefault(f, len(feature_id)) for f in features(x)]
         of_word += [i] * len(own)
         of_feature += own
-    if not feature_id or len(set(toxic.tolist())) < 2:
-        return {"": BIAS}
-    in_sent, in_word, doc, of_word, of_feature = map(np.array, (in_sent, in_word, doc, of_word, of_feature))
-    n, words, size, sents, y = len(texts), len(word_id), len(feature_id), len(doc), toxic.astype(bool)
-    # documents that hold a feature, at least: those of its most widespread word
-    spread = np.bincount(np.unique(doc[in_sent] * words + in_word) % words, minlength=words)
-    docs_of = np.bincount(of_feature, spread[of_word], size)
+    of_word, of_feature = np.array(of_word), np.array(of_feature)
+    n, words, size = len(used), len(word_id), len(feature_id)
+    in_sent = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=len(in_word)))
+    by_word = in_sent[np.argsort(in_word, kind="stable")]
+    word_starts = np.concatenate([[0], np.cumsum(np.bincount(in_word, minlength=words))[:-1]])
+    doc_starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    # documents that hold a feature's words, added over its words
+    in_doc = doc[by_word].astype(np.int64)
+    new = np.diff(in_doc, prepend=-1) != 0
+    new[word_starts] = True
+    docs_of = np.bincount(of_feature, np.add.reduceat(new.astype(np.int64), word_starts)[of_word], size)
     keep = docs_of[of_feature] >= MIN_DOCS
     of_word, of_feature = of_word[keep], of_feature[keep]
-    w, m, v, bias = np.zeros(size), np.zeros(size), np.zeros(size), BIAS
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     balance = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     for step in range(1, STEPS + 1):
-        a = bias + np.bincount(in_sent, np.bincount(of_word, w[of_feature], words)[in_word], sents)
-        p = 1 / (1 + np.exp(-np.clip(a, -30, 30)))
-        some = -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n))
+        weight = np.bincount(of_word, w[of_feature], words).astype(np.float32)
+        p = 1 / (1 + np.exp(-np.clip(BIAS + np.add.reduceat(weight[in_word], starts), -30, 30)))
+        some = -np.expm1(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-6)), doc_starts, dtype=np.float64))
         # d(log-likelihood)/da_s: toxic p_s (1 - P) / P, clean -p_s
         by_doc = np.where(y, balance * (1 - some) / np.maximum(some, 1e-9), -balance)
-        g = np.bincount(of_feature, np.bincount(in_word, (by_doc[doc] * p)[in_sent], words)[of_word], size)
+        g = np.bincount(of_feature, np.add.reduceat((by_doc[doc] * p).astype(np.float32)[by_word], word_starts)[of_word], size)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EPSILON)
         w = np.sign(w) * np.maximum(np.abs(w) - SHRINK, 0)
-    return {"": bias} | {f: float(w[i]) for f, i in feature_id.items() if w[i]}
+    return {"": BIAS} | {f: float(w[i]) for f, i in feature_id.items() if w[i]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_each: int = SAMPLE_EACH) -> dict[str, float]:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_each: int = SAMPLE_EACH, sample_chars: int = SAMPLE_CHARS) -> dict[str, float]:
     """Weights from a bounded sample of docs with labels (both by doc_id, and only rows that may be learned from): at most
-    sample_each toxic and twice as many clean documents, of at most SAMPLE_CHARS characters, one of each text.
+    sample_each toxic and twice as many clean different texts, the first in the order of a hash of the text. Each teaches
+    whole, whatever its length; if the texts together exceed sample_chars characters for each label, the sample ends with
+    the last text before that (one text of each label is always taken).
 
-    Labelled documents are first brought to one hash for each different text; of these the sample is drawn, three times
-    what is wanted, so no texts but the sample's move. Null texts, ids and labels teach nothing.
+    Labelled documents are first brought to one hash for each different text, so copies count once and no texts but the sample's
+    move; a text with both labels is toxic. Null texts, ids and labels teach nothing.
     """
     rows = labels.select(F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
-    hashed = docs.where((F.length(text) <= SAMPLE_CHARS) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h"))
-    # one row for each different text, so that copies neither count nor are drawn apart
-    texts = materialize(hashed.join(rows.groupBy("_id").agg(F.max("_toxic").alias("_toxic")), "_id").groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic")))
-    counts = {r["_toxic"]: r["count"] for r in texts.groupBy("_toxic").count().collect()}
+    hashed = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h"), F.length(text).alias("_n"))
+    texts = hashed.join(rows.groupBy("_id").agg(F.max("_toxic").alias("_toxic")), "_id").groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"), F.max("_n").alias("_n"))
+    texts = materialize(texts)
     want = {k: (2 - k) * sample_each for k in (0, 1)}
-    share = F.when(F.col("_toxic") == 1, min(1.0, 3 * want[1] / max(1, counts.get(1, 0)))).otherwise(min(1.0, 3 * want[0] / max(1, counts.get(0, 0))))
-    drawn = texts.where(in_share(F.col("_h"), share))  # about 9 * sample_each rows at most
-    got = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id").where(F.xxhash64("_text") == F.col("_h"))
-    got = got.groupBy(F.col("_h").alias("h")).agg(F.min("_text").alias("text"), F.max("_toxic").alias("toxic")).orderBy("h").limit(9 * sample_each).collect()
-    sample = [r for k in (0, 1) for r in [r for r in got if r["toxic"] == k][: want[k]]]
-    return train([r["text"] for r in sample], np.array([r["toxic"] for r in sample], dtype=int))
+    drawn = reduce(DataFrame.unionByName, [first_of_each(texts.where(F.col("_toxic") == k), "_toxic", "_h", n) for k, n in want.items()])
+    upto = F.sum("_n").over(W.partitionBy("_toxic").orderBy("_h").rowsBetween(W.unboundedPreceding, 0))
+    drawn = drawn.withColumn("_upto", upto).where((F.col("_upto") <= sample_chars) | (F.col("_upto") == F.col("_n")))
+    drawn = materialize(drawn.drop("_n", "_upto"))  # at most 3 * sample_each ids
+    got = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id").where(F.xxhash64("_text") == F.col("_h"))
+    got = got.groupBy(F.col("_h").alias("h")).agg(F.min("_text").alias("text"), F.max("_toxic").alias("toxic")).orderBy("h").collect()
+    return train([r["text"] for r in got], np.array([r["toxic"] for r in got], dtype=int))
 
 
 class Scorer:
@@ -155,7 +176,8 @@ def score(docs: DataFrame, weights: dict[str, float], text: str = "text") -> Dat
 
 def locate(docs: DataFrame, weights: dict[str, float], text: str = "text", least: float = 0.5) -> DataFrame:
     """One row for each offending sentence: docs' columns but the text, and sentence, start, end
-    (characters) and sentence_score, for sentences with a probability of least or more."""
+    (characters) and sentence_score, for sentences with a probability of least or more. Null, empty and clean texts
+    give no rows; columns with these names are replaced, others stay; repeated rows give their rows again."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("array<struct<sentence:string,start:long,end:long,sentence_score:double>>")
@@ -169,4 +191,5 @@ def locate(docs: DataFrame, weights: dict[str, float], text: str = "text", least
             yield pd.Series(out)
 
     kept = [c for c in docs.columns if c not in (text, "sentence", "start", "end", "sentence_score")]
-    return docs.select(*kept, F.explode(found(F.col(text))).alias("_s")).select(*kept, "_s.*")
+    each = fresh(docs, "s")[0]
+    return docs.select(*kept, F.explode(found(F.col(text))).alias(each)).select(*kept, f"{each}.*")

@@ -11,9 +11,10 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import ann, chat, langid, linededup, packing, pieces, queries, sharding, simhash, topk, toxicity
+from tessera.llm import ann, blocks, chat, langid, linededup, packing, pieces, queries, sharding, simhash, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string"
@@ -70,6 +71,38 @@ def test_ann_few_rows_and_empty(spark):
     assert ann.search(df.limit(0)).collect() == []
 
 
+def test_vectors_of_mixed_lengths_many_blocks_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 6)) * 8)
+    x[:, 4:][rng.random(300) < 0.5] = 0
+    rows = [(i, [float(v) for v in (x[i][:4] if not x[i][4:].any() else x[i])], "a", "b") for i in range(300)]
+    rows += [(None, [1.0] * 6, "a", "b"), (400, [], "a", "b"), (7, rows[7][1], "a", "b")]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>, score string, id string")
+    ids, full = [*range(300), 400, 7], np.vstack([x, np.zeros(6), x[7]])
+    search = topk.Search(df, 5, "vec_id", "vec", 2, 20)
+    assert search.rows.blocks > 5 and search.rows.dim == 6
+    cutoffs = search.first_cutoff()
+    moved = search.collected(cutoffs).select(F.sum(F.size("rids"))).first()[0]
+    assert cutoffs.count() == 16 and moved < 0.5 * 2 * 16 * 302
+    got, near = defaultdict(list), defaultdict(set)
+    for r in topk.top_k(df, 5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for r in ann.search(df, 5, vec="vec").collect():
+        near[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in [*range(0, 300, 20), 400]:
+        s = full @ full[ids.index(q)]
+        want = sorted((-int(s[i]), v) for i, v in enumerate(ids) if v != q)[:5]
+        assert [(-s, v) for _, v, s in sorted(got[q])] == want
+        hits += len({v for _, v in want} & near.get(q, set())) if q != 400 else 0  # a zero vector takes no part
+    assert 400 not in near and hits >= 0.9 * 75
+    with pytest.raises(ArithmeticError):
+        topk.top_k(spark.createDataFrame([(0, [9e15]), (1, [9e15])], "vec_id long, vec array<double>"))
+    huge = topk.top_k(spark.createDataFrame([(0, [3e8, 1.0]), (1, [3e8, -1.0])], "vec_id long, vec array<double>")).collect()
+    assert [r["score"] for r in huge] == [9 * 10**16 - 1]
+
+
 def test_forest_descends_to_longest_prefixes():
     x = np.random.default_rng(3).normal(size=(500, 16)).astype(np.float32)
     f = ann.Forest(x, 5, 3)
@@ -85,8 +118,6 @@ def test_forest_descends_to_longest_prefixes():
 
 def test_topk_exact(spark):
     df, x = embeddings(spark, 700, 10, 4)
-    from pyspark.sql import functions as F
-
     df = df.withColumn("vec", F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), v).otherwise(F.floor(v * 64).cast("double"))))
     whole = np.vstack([np.floor(64 * x)])
     got = defaultdict(list)
@@ -151,6 +182,72 @@ def test_langid_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(df, langid.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_langid_learns_all_languages_from_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "train", lambda windows, langs, classes: (windows, langs))
+    many = spark.createDataFrame([(i, f"wort {i}", f"l{i % 201:03}") for i in range(1000)], "doc_id long, text string, lang string")
+    model = langid.fit(many, sample_rows=40)
+    assert model["langs"] == [f"l{i:03}" for i in range(201)] and len(model["weights"][1]) == 201
+    late = spark.createDataFrame([(i, f"{i} 12 34 " * 1500 + f"erst hier steht etwas {i} " * 200, "de") for i in range(20)], "doc_id long, text string, lang string")
+    windows = langid.fit(late)["weights"][0]
+    assert len(windows) >= 20 and all(b"steht" in bytes(w) or b"hier" in bytes(w) or b"etwas" in bytes(w) for w in windows)
+
+
+def test_langid_of_repeated_rows(spark):
+    rows = [("immer derselbe Text", "de")] * 2000 + [(f"always another text {i}", "en") for i in range(50)]
+    df = spark.createDataFrame([(i, t, lang, "x") for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, label string")
+    for n in (20, 40, 100):
+        model = langid.fit(df, sample_rows=n)
+        assert model["langs"] == ["de", "en"]
+    out = langid.predict(df, model)
+    assert out.columns == [*df.columns, "lang_pred", "score"] and out.select("lang_pred").distinct().count() == 2 and out.where("label = 'x'").count() == 2050
+
+
+def test_langid_against_plain_python(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    model = langid.fit(df)
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    for r in langid.predict(df, model).collect():
+        p = langid.label_positions(texts[r["doc_id"]].encode(), model).mean(0)
+        assert r["lang_pred"] == model["langs"][p.argmax()] and r["score"] == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    filler = [f"Sentence {i} of the page is nothing special." for i in range(900)]
+    rows = [(i, " ".join(filler[i % 7 :]) + (" You grobble fool." if i % 2 else ""), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    s = toxicity.Scorer(weights)
+    assert s.of_text("Good day. You grobble fool.") > 0.7 and s.of_text(rows[0][1]) < 0.3
+    few = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), sample_chars=10)  # one text of each label
+    assert few[""] == toxicity.BIAS
+
+
+def test_a_very_long_clean_text_stays_clean(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    s = toxicity.Scorer(toxicity.fit(docs, labels))
+    clean = [r["text"] for r in docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").limit(400).collect()]
+    clean = [t for t in clean if s.of_text(t) < 0.02]
+    assert len(clean) > 300 and s.of_text("\n".join(clean)) < toxicity_bound(len(clean))
+
+
+def toxicity_bound(n):
+    """What n texts of 0.02 each make together, at most."""
+    return 1 - 0.98**n
+
+
+def test_toxicity_against_plain_python(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    weights = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, weights).collect():
+        clean = 1.0
+        for a, b in toxicity.sentences(texts[r["doc_id"]].lower()):
+            words = set(toxicity.WORD.findall(texts[r["doc_id"]].lower()[a:b]))
+            z = toxicity.BIAS + sum(weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        assert r["score"] == pytest.approx(1 - clean, abs=1e-6)
+
+
 def test_toxicity_held_out(spark):
     got = {r["doc_id"]: r for r in queries.op10_toxicity(spark, "/root/testdata/sf0.1").where("held_out").collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
@@ -243,7 +340,20 @@ def test_simhash_empty_null_ids_and_repeats(spark):
     odd = spark.createDataFrame([(None, "a b c"), (None, "z y x w"), (3, "a b c"), (3, "a b c")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_duplicates(odd).collect())
     assert got == [(-1, -1), (-1, 3), (3, 3), (3, 3)]
-    assert [r["doc_id"] for r in simhash.keep_one(odd).collect() if r["doc_id"] is not None] == [3]
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_one(odd).collect()) == [(-1, "z y x w"), (3, "a b c")]
+
+
+def test_keep_one_goes_by_rows(spark):
+    def kept(rows):
+        df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, h string")
+        return sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_one(df).collect())
+
+    t, u = "t t t one", "u u u other words"
+    assert kept([(None, t), (1, t), (None, u)]) == [(-1, u), (1, t)]
+    assert kept([(2, t), (5, t), (5, u)]) == [(2, t), (5, u)]
+    assert kept([(5, t), (5, t), (5, u)]) == [(5, t), (5, u)]
+    assert kept([(None, None), (None, ""), (None, None)]) in ([(-1, None)], [(-1, "")])
+    assert kept([]) == []
 
 
 def test_simhash_on_the_tables(spark):
@@ -301,7 +411,9 @@ def test_line_dedup_of_large_and_small_hosts(spark):
     df = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(pages)], "page_id long, host string, text string")
     got = {r["page_id"]: r["text"] for r in linededup.drop_boilerplate(df, "host").collect()}
     assert got[100] == "own 100" and got[0] == "own 0\nrare"  # on 1 % of a large host's pages, and on 3 of 800
-    assert [got[800], got[804]] == ["mine 0\ntwice", "mine 4"]  # a host of fewer than ten pages
+    assert [got[800], got[804]] == ["mine 0", "mine 4"]  # a small host is cleaned alike
+    two = spark.createDataFrame([(0, "h", "Menu\nx", "a"), (1, "h", "Menu\ny", "b"), (2, "i", "Menu\nz", "c")], "page_id long, host string, text string, kept string")
+    assert [(r["text"], r["kept"]) for r in linededup.drop_boilerplate(two, "host").orderBy("page_id").collect()] == [("x", "a"), ("y", "b"), ("Menu\nz", "c")]
 
 
 # -- 5, 6 and 7 -----------------------------------------------------------------------------------
@@ -320,6 +432,7 @@ def test_differencing_keeps_every_number_and_balances():
 
 def test_sharding(spark, monkeypatch):
     monkeypatch.setattr(sharding, "GROUPS", 40)
+    monkeypatch.setattr(sharding, "FAN", 3)  # several levels
     monkeypatch.setattr(sharding, "SLOTS", 3)
     texts = [*ODD[:8], None, *[f"text number {i} " * (i % 17) for i in range(400)]]
     got = sharding.shard(docs_of(spark, texts), 7).collect()
@@ -336,11 +449,12 @@ def test_sharding(spark, monkeypatch):
     assert sharding.shard(docs_of(spark, []), 7).collect() == []
 
 
-def test_packing_round_trip(spark):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([*ODD, "  a\t b \n c  "])], "doc_id long, text string"))
-    got = packing.pack(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+def test_packing_round_trip(spark, monkeypatch):
+    marks = ["<|endoftext|>", "a <|endoftext|> b", "one<|endoftext|>two <|endoftext|><|endoftext|>", " <|endoftext|> ", "a\n<|endoftext|>\n b", "<|endoftext|"]
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([*ODD, "  a\t b \n c  ", *marks])], "doc_id long, text string"))
+    monkeypatch.setattr(packing, "BUFFER_TOKENS", 20_000)  # several buffers in a task
+    got = packing.pack(rows, P.path("byte_bpe_50k.json")).collect()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r["doc_id"]].append(r)
@@ -361,7 +475,17 @@ def test_packing_round_trip(spark):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 1024 and at & (at - 1) == 0 and at == rs[0]["tier"]
-    assert packing.pack(rows.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
+    assert packing.pack(rows.limit(0), P.path("byte_bpe_50k.json")).collect() == []
+
+
+def test_tokens_are_those_of_the_library():
+    t, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.WordCachingTokenizer(P.path("byte_bpe_50k.json"))
+    parts = ["a", "b c", " ", "  ", "\n", "\t", "<|endoftext|>", "Hello", "'s", " 're", "12", "!", "é", "日本", "😀", "|", "<", "\x00", "\u200b", "\u3000", "ß<|endoftext|>x"]
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000)]
+    for i in range(0, 3000, 50):
+        for text, ids in zip(texts[i : i + 50], own.ids_of(texts[i : i + 50])):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_routes_remainders_to_their_tiers():
@@ -398,8 +522,6 @@ def test_pieces(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     extra = [*ODD, "  a  b ", "a▁b ▁▁ c", "é 😀 ﷺ\x00", "\t\n x", " ", "▁"]
     df = docs_of(spark, extra)
-    from pyspark.sql import functions as F
-
     got = pieces.encode(df, model).withColumn("back", pieces.decode(F.col("ids"), model)).collect()
     for r in got:
         ids = sp.encode(r["text"] or "")
@@ -415,6 +537,57 @@ def test_pieces(spark):
     assert pieces.encode(df.limit(0), model).collect() == []
 
 
+def character_map(words: dict[bytes, bytes]) -> bytes:
+    """A compiled character map: a double array, laid out state by state, then the replacements."""
+    texts, at, units, used, bases = b"", {}, [0] * (1 << 16), {0}, set()
+    for v in dict.fromkeys(words.values()):
+        at[v] = len(texts)
+        texts += v + b"\0"
+
+    def place(prefix: bytes, node: int) -> None:
+        labels = [0] * (prefix in words) + sorted({w[len(prefix)] for w in words if w.startswith(prefix) and len(w) > len(prefix)})
+        base = next(b for b in range(256, 1 << 16, 256) if b not in bases and all(b ^ x not in used for x in labels))
+        bases.add(base)
+        used.update(base ^ x for x in labels)
+        units[node] |= (node ^ base) << 10
+        for x in labels:
+            if x:
+                units[base ^ x] = x
+                place(prefix + bytes([x]), base ^ x)
+            else:
+                units[node] |= 1 << 8
+                units[base] = 1 << 31 | at[words[prefix]]
+
+    place(b"", 0)
+    return (4 * len(units)).to_bytes(4, "little") + np.array(units, "<u4").tobytes() + texts
+
+
+MAP = {"Ａ": "A", "ﬁ": "fi", "e\u0301": "é", "\t": " ", "ab": "xyz", "a": "a", "\u200b": "", "…": "..."}
+
+
+@pytest.mark.parametrize("mapped, dummy, squeeze", [(True, True, True), (True, False, False), (False, True, True), (False, True, False)])
+def test_pieces_of_models_with_other_normalisers(spark, mapped, dummy, squeeze):
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        model = pieces.with_normalizer(f.read(), character_map({k.encode(): v.encode() for k, v in MAP.items()}) if mapped else b"", dummy, squeeze)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Encoder(model)
+    assert own.plain == (not mapped and dummy and not squeeze)
+    rng = np.random.default_rng(5)
+    parts = ["a", "b", "ab", "Ａ", "ﬁ", "é", "e\u0301", "\t", " ", "  ", "…", "\u200b", "▁", "日本", "😀", "\n", "hello", "World", "\x00"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(1500)]
+    for t, (ids, ends) in zip(texts, own.encode(texts)):
+        want = library.encode(t)
+        assert np.frombuffer(ids, np.int32).tolist() == want and len(ends) == len(want) + 1
+        assert not want or (ends[0] == 0 and (np.diff(ends) >= 0).all() and ends[-1] == len(t.encode()))
+    if mapped and dummy:
+        df = docs_of(spark, [None, "", "ab ﬁn…", "\u200b", "x  e\u0301\t"])
+        got = pieces.encode(df, model, decoded=True).orderBy("doc_id").collect()
+        assert [r["ids"] for r in got] == [library.encode(r["text"] or "") for r in got] and [r["decoded"] for r in got] == [library.decode(r["ids"]) for r in got]
+        data = got[2]["text"].encode()
+        spans = [(library.id_to_piece(i), data[a:b].decode()) for i, a, b in zip(got[2]["ids"], got[2]["starts"], got[2]["ends"])]
+        assert ("▁fin", " ﬁn") in spans or ("▁fi", " ﬁ") in spans  # both letters come from one source character
+        assert "".join(x for _, x in spans) == got[2]["text"]
+
+
 def test_character_map_takes_the_longest_prefix():
     # a double array for the keys "a" -> "x" and "ab" -> "yz", laid out by hand
     units = [0] * 1024
