@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -51,8 +52,9 @@ def group_by_key(df: DataFrame, key: str, seq: str, value: str) -> DataFrame:
 
 
 def unique_or_ambiguous(df: DataFrame, key: str, place: str) -> DataFrame:
-    """(key, n, places): keys with n > 1 are ambiguous, at these places."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(place)).alias("places"))
+    """(key, place, n): every place of every key, a row each, with the key's number of places; keys with n > 1 are ambiguous."""
+    n = df.groupBy(key).agg(F.count("*").alias("n"))
+    return df.select(key, place).join(n.where("n > 1"), key, "left").select(key, place, F.coalesce("n", F.lit(1)).alias("n"))
 
 
 # -- splitting streams ----------------------------------------------------------------------------
@@ -197,15 +199,21 @@ def inclusion(a: Column, b: Column) -> Column:
 def skyline(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
     """Rows that no other row dominates (less is better in every column); of equal rows the first by seq stays.
 
-    Each partition keeps its own skyline, in batches; local skylines of all partitions then meet the rest by an anti join, block by
-    block, so no task holds more than its share and a block."""
+    Each partition keeps its own skyline, in batches; what is left is compared block by block (_dominated)."""
     from ..sources.tables import materialize
 
+    small = materialize(_local_skylines(df, cols, seq).withColumn("_id", F.monotonically_increasing_id()))
+    return small.join(_dominated(small, small, cols, seq), "_id", "left_anti").drop("_id")
+
+
+def _local_skylines(df: DataFrame, cols: list[str], seq: str | None = None) -> DataFrame:
+    """The skyline of every partition."""
+
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf])
-            pdf = pdf.assign(_sum=pdf[cols].sum(axis=1)).sort_values(["_sum", seq]).drop(columns="_sum")  # winners come early
+            pdf = pdf.assign(_sum=pdf[cols].sum(axis=1)).sort_values(["_sum", *[seq] * bool(seq)]).drop(columns="_sum")  # winners come early
             x, keep = pdf[cols].to_numpy(), []
             for i in range(len(x)):
                 if not keep or not (x[keep] <= x[i]).all(1).any():
@@ -214,25 +222,42 @@ def skyline(df: DataFrame, cols: list[str], seq: str) -> DataFrame:
         if held is not None:
             yield held
 
-    small = materialize(df.mapInPandas(local, df.schema))
-    a, b = small.alias("a"), small.alias("b")
-    le = F.lit(True)
-    eq = F.lit(True)
-    for c in cols:
-        le = le & (F.col(f"b.{c}") <= F.col(f"a.{c}"))
-        eq = eq & (F.col(f"b.{c}") == F.col(f"a.{c}"))
-    return a.join(b, le & (~eq | (F.col(f"b.{seq}") < F.col(f"a.{seq}"))), "left_anti")
+    return df.mapInPandas(local, df.schema)
+
+
+#: Rows of a block that is compared with another.
+BLOCK = 4096
+
+
+def _dominated(a: DataFrame, b: DataFrame, cols: list[str], seq: str | None = None, strict: bool = True) -> DataFrame:
+    """(_id) of the rows of a(_id, ...) that some row of b is at most equal to in all columns and less in one; equal rows count too if they are
+    before by seq, or at all if strict is false. Both sides, written tables, are dealt into blocks by hash, and each pair of
+    blocks is a task's, so none holds more than two blocks and nothing is broadcast."""
+    blocks = lambda d: max(1, -(-d.count() // BLOCK))
+    n, m = blocks(a), blocks(b)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    more = [seq] if seq else []
+    left = a.select("_id", *cols, *more, F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int").alias("_i"), every(m).alias("_j")).toDF("_id", *cols, *more, "_i", "_j")
+    right = b.select(*cols, *more, every(n).alias("_i"), F.pmod(F.xxhash64(*cols, *more), F.lit(m)).cast("int").alias("_j")).toDF(*cols, *more, "_i", "_j")
+
+    def beaten(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        p, q = x[cols].to_numpy(), y[cols].to_numpy()
+        out = np.zeros(len(p), bool)
+        for i in range(0, len(p) if len(q) else 0, 64):
+            le = (q[None] <= p[i : i + 64, None]).all(2)
+            eq = (q[None] == p[i : i + 64, None]).all(2)
+            same = eq if not strict else eq & (y[seq].to_numpy()[None] < x[seq].to_numpy()[i : i + 64, None]) if seq else eq & False
+            out[i : i + 64] = ((le & ~eq) | same).any(1)
+        return x.loc[out, ["_id"]]
+
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(beaten, "_id long").distinct()
 
 
 def compare_skylines(new: DataFrame, old: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """(new items that survive, old items that survive): the new must not be dominated by or equal to an old one, the old not be strictly
-    dominated by a new one."""
-    def cond(x, y, strict):
-        le, eq = F.lit(True), F.lit(True)
-        for c in cols:
-            le = le & (F.col(f"{y}.{c}") <= F.col(f"{x}.{c}"))
-            eq = eq & (F.col(f"{y}.{c}") == F.col(f"{x}.{c}"))
-        return le & ~eq if strict else le
-
-    n, o = new.alias("n"), old.alias("o")
-    return n.join(o, cond("n", "o", False), "left_anti"), o.join(n, cond("o", "n", True), "left_anti")
+    dominated by a new one. Only the skylines of either side's partitions meet the other side."""
+    from ..sources.tables import materialize
+
+    n, o = (materialize(d.withColumn("_id", F.monotonically_increasing_id())) for d in (new, old))
+    best_n, best_o = (materialize(_local_skylines(d.select(*cols), cols)) for d in (n, o))
+    return n.join(_dominated(n, best_o, cols, strict=False), "_id", "left_anti").drop("_id"), o.join(_dominated(o, best_n, cols), "_id", "left_anti").drop("_id")

@@ -1,8 +1,9 @@
 """Iterative graph operators: rounds of joins and groupings.
 
 Every round's new rows are written to the shared folder, so the lineage stays short and a lost
-executor costs one round; what was found before is a union of these tables and is never rewritten. The
-driver sees one emptiness check a round.
+executor costs one round; what was found before stays in tables that are merged as they age (Grown), so no row is
+rewritten more than log(rounds) times and no round reads more than about as many tables. The
+driver sees one emptiness check or count a round.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semiring import BOOLEAN, MIN_PLUS, Semiring
-from ..sources.tables import materialize, release
+from ..sources.tables import Grown, materialize, materialize_counting, release
 from .components import connected_components
-from .graph import build_with, keep_nodes, transpose
+from .graph import build_with, transpose
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -25,26 +26,30 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, hops): nodes reachable from starts(id), the starts included with 0 hops."""
     e = materialize(edges.select("src", "dst").distinct())
-    found = [materialize(starts.select("id").distinct().withColumn("hops", F.lit(0)))]
+    last = materialize(starts.select("id").distinct().withColumn("hops", F.lit(0)))
+    found, hops = Grown(last), 0
     while True:
-        nxt = found[-1].select(F.col("id").alias("src")).join(e, "src").select(F.col("dst").alias("id")).distinct()
-        nxt = materialize(nxt.join(_union(found).select("id"), "id", "left_anti").withColumn("hops", F.lit(len(found))))
-        if nxt.isEmpty():
-            return _union(found)
-        found.append(nxt)
+        hops += 1
+        nxt = last.select(F.col("id").alias("src")).join(e, "src").select(F.col("dst").alias("id")).distinct()
+        last = materialize(nxt.join(found.view().select("id"), "id", "left_anti").withColumn("hops", F.lit(hops)))
+        if last.isEmpty():
+            return found.view()
+        found.add(last)
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, hops, path): a shortest path (its nodes, start first) to every reached node, of ties the smallest."""
     e = materialize(edges.select("src", "dst").distinct())
-    found = [materialize(starts.select("id").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("path")))]
+    last = materialize(starts.select("id").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("path")))
+    found, hops = Grown(last), 0
     while True:
-        step = found[-1].withColumnRenamed("id", "src").join(e, "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("id").agg(F.min("path").alias("path")).join(_union(found).select("id"), "id", "left_anti")
-        nxt = materialize(step.select("id", F.lit(len(found)).alias("hops"), "path"))
-        if nxt.isEmpty():
-            return _union(found)
-        found.append(nxt)
+        hops += 1
+        step = last.withColumnRenamed("id", "src").join(e, "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.groupBy("id").agg(F.min("path").alias("path")).join(found.view().select("id"), "id", "left_anti")
+        last = materialize(step.select("id", F.lit(hops).alias("hops"), "path"))
+        if last.isEmpty():
+            return found.view()
+        found.add(last)
 
 
 def walk_satisfying(edges: DataFrame, every: Column, some: Column, source: Column, target: Column) -> DataFrame:
@@ -84,22 +89,22 @@ def closure(edges: DataFrame, semiring: Semiring = MIN_PLUS, rounds: int | None
     """
     assert semiring.idempotent, "a closure by rounds needs an idempotent plus; use levels() sums on acyclic graphs"
     e = materialize(build_with(edges, semiring.plus))
-    known = delta = materialize(e.withColumn("round", F.lit(0)))
+    delta = materialize(e.select("src", "dst", "label", F.lit(0).alias("round")))
+    found = Grown(delta)
     i = 0
     while rounds is None or i < rounds:
         i += 1
         step = delta.select("src", F.col("dst").alias("_m"), F.col("label").alias("_a")).join(e.select(F.col("src").alias("_m"), "dst", F.col("label").alias("_b")), "_m")
         step = step.select("src", "dst", semiring.times(F.col("_a"), F.col("_b")).alias("label")).groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"))
-        both = known.select("src", "dst", "label", "round", F.lit(True).alias("_old")).unionByName(step.select("src", "dst", "label", F.lit(i).alias("round"), F.lit(False).alias("_old")))
-        new = both.groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"), F.max(F.when(F.col("_old"), F.col("label"))).alias("_was"), F.max(F.when(F.col("_old"), F.col("round"))).alias("_at"))
-        changed = ~F.col("label").eqNullSafe(F.col("_was"))
-        new = materialize(new.select("src", "dst", "label", F.when(changed, F.lit(i)).otherwise(F.col("_at")).alias("round")))
-        if known is not delta:
-            release(known)
-        known, delta = new, new.where(F.col("round") == i)
+        # what is known of the pairs met in this round; only pairs that improve are written
+        step = step.select("src", "dst", "label", F.lit(True).alias("_met"))
+        both = found.view().select("src", "dst", "label", F.lit(False).alias("_met")).unionByName(step)
+        new = both.groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"), semiring.plus(F.when(~F.col("_met"), F.col("label"))).alias("_was"), F.bool_or("_met").alias("_met"))
+        delta = materialize(new.where(F.col("_met") & ~F.col("label").eqNullSafe(F.col("_was"))).select("src", "dst", "label", F.lit(i).alias("round")))
         if delta.isEmpty():
             break
-    return known
+        found.add(delta)
+    return found.view().groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"), F.max("round").alias("round"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -137,37 +142,38 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp, cyclic): strongly connected components, named by their smallest node. Singletons without a
     self-loop are not cyclic.
 
-    Rounds: nodes without incoming or outgoing edges are trimmed; the smallest node that reaches each node
-    spreads forwards as its colour; what reaches the colour's root inside the colour is its component.
+    Every node gets the smallest node that reaches it and the smallest that it reaches, both in the same rounds, which also take
+    the marks of the marks (what reaches my mark reaches me), so marks travel far in few rounds. Where both are the same node, it is
+    the component's name. Edges between nodes of different marks join no component and go; what is left is marked anew.
     """
     e = materialize(edges.select("src", "dst").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("_loop"))
     done = []
     live = materialize(e.where("src <> dst"))
+    none = F.lit(None).cast(live.schema["src"].dataType)
     while not live.isEmpty():
-        core, edges_left = live, live.count()
-        while edges_left:  # trim
-            ends = core.select(F.col("src").alias("id")).intersect(core.select(F.col("dst").alias("id")))
-            core, before = materialize(keep_nodes(core, ends)), edges_left
-            edges_left = core.count()
-            if edges_left == before:
-                break
-        if not edges_left:
-            break
-        colour = materialize(core.select(F.col("src").alias("id")).union(core.select(F.col("dst").alias("id"))).distinct().withColumn("c", F.col("id")))
-        spread, was = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0], None
-        while spread != was:  # the least node that reaches each node
-            step = colour.select(F.col("id").alias("src"), "c").join(core, "src").select(F.col("dst").alias("id"), "c")
-            new = materialize(colour.union(step).groupBy("id").agg(F.min("c").alias("c")))
-            release(colour)
-            colour, was = new, spread
-            spread = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
-        a, b = colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), colour.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
-        inside = materialize(core.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst", "cs"))
-        roots = colour.where("id = c").select("id")
-        hit = materialize(reachable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("id"))
-        done.append(materialize(hit.join(colour, "id").select(F.col("id").alias("node"), F.col("c").alias("comp"))))
-        live = materialize(core.join(hit.select(F.col("id").alias("src")), "src", "left_anti").join(hit.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        ids = live.select(F.col("src").alias("id")).union(live.select("dst")).distinct()
+        marks = held = materialize(ids.select("id", F.col("id").alias("f"), F.col("id").alias("b")))
+        changed = 1
+        while changed:
+            of = lambda name, mark: marks.select(F.col("id").alias(name), F.col(mark).alias("m"))  # noqa: E731, B023
+            own = marks.select("id", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
+            steps = [
+                live.join(of("src", "f"), "src").select(F.col("dst").alias("id"), F.col("m").alias("f"), none.alias("b")),
+                live.join(of("dst", "b"), "dst").select(F.col("src").alias("id"), none.alias("f"), F.col("m").alias("b")),
+                marks.select(F.col("id").alias("i"), F.col("f").alias("k")).join(of("k", "f"), "k").select(F.col("i").alias("id"), F.col("m").alias("f"), none.alias("b")),
+                marks.select(F.col("id").alias("i"), F.col("b").alias("k")).join(of("k", "b"), "k").select(F.col("i").alias("id"), none.alias("f"), F.col("m").alias("b")),
+            ]
+            every = _union([own, *[s.select("*", none.alias("f0"), none.alias("b0")) for s in steps]])
+            new = every.groupBy("id").agg(*[F.min(c).alias(c) for c in ("f", "b", "f0", "b0")])
+            new, changed = materialize_counting(new, (F.col("f") < F.col("f0")) | (F.col("b") < F.col("b0")))
+            release(held)
+            held, marks = new, new.drop("f0", "b0")
+        done.append(marks.where("f = b").select(F.col("id").alias("node"), F.col("f").alias("comp")))
+        a, b = marks.toDF("src", "f", "b"), marks.toDF("dst", "f", "b")
+        rest = materialize(live.join(a, "src").join(b, ["dst", "f", "b"]).where("f <> b").select("src", "dst"))
+        release(live)
+        live = rest
     every = nodes.select(F.col("id").alias("node")).union(e.select("src")).union(e.select("dst")).distinct()
     own = _union(done) if done else every.limit(0).select("node", F.col("node").alias("comp"))
     own = every.join(own, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
@@ -207,6 +213,22 @@ def longest_paths(edges: DataFrame) -> DataFrame:
     return _union(found).groupBy("src", "dst").agg(F.max("length").alias("length"), F.max_by("paths", "length").alias("paths"))
 
 
+def longest_path_lists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, path): all longest paths, as arrays of nodes, between the ends of pairs(src, dst) of an acyclic graph. ValueError on a cycle.
+
+    A path is followed from its end backwards to its source, over nodes that lie on a longest path only, so nothing is built in vain."""
+    e = materialize(edges.select("src", "dst").distinct())
+    far = materialize(longest_paths(e).select("src", "dst", "length"))
+    live = materialize(pairs.select("src", "dst").distinct().join(far, ["src", "dst"]).select("src", "dst", F.col("dst").alias("_at"), F.col("length").alias("_left"), F.array("dst").alias("path")))
+    found = []
+    while not live.isEmpty():
+        found.append(live.where("_left = 0").select("src", "dst", "path"))
+        step = live.where("_left > 0").join(e.select(F.col("src").alias("_to"), F.col("dst").alias("_at")), "_at")
+        step = step.join(far.select("src", F.col("dst").alias("_to"), F.col("length").alias("_n")), ["src", "_to"]).where("_n = _left - 1")
+        live = materialize(step.select("src", "dst", F.col("_to").alias("_at"), F.col("_n").alias("_left"), F.concat(F.array("_to"), "path").alias("path")))
+    return _union(found) if found else live.select("src", "dst", "path")
+
+
 def transitive_reduction(edges: DataFrame, acyclic: bool = False) -> DataFrame:
     """Edges of an acyclic graph without a longer path between their ends. ValueError on a cycle; acyclic: the caller knows that there
     is none."""
@@ -265,7 +287,7 @@ def difference_constraints(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(closure, negative loops): tightest offsets of x - y <= label by min-plus closure, in as many rounds as there are nodes,
     and the nodes on a negative loop (none: the constraints are consistent)."""
     n = edges.select("src").union(edges.select("dst")).distinct().count()
-    out = closure(edges, MIN_PLUS, rounds=max(1, (n - 1).bit_length() if n < 2 else n))
+    out = materialize(closure(edges, MIN_PLUS, rounds=max(1, n)))
     return out.drop("round"), out.where("src = dst and label < 0").select(F.col("src").alias("id"))
 
 

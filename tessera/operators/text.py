@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 
 #: File endings and their formats; marks that open and close code in each format.
 FORMATS = {".lagda.rst": "rst", ".lagda.tex": "tex", ".lagda.md": "md", ".lagda.org": "org", ".lagda.tree": "tree", ".lagda.typ": "md", ".lagda": "tex"}
-OPEN_CLOSE = {
-    "tex": (r"^\s*\\begin\{code\}", r"^\s*\\end\{code\}"),
-    "md": (r"^\s*```\s*(?:agda)?\s*$", r"^\s*```\s*$"),
-    "md-tagged": (r"^\s*```\s*agda\s*$", r"^\s*```\s*$"),
-    "org": (r"(?i)^\s*#\+begin_src\s+agda2", r"(?i)^\s*#\+end_src"),
-    "tree": (r"^\s*\\agda\s*\{", r"^\s*\}"),
+#: Lines that open and close code, by format; groups are the parts of the line.
+MARKS = {
+    "tex": (r"((?:[^\\%]|\\.)*)(\\begin\{code\}[^\n]*)(\n?)", r"([ \t]*)(\\end\{code\})(.*)"),
+    "tree": (r"((?:[^\\%]|\\.)*)(\\agda\{[^\n]*)(\n?)", r"([ \t]*)(\})(.*)"),
+    "org": (r"(?i).*\s*#\+begin_src agda2\s+", r"(?i)\s*#\+end_src\s*"),
+    "md": (r"(.*)(\s*```(agda)?\s*)", r"\s*```\s*"),
+    "md-other": (r"\s*```[a-zA-Z0-9-]*\s*", r"\s*```\s*"),
+    "rst": (r"(.*)(::)(\s*)", r"\s*\.\.(\s.*)?"),
 }
+MARKS = {k: tuple(re.compile(p, re.DOTALL) for p in v) for k, v in MARKS.items()}
+KNOWN = ("tex", "tree", "org", "md", "rst")
 
 
 def format_of(path: Column) -> Column:
@@ -32,53 +36,106 @@ def format_of(path: Column) -> Column:
     return out
 
 
-def literate_layers(text: str, format: str) -> list[tuple[str, int, int]]:
-    """(role, start, end) of the layers of a text, positions from 0; together they are the text. Role: Code, Markup (lines that open or close
-    code) or Comment."""
-    out: list[tuple[str, int, int]] = []
+# A state takes a line, with its newline, and gives the parts of the line, (role, text), and the state of the next line.
 
-    def put(role, a, b):
-        if b > a:
-            if out and out[-1][0] == role and role != "Markup" and out[-1][2] == a:
-                out[-1] = (role, out[-1][1], b)
-            else:
-                out.append((role, a, b))
-
-    at, in_code, indent = 0, False, 0
-    for line in text.splitlines(keepends=True) if format != "rst" else re.findall(r"[^\n]*\n|[^\n]+", text):
-        end, body = at + len(line), line.rstrip("\r\n")
-        if format == "rst":  # code is what is indented after a line that ends in ::
-            blank = not body.strip()
-            depth = len(body) - len(body.lstrip())
-            if in_code and not blank and depth <= indent:
-                in_code = False
-            put("Code" if in_code else "Comment", at, end)
-            if not in_code and not blank and re.search(r"(?<!:)::\s*$", body) and not body.lstrip().startswith(".."):
-                in_code, indent = True, depth
-        else:
-            opens, closes = OPEN_CLOSE[format]
-            if in_code and re.search(closes, body) or not in_code and re.search(opens, body):
-                put("Markup", at, end)
-                in_code = not in_code
+
+def _within_marks(format: str):
+    """Code from one mark to another, either in the middle of a line."""
+    opens, closes = MARKS[format]
+
+    def outside(line):
+        if m := opens.fullmatch(line):
+            return [("Comment", m[1]), ("Markup", m[2]), ("Code", m[3])], inside
+        return [("Comment", line)], outside
+
+    def inside(line):
+        if m := closes.fullmatch(line):
+            return [("Code", m[1]), ("Markup", m[2]), ("Comment", m[3])], outside
+        return [("Code", line)], inside
+
+    return outside
+
+
+def _between_lines():
+    """Code between two whole lines that begin like the marks."""
+    opens, closes = MARKS["org"]
+    outside = lambda line: ([("Markup", line)], inside) if opens.match(line) else ([("Comment", line)], outside)
+    inside = lambda line: ([("Markup", line)], outside) if closes.match(line) else ([("Code", line)], inside)
+    return outside
+
+
+def _fenced(only_tagged: bool):
+    """Code in fences without a language or with the right one (only_tagged: the latter alone); what is in other fences is no code."""
+    (opens, closes), other = MARKS["md"], MARKS["md-other"][0]
+
+    def outside(line):
+        m = opens.fullmatch(line)
+        if m and (m[3] or not only_tagged):
+            return [("Comment", m[1]), ("Markup", m[2])], inside
+        return [("Comment", line)], foreign if m or other.fullmatch(line) else outside
+
+    inside = lambda line: ([("Markup", line)], outside) if closes.fullmatch(line) else ([("Code", line)], inside)
+    foreign = lambda line: ([("Comment", line)], outside if closes.fullmatch(line) else foreign)
+    return outside
+
+
+def _indented():
+    """Code is the indented block that follows a line ending in "::", which is no comment of its own."""
+    opens, comment = MARKS["rst"]
+
+    def outside(line):
+        m = None if comment.fullmatch(line) else opens.fullmatch(line)
+        if not m:
+            return [("Comment", line)], outside
+        if not m[1] or (m[1][-1].isspace() and m[1][-1] != "\n"):
+            return [("Markup", line)], waiting
+        return [("Comment", m[1] + ":"), ("Markup", ":" + m[3])], waiting
+
+    def waiting(line):
+        if not line.strip():
+            return [("Markup", line)], waiting
+        margin = line[: len(line) - len(line.lstrip())]
+        return ([("Code", line)], block(margin)) if margin else outside(line)
+
+    def block(margin):
+        inside = lambda line: ([("Code", line)], inside) if not line.strip() or line.startswith(margin) else outside(line)
+        return inside
+
+    return outside
+
+
+def literate_layers(text: str, format: str, only_tagged: bool = False) -> list[tuple[str, int, int]]:
+    """(role, start, end) of the layers of a text, positions from 0; together they are the text. Role: Code, Markup (what opens or closes
+    code) or Comment; neighbouring parts that are both code or both comment are one layer. Lines end at newlines only."""
+    state = _fenced(only_tagged) if format == "md" else _indented() if format == "rst" else _between_lines() if format == "org" else _within_marks(format)
+    out: list[tuple[str, int, int]] = []
+    at = 0
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        parts, state = state(line)
+        for role, part in parts:
+            if not part:
+                continue
+            if out and out[-1][0] == role != "Markup":
+                out[-1] = (role, out[-1][1], at + len(part))
             else:
-                put("Code" if in_code else "Comment", at, end)
-        at = end
+                out.append((role, at, at + len(part)))
+            at += len(part)
     return out
 
 
 def layers(docs: DataFrame, only_tagged: bool = False) -> DataFrame:
     """(doc_id, idx, role, start, end, content) of docs(doc_id, format, text); positions from 1. only_tagged: Markdown blocks count as code only if they name
-    the language. Null texts have no layers."""
+    the language. Null and empty texts have no layers, and neither have texts of a format that is null or not one of KNOWN."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for d, f, t in zip(pdf["doc_id"], pdf["format"], pdf["text"]):
-                for i, (role, a, b) in enumerate(literate_layers(t or "", "md-tagged" if f == "md" and only_tagged else f)):
+                for i, (role, a, b) in enumerate(literate_layers(t or "", f, only_tagged)):
                     rows.append((d, i, role, a + 1, b + 1, t[a:b]))
             yield pd.DataFrame(rows, columns=["doc_id", "idx", "role", "start", "end", "content"])
 
-    return docs.select("doc_id", "format", "text").where("format is not null").mapInPandas(run, "doc_id long, idx long, role string, start long, end long, content string")
+    return docs.select("doc_id", "format", "text").where(F.col("format").isin(*KNOWN)).mapInPandas(run, "doc_id long, idx long, role string, start long, end long, content string")
 
 
 def blank_non_code(parts: DataFrame) -> DataFrame:
@@ -100,9 +157,16 @@ def line_starts(docs: DataFrame) -> DataFrame:
 
 
 def line_and_column(docs: DataFrame, offsets: DataFrame) -> DataFrame:
-    """offsets(doc_id, pos) with line and col, all from 1."""
+    """offsets(doc_id, pos) with line and col, all from 1; positions outside their text are left out. A merge: every offset takes the last
+    line start before it."""
+    rest = F.struct(*[F.col(c) for c in offsets.columns])
     s = line_starts(docs)
-    return offsets.join(s, "doc_id").where("pos >= start and pos < end").select(*offsets.columns, "line", (F.col("pos") - F.col("start") + 1).alias("col"))
+    starts = s.select("doc_id", F.col("start").alias("_at"), "line", "end", F.lit(None).cast(offsets.select(rest.alias("r")).schema["r"].dataType).alias("_r"))
+    both = starts.unionByName(offsets.select("doc_id", F.col("pos").alias("_at"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("end"), rest.alias("_r")))
+    before = W.partitionBy("doc_id").orderBy("_at", F.col("_r").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_r").isNull(), F.struct(F.col("_at").alias("start"), "line", "end")), ignorenulls=True).over(before)
+    found = both.withColumn("_l", last).where("_r is not null and _l is not null and _at < _l.end")
+    return found.select("_r.*", "_l.line", (F.col("_at") - F.col("_l.start") + 1).alias("col"))
 
 
 def normalise_space(text: Column) -> Column:
@@ -203,7 +267,8 @@ def close_options(words: DataFrame, options: DataFrame, most: int = 3, nearest_o
 
     w = words.select("word").distinct().withColumn("_n", F.explode(F.sequence(F.length("word") - most, F.length("word") + most)))
     pairs = w.join(options.select("option", F.length("option").alias("_n")).distinct(), "_n")
-    out = pairs.withColumn("distance", distance("word", "option")).where(F.col("distance") <= most).select("word", "option", "distance")
+    near = pairs.where(F.expr(f"levenshtein(word, option, {2 * most}) >= 0"))  # a transposition is two edits there: few pairs are left for Python
+    out = near.withColumn("distance", distance("word", "option")).where(F.col("distance") <= most).select("word", "option", "distance")
     if nearest_only:
         out = out.withColumn("_m", F.min("distance").over(W.partitionBy("word"))).where("distance = _m").drop("_m")
     return out
@@ -286,6 +351,20 @@ def combine_hashes(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: F.xxhash64(acc, h))
 
 
+def combined_hashes(rows: DataFrame, key: str, seq: str, fan: int = 1024) -> DataFrame:
+    """(key, n, combined): the hashes of rows(key, seq, hash) combined in the order of seq, a whole number not below 0: those whose seq has the same quotient by fan
+    to one, then the quotients likewise, until one is left, so that no array has more than fan entries."""
+    d = rows.groupBy(key, F.floor(F.col(seq) / fan).cast("long").alias("_q"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("hash").alias("h")))), lambda x: x["h"])
+    d = d.agg(F.count("*").alias("n"), combine_hashes(ordered).alias("hash"))
+    top = (rows.agg(F.max(seq)).first()[0] or 0) // fan
+    while top:
+        d = d.groupBy(key, F.floor(F.col("_q") / fan).cast("long").alias("_u")).agg(F.sum("n").alias("n"), combine_hashes(F.transform(F.sort_array(F.collect_list(F.struct(F.col("_q").alias("s"), F.col("hash").alias("h")))), lambda x: x["h"])).alias("hash"))
+        d = d.withColumnRenamed("_u", "_q")
+        top //= fan
+    return d.select(key, "n", F.col("hash").alias("combined"))
+
+
 # -- numbers --------------------------------------------------------------------------------------
 
 

@@ -79,6 +79,19 @@ def r3_coalesce(spark, sf):
     return i.coalesce_positions(v.doc_spans(spark, sf).select("grp", F.col("k").alias("pos"), F.col("tag").alias("value")))
 
 
+@query('select grp, value, count(*) as n, cast(sum(pos) as bigint) as total, min(pos) as low, max(pos) as high from (select grp, value, unnest(range(start, "end")) as pos from order_spans) group by grp, value', "order_spans")
+def r2_expand_days(spark, sf):
+    """Every day of every order, told by counts and sums."""
+    return i.expand(v.order_spans(spark, sf)).groupBy("grp", "value").agg(F.count("*").alias("n"), F.sum("pos").alias("total"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+
+
+@query(""", x as (select distinct grp, value, unnest(range(start, "end")) as d from order_spans)
+select grp, min(d) as start, max(d) + 1 as "end", value from (select *, d - row_number() over (partition by grp, value order by d) as r from x) group by grp, value, r""", "order_spans")
+def r3_coalesce_days(spark, sf):
+    """Long ranges, very many positions: each day of each order, coalesced by customer and priority."""
+    return i.coalesce_positions(i.expand(v.order_spans(spark, sf)).select("grp", "pos", "value").distinct())
+
+
 @query('select grp, min(start) as start, max("end") as "end" from order_spans group by grp', "order_spans")
 def r4_covering(spark, sf):
     return i.covering_range(v.order_spans(spark, sf))

@@ -123,6 +123,15 @@ def g10_longest_paths(spark, sf):
     return p.longest_paths(v.dag_edges(spark, sf))
 
 
+@query(""", l(id, n) as (select 1, 0 union select * from (select e.src, max(l.n) + 1 from l join dag_edges e on e.dst = l.id group by e.src)), m as (select id, max(n) as n from l group by id),
+p(src, path) as (select 1, [1] union all select e.src, [e.src] || p.path from p join dag_edges e on e.dst = p.src join m on m.id = e.src and m.n = len(p.path)) select src, 1 as dst, array_to_string(path, ',') as path from p""", "dag_edges")
+def g10_longest_path_lists(spark, sf):
+    """All longest paths of every part to part 1."""
+    e = materialize(v.dag_edges(spark, sf))
+    ends = e.select("src").union(e.select("dst")).distinct().select("src", F.lit(1).cast("long").alias("dst"))
+    return p.longest_path_lists(e, ends).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+
+
 @query(PATHS + " select e.src, e.dst, e.label from dag_edges e join (select src, dst, max(length) as m from w group by src, dst) l on l.src = e.src and l.dst = e.dst where l.m = 1", "dag_edges")
 def g11_transitive_reduction(spark, sf):
     return p.transitive_reduction(materialize(v.dag_edges(spark, sf)))
@@ -163,6 +172,15 @@ def g15_difference_constraints(spark, sf):
     return p.difference_constraints(v.dag_edges(spark, sf).withColumn("label", F.col("label") - 25))[0]
 
 
+@query(""", t as (select src, dst, label % 100 - 30 as label from trade_edges), n as (select count(*) as n from (select src from t union select dst from t)),
+w(src, dst, label, k) as (select src, dst, label, 1 from t union all select * from (select w.src, t.dst, min(w.label + t.label), w.k + 1 from w join t on t.src = w.dst, n where w.k <= n.n group by w.src, t.dst, w.k))
+select distinct src as id from w where src = dst and label < 0""", "trade trade_edges")
+def g15_negative_loops(spark, sf):
+    """Nations on a loop of negative length: x - y <= label can't hold around it."""
+    e = v.trade_edges(spark, sf).withColumn("label", F.col("label") % 100 - 30)
+    return p.forced_to_infinity(materialize(e))
+
+
 @query(""", lv(id, h) as (select dst, 0 from dag_edges where dst not in (select src from dag_edges) union select e.src, lv.h + 1 from lv join dag_edges e on e.dst = lv.id)
 select id, max(h) as level from lv group by id""", "dag_edges")
 def s2_topological_levels(spark, sf):

@@ -44,6 +44,47 @@ def t3_line_and_column(spark, sf):
     return t.line_and_column(table(spark, sf, "documents").select("doc_id", "text"), offsets)
 
 
+#: Every third line becomes code, in the manner of the document's format; in Markdown the lines after these are in a fence of another language.
+FORMS = {
+    "md": ("```agda\n", "{}\n", "```\n", "", ""), "tex": ("\\begin{code}", "\n{}\n  ", "\\end{code}", "text ", " tail\n"), "tree": ("\\agda{", "\n{}\n ", "}", "see ", " rest\n"),
+    "org": ("#+BEGIN_SRC agda2 :tangle yes\n", "{}\n", "  #+end_src\n", "", ""), "rst": (":\n\n", "  x{}\n", "", "Say:", "back\n"),
+}
+FORM_NAMES = list(FORMS)
+
+
+def _sql_text(s: str, line: str = "") -> str:
+    """A template as an SQL expression."""
+    parts = [("'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'") for p in s.split("{}")]
+    return f" || {line} || ".join(parts)
+
+
+def _by_format(parts: tuple[int, ...], line: str = "") -> str:
+    return "case doc_id % 5 " + " ".join(f"when {i} then " + " || ".join(_sql_text(FORMS[f][p], line) for p in parts) for i, f in enumerate(FORM_NAMES)) + " end"
+
+
+def _formats(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"), (F.col("doc_id") % 5).alias("f"))
+
+    def wrapped(x, i):
+        out = F.when((i % 3 == 0) & (F.col("f") == 0), F.concat(F.lit("```haskell\n"), x, F.lit("\n```\n")))
+        for k, (begin, code, end, before, after) in enumerate(FORMS.values()):
+            a, b = code.split("{}")
+            out = out.when((i % 3 == 2) & (F.col("f") == k), F.concat(F.lit(before + begin + a), x, F.lit(b + end + after)))
+        return out.otherwise(F.concat(x, F.lit("\n")))
+
+    name = F.element_at(F.array(*map(F.lit, FORM_NAMES)), (F.col("f") + 1).cast("int"))
+    return d.select("doc_id", name.alias("format"), F.array_join(F.transform("l", wrapped), "").alias("text"))
+
+
+@query(LIT + f""" , x as (select doc_id, k, {_by_format((1,), "line")} as code, {_by_format((0, 2))} as markup, {_by_format((3, 4))} as around, k % 3 = 0 as wrapped,
+  case when k % 3 = 1 and doc_id % 5 = 0 then '```haskell' || chr(10) || line || chr(10) || '```' || chr(10) else line || chr(10) end as prose from s)
+select doc_id, 'Code' as role, md5(string_agg(code, '' order by k)) as digest from x where wrapped group by doc_id union all select doc_id, 'Markup', md5(string_agg(markup, '' order by k)) from x where wrapped group by doc_id
+union all select doc_id, 'Comment', md5(string_agg(case when wrapped then around else prose end, '' order by k)) from x group by doc_id""")
+def t1_layers_of_formats(spark, sf):
+    parts = t.layers(_formats(spark, sf), only_tagged=True).groupBy("doc_id", "role").agg(F.sort_array(F.collect_list(F.struct("idx", "content"))).alias("a"))
+    return parts.select("doc_id", "role", F.md5(F.array_join(F.transform("a", lambda x: x["content"]), "")).alias("digest"))
+
+
 PAD = "text || case when doc_id % 3 = 0 then '  ' || chr(10) || chr(10) when doc_id % 3 = 1 then chr(10) else ' x' || chr(9) || chr(10) || 'y' end"
 NORMAL = "regexp_replace(regexp_replace(text, '[ \\t\\r]+\\n', chr(10), 'g'), '\\s+\\z', '')"
 
@@ -98,12 +139,13 @@ def t7_name_suffixes(spark, sf):
     return n.select("name", s["kind"].alias("kind"), s["n"].alias("n"), s["base"].alias("base"), t.next_name(F.col("name")).alias("next"))
 
 
-NAMES = "(select distinct a.p_name as a, b.p_name as b from part a, (select distinct p_name from part where p_size > 40) b)"
+NAMES = "(select distinct a.p_name as a, b.p_name as b from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type)"
 
 
 def _names(spark, sf):
-    p = table(spark, sf, "part")
-    return p.select(F.col("p_name").alias("a")).distinct().crossJoin(F.broadcast(p.where("p_size > 40").select(F.col("p_name").alias("b")).distinct()))  # a few colours times a few things
+    """Pairs of names of one brand and type."""
+    p = table(spark, sf, "part").select("p_brand", "p_type", "p_name").distinct()
+    return p.withColumnRenamed("p_name", "a").join(p.withColumnRenamed("p_name", "b"), ["p_brand", "p_type"]).select("a", "b").distinct()
 
 
 @query(f"""select a, b, a[1:coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: a[1:i] = b[1:i])), 0)] as prefix,
@@ -131,8 +173,7 @@ def t10_formatting(spark, sf):
 @query()
 def t11_content_hashes(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", F.xxhash64("text").alias("hash"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"])
-    return d.groupBy("source").agg(F.count("*").alias("n"), t.combine_hashes(ordered).alias("combined"))
+    return t.combined_hashes(d, "source", "doc_id")
 
 
 @query("select l_orderkey, l_partkey, l_linenumber, l_partkey + l_suppkey as plus, l_partkey * l_suppkey as times, greatest(l_suppkey - l_partkey, 0) as minus, l_partkey // l_linenumber as div, l_partkey % l_linenumber as mod, l_partkey = l_suppkey as eq, l_partkey < l_suppkey as lt from lineitem")
@@ -179,11 +220,11 @@ def t16_float_math(spark, sf):
 
 
 @query("""select doc_id, length(regexp_replace(text, '[^\\p{Ll}]', '', 'g')) as n_lower, length(regexp_replace(text, '[^0-9]', '', 'g')) as n_digit, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) as n_alpha, length(regexp_replace(text, '[^\\s]', '', 'g')) as n_space,
-length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) as n_ascii, length(regexp_replace(text, '[^0-9A-Fa-f]', '', 'g')) as n_hex, upper(text[1]) as up, lower(text[1]) as down, unicode(text[1]) as code from documents""")
+length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) as n_ascii, length(regexp_replace(text, '[^\\x00-\\x{FF}]', '', 'g')) as n_latin1, length(regexp_replace(text, '[\\p{C}\\x{2028}\\x{2029}]', '', 'g')) as n_print, length(regexp_replace(text, '[^0-9A-Fa-f]', '', 'g')) as n_hex, upper(text[1]) as up, lower(text[1]) as down, unicode(text[1]) as code from documents""")
 def t17_character_classes(spark, sf):
     c = t.class_counts(F.col("text"))
     first = F.substr("text", F.lit(1), F.lit(1))
-    return table(spark, sf, "documents").select("doc_id", *[c[n].alias(f"n_{n}") for n in ("lower", "digit", "alpha", "space", "ascii", "hex")], F.upper(first).alias("up"), F.lower(first).alias("down"), F.ascii(first).cast("long").alias("code"))
+    return table(spark, sf, "documents").select("doc_id", *[c[n].alias(f"n_{n}") for n in ("lower", "digit", "alpha", "space", "ascii", "latin1", "print", "hex")], F.upper(first).alias("up"), F.lower(first).alias("down"), F.ascii(first).cast("long").alias("code"))
 
 
 @query("select c_custkey, length(c_name) as n, array_to_string(string_split(c_name, ''), ',') as letters, c_name || '!' as appended, c_name = c_mktsegment as same, c_name[1] as head, c_name[2:] as tail from customer")

@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Tables in the shared folder that are still there.
@@ -61,6 +63,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialize_counting(df: DataFrame, counted: Column) -> tuple[DataFrame, int]:
+    """materialize(), and how many of its rows satisfy a condition, counted while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(counted).alias("n")))
+    return out, seen.get.get("n", 0)
+
+
+class Grown:
+    """A table that rows are added to. Parts of equal age are merged, so n additions leave about log n parts, and every row
+    is written that often at most."""
+
+    def __init__(self, first: DataFrame):
+        self.parts: list[tuple[DataFrame, int]] = [(first, 1)]
+
+    def add(self, part: DataFrame) -> None:
+        """part is a written table; it is not deleted before the next but one addition."""
+        self.parts.append((part, 1))
+        while len(self.parts) > 2 and self.parts[-3][1] == self.parts[-2][1]:
+            (a, n), (b, m), last = self.parts[-3:]
+            self.parts[-3:] = [(materialize(a.unionByName(b)), n + m), last]
+            release(a)
+            release(b)
+
+    def view(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p for p, _ in self.parts])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

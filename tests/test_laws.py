@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.semiring import BOOLEAN, COUNTING, MIN_PLUS, POLARITIES, polarity_plus, polarity_times
+from tessera.functions.semiring import BOOLEAN, COUNTING, MIN_PLUS, POLARITIES, POLARITY, polarity_plus, polarity_times
 from tessera.operators import components, graph, grouping, hierarchy, intervals, matrix, paths, repo, text
 from tessera.streaming import jobs
 
@@ -144,8 +144,9 @@ def positions(rows):
 R = "grp long, start long, end long, seq long, value string"
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_interval_laws(spark, seed):
+@pytest.mark.parametrize("seed, most", [(1, 10**6), (2, 3)])
+def test_interval_laws(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(intervals, "SPLIT", most)  # 3: every group is worked in pieces
     a, b = random_ranges(seed), random_ranges(seed + 50)
     da, db = spark.createDataFrame(a, R), spark.createDataFrame(b, R)
     as_rows = lambda df: [(r["grp"], r["start"], r["end"]) for r in df.collect()]
@@ -158,6 +159,26 @@ def test_interval_laws(spark, seed):
         got = [(r["grp"], r["seq"], r["b_seq"]) for r in intervals.overlap_join(da, db, width).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert {r["grp"] for r in intervals.overlap_exists(da, db).collect()} == {g for g, _, _ in want}
+    merged = [(g, s, t, e, q) for t, rows in ((0, a), (1, b)) for g, s, e, q, _ in rows]
+    clash = set()
+    for g, s, t, e, _ in merged:
+        rest = [(y[3], y[1]) for y in sorted(merged, key=lambda y: (y[1], y[3], y[2])) if y[0] == g and y[2] != t and (y[1], y[3], y[2]) > (s, e, t)]
+        if rest and rest[0][1] < e and s < rest[0][0]:
+            clash.add((g, t, s, e, rest[0][1], rest[0][0]))
+    assert {tuple(r) for r in intervals.ordered_conflicts(da, db).collect()} == clash
+    points = spark.createDataFrame([(g, p, f"{g}/{p}") for g in range(4) for p in range(50)], "grp long, pos long, note string")
+    assert {(r["grp"], r["pos"]) for r in intervals.unbounded_member(points, da.select("grp", "start", "end")).collect()} == {(g, p) for g, x in pa.items() for p in x}
+    ordered = {g: sorted(x[1:3] for x in a if x[0] == g) for g in range(3)}
+    bad = sorted((g, s, e) for g, x in ordered.items() for (s, e), n in zip(x, [*x[1:], (10**9, 0)]) if s >= e or n[0] <= e)
+    assert sorted(tuple(r)[:3] for r in intervals.violations(da).collect()) == bad
+    lined = da.where("start < end").select("grp", "start", "end", F.expr("start div 10").alias("line_start"), F.expr("`end` div 10").alias("line_end"))
+    fused = defaultdict(list)
+    for g, s, e in sorted((g, s, e) for g, s, e, *_ in a if s < e):
+        if fused[g] and fused[g][-1][2] == s // 10:
+            fused[g][-1] = [fused[g][-1][0], max(e, fused[g][-1][1]), e // 10]
+        else:
+            fused[g].append([s, e, e // 10])
+    assert {(r["grp"], r["start"], r["end"]) for r in intervals.fuse_per_line(lined).collect()} == {(g, s, e) for g, x in fused.items() for s, e, _ in x}
     # an overlay holds at every position the values that cover it, newest first
     cover = defaultdict(list)
     for g, s, e, q, v in a:
@@ -239,20 +260,131 @@ def test_compressed_paths_expand_again(spark):
     assert order == [("x", "y"), ("a", "b"), ("a", "b", "c"), ("a", "b", "c", "d", "e")] or order.index(("a", "b")) < order.index(("a", "b", "c"))
 
 
-def test_literate_layers_give_back_the_text():
-    samples = {
-        "tex": "intro\n\\begin{code}\nx = 1\n\\end{code}\nend",
-        "md": "a\n```agda\ncode\n```\nb\n```\nmore\n```",
-        "rst": "Title\n\nhere::\n\n  code\n\n  more\n\nback\n.. note::\n  no",
-        "org": "x\n#+begin_src agda2\ny\n#+end_src\n",
-        "tree": "t\n\\agda{\nc\n}\n",
-    }
-    code = {"tex": "x = 1\n", "md": "code\nmore\n", "rst": "\n  code\n\n  more\n\n", "org": "y\n", "tree": "c\n"}
-    for f, s in samples.items():
-        got = text.literate_layers(s, f)
-        assert "".join(s[a:b] for _, a, b in got) == s
-        assert "".join(s[a:b] for r, a, b in got if r == "Code") == code[f]
-    assert [r for r, _, _ in text.literate_layers(samples["md"], "md-tagged")].count("Code") == 1
+LITERATE = [
+    ("md", False, "a\n```agda\ncode\n```\nb\n```\nmore\n```", "code\nmore\n", "```agda\n```\n```\n```"),
+    ("md", True, "```agda\ncode\n```\n```\nmore\n```\nend", "code\n", "```agda\n```\n"),
+    ("md", False, "```haskell\nx\n```\nprose\n```\ncode\n ```\n", "code\n", "```\n ```\n"),
+    ("md", False, "- item ```agda\ncode\n```\n", "code\n", "```agda\n```\n"),
+    ("md", False, "```\nopen to\x0cthe\u2028end", "open to\x0cthe\u2028end", "```\n"),
+    ("tex", False, "text \\begin{code}[hide]\nx = 1\n  \\end{code} post\nend", "\nx = 1\n  ", "\\begin{code}[hide]\\end{code}"),
+    ("tex", False, "% \\begin{code}\n\\% \\begin{code}\ny\n\\end{code}\n", "\ny\n", "\\begin{code}\\end{code}"),
+    ("rst", False, "Title\n\nhere::\n\n  code\n\n  more\n\nback\n.. note::\n  no", "  code\n\n  more\n\n", ":\n\n"),
+    ("rst", False, "::\n\n    a\n  b ::\n   c\n", "    a\n   c\n", "::\n\n  b ::\n"),
+    ("org", False, "x\n#+begin_src agda2\ny\n#+end_src\n#+begin_src haskell\nz\n#+BEGIN_SRC agda2 :tangle no\nw", "y\nw", "#+begin_src agda2\n#+end_src\n#+BEGIN_SRC agda2 :tangle no\n"),
+    ("tree", False, "t \\agda{\nc\n}\nd } e\n", "\nc\n", "\\agda{}"),
+]
+
+
+@pytest.mark.parametrize("format, tagged, source, code, markup", LITERATE)
+def test_literate_layers(format, tagged, source, code, markup):
+    got = text.literate_layers(source, format, tagged)
+    assert "".join(source[a:b] for _, a, b in got) == source
+    assert "".join(source[a:b] for r, a, b in got if r == "Code") == code
+    assert "".join(source[a:b] for r, a, b in got if r == "Markup") == markup
+
+
+def test_layers_of_odd_formats(spark):
+    d = spark.createDataFrame([(1, None, "x"), (2, "html", "x"), (3, "md", None), (4, "md", ""), (5, "md", "x")], "doc_id long, format string, text string")
+    assert [(r["doc_id"], r["role"]) for r in text.layers(d).collect()] == [(5, "Comment")]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_of_nested_cycles(spark, seed):
+    r = random.Random(seed)
+    g = {(r.randrange(40), r.randrange(40)): 1 for _ in range(55)}
+    g |= {(i, i + 1): 1 for i in range(100, 130)} | {(115, 103): 1, (110, 107): 1, (129, 118): 1}
+    reach = closure_of(g)
+    nodes = {x for e in g for x in e}
+    want = {x: min([x, *(y for y in nodes if (x, y) in reach and (y, x) in reach)]) for x in nodes}
+    scc = paths.strong_components(edges_of(spark, g), spark.createDataFrame([(999,)], "id long")).collect()
+    assert {r["node"]: r["comp"] for r in scc} == want | {999: 999}
+
+
+def test_bounded_walks_multiply_along_a_shortest_walk(spark):
+    e = spark.createDataFrame([(1, 2, "+"), (2, 4, "-"), (1, 3, "g+"), (3, 4, "-"), (4, 5, "-"), (1, 5, "_")], "src long, dst long, label string")
+    cases = [(F.col("label") == "*", F.lit(True)), (F.col("label") != "_", F.col("label") == "g+")]
+    got = paths.bounded_walks(e, F.lit(1), F.lit(5), cases, POLARITY).collect()
+    times = spark.range(1).select(polarity_times(polarity_times(F.lit("g+"), F.lit("-")), F.lit("-")).alias("x")).first()["x"]
+    assert [(r["walk"], r["product"]) for r in got] == [([1, 3, 4, 5], times)]
+    assert paths.bounded_walks(e, F.lit(5), F.lit(1), cases, POLARITY).collect() == []
+
+
+def test_all_longest_paths(spark):
+    g = random_graph(11, 9, 24, acyclic=True)
+    e = edges_of(spark, g)
+    want = defaultdict(set)
+
+    def go(path):
+        want[path[0], path[-1]].add(path)
+        for s, t in g:
+            if s == path[-1]:
+                go((*path, t))
+
+    for x in {x for k in g for x in k}:
+        go((x,))
+    want = {k: {p for p in v if len(p) == max(map(len, v))} for k, v in want.items()}
+    pairs = spark.createDataFrame([*want, (0, 77)], "src long, dst long")
+    got = defaultdict(set)
+    for r in paths.longest_path_lists(e, pairs).collect():
+        got[r["src"], r["dst"]].add(tuple(r["path"]))
+    assert got == want
+
+
+def test_negative_loops_force_nodes_to_infinity(spark):
+    g = {(1, 2): 3, (2, 3): -4, (3, 1): 0, (3, 4): 1, (5, 1): 2}
+    assert {r["id"] for r in paths.forced_to_infinity(edges_of(spark, g)).collect()} == {1, 2, 3}
+    assert paths.forced_to_infinity(edges_of(spark, {(1, 2): 3, (2, 1): -3})).collect() == []
+
+
+def test_hashes_combine_in_order(spark):
+    rows = [(f"s{i % 2}", i * 3, i * 7919) for i in range(200)]
+    d = spark.createDataFrame(rows, "source string, doc_id long, hash long")
+    one = lambda values: text.combine_hashes(F.array(*[F.lit(v).cast("long") for v in values]))
+
+    def combined(values, fan):  # (seq, hash) pairs
+        groups = defaultdict(list)
+        for s, h in sorted(values):
+            groups[s // fan].append(h)
+        keys = sorted(groups)
+        got = spark.range(1).select(*[one(groups[k]).alias(f"c{k}") for k in keys]).first()
+        return list(zip(keys, got))
+
+    for fan in (1000, 20):
+        want = {}
+        for source in ("s0", "s1"):
+            level, top = combined([(s, h) for x, s, h in rows if x == source], fan), 597 // fan
+            while top:
+                level, top = combined(level, fan), top // fan
+            want[source] = level[0][1]
+        assert {r["source"]: r["combined"] for r in text.combined_hashes(d.repartition(5), "source", "doc_id", fan).collect()} == want
+    swapped = d.withColumn("doc_id", F.when(F.col("doc_id") == 0, 6).when(F.col("doc_id") == 6, 0).otherwise(F.col("doc_id")))
+    assert text.combined_hashes(swapped, "source", "doc_id").where("source = 's0'").first()["combined"] != text.combined_hashes(d, "source", "doc_id").where("source = 's0'").first()["combined"]
+
+
+def test_float_parts_give_back_the_float(spark):
+    from fractions import Fraction
+
+    from tessera.plans.registry import QUERIES
+
+    for r in QUERIES["t15_float_parts"](spark, "/root/testdata/sf0.001").collect():
+        a = r["a"]
+        if a != a or a in (float("inf"), float("-inf")):
+            assert (r["numerator"], r["denominator"]) == ("0" if a != a else "1" if a > 0 else "-1", "0") and r["mantissa"] is None and r["encoded"] is None
+        else:
+            assert Fraction(int(r["numerator"]), int(r["denominator"])) == Fraction(a) and r["encoded"] == a and (r["mantissa"] % 2 or a == 0)
+
+
+def test_skylines_compared(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "BLOCK", 7)
+    r = random.Random(3)
+    new, old = ([(i, r.randrange(12), r.randrange(12)) for i in range(40)] for _ in range(2))
+    n, o = (spark.createDataFrame(x, "id long, a long, b long").repartition(3) for x in (new, old))
+    a, b = grouping.compare_skylines(n, o, ["a", "b"])
+    le = lambda x, y: x[1] <= y[1] and x[2] <= y[2]
+    assert {x["id"] for x in a.collect()} == {x[0] for x in new if not any(le(y, x) for y in old)}
+    assert {x["id"] for x in b.collect()} == {x[0] for x in old if not any(le(y, x) and y[1:] != x[1:] for y in new)}
+    got = {x["id"] for x in grouping.skyline(n, ["a", "b"], "id").collect()}
+    assert got == {x[0] for x in new if not any(le(y, x) and (y[1:] != x[1:] or y[0] < x[0]) for y in new)}
 
 
 def test_edit_distances_and_float_parts():
