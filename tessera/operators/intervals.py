@@ -92,23 +92,30 @@ def overlap_exists(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def fuse(ranges: DataFrame) -> DataFrame:
     """The least intervals that cover these; overlapping and touching ones merge. Empty intervals vanish."""
-    sweep = _Sweep(ranges.where("start < end").select("grp", "start", "end")).furthest("_far", F.col("end"), ("start", "end"))
+    return _fused(_Sweep(ranges.where("start < end").select("grp", "start", "end")))
+
+
+def _fused(sweep: _Sweep) -> DataFrame:
+    sweep.furthest("_far", F.col("end"), ("start", "end"))
     opens = F.when(F.col("_far").isNull() | (F.col("start") > F.col("_far")), F.col("start"))
     run = sweep.furthest("_run", opens, ("start", "end"), _UPTO).df  # told by its first start
     return run.groupBy("grp", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
-def _cover(a: DataFrame, b: DataFrame) -> DataFrame:
+def _cover(a: DataFrame, b: DataFrame) -> _Sweep:
     """Segments between neighbouring ends, with how many intervals of either side cover them."""
     ev = lambda d, x, s: d.where("start < end").select("grp", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e")).select("grp", "e.at", (F.col("e.d") * x).alias("da"), (F.col("e.d") * s).alias("db"))
     e = ev(a, 1, 0).union(ev(b, 0, 1)).groupBy("grp", "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     sweep = _Sweep(e, "at").running("in_a", F.col("da"), ("at",)).running("in_b", F.col("db"), ("at",)).following("end", F.col("at"), ("at",))
-    return sweep.df.select("grp", F.col("at").alias("start"), "end", "in_a", "in_b").where("end is not null")
+    sweep.df = sweep.df.withColumnRenamed("at", "start").where("end is not null")
+    return sweep
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """Positions in a and not in b, as separated intervals."""
-    return fuse(_cover(a, b).where("in_a > 0 and in_b = 0").select("grp", "start", "end"))
+    sweep = _cover(a, b)  # segments are in the same order, so the same pieces serve
+    sweep.df = sweep.df.where("in_a > 0 and in_b = 0").select("grp", "_piece", "start", "end")
+    return _fused(sweep)
 
 
 #: Stand-ins for unbounded ends of U5 covers.
@@ -213,26 +220,21 @@ def merge_payloads(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFr
 def token_stream(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(grp, pos, token, tag): docs(grp, text) cut along non-overlapping spans(grp, start, end, tag) of positions from 1; text
     between spans has a null tag. Neighbouring equal tags are one token."""
+    spans = materialize(spans.where("start < end").select("grp", "start", "end", "tag"))
     whole = docs.where(F.length("text") > 0).select("grp", F.lit(1).cast("long").alias("start"), (F.length("text") + 1).cast("long").alias("end"))
     gaps = subtract(whole, spans).withColumn("tag", F.lit(None).cast("string"))
-    parts = spans.where("start < end").select("grp", "start", "end", "tag").unionByName(gaps)
+    parts = spans.unionByName(gaps)
     # the cuts of a text come together once, and the text is sliced in one pass
     cuts = parts.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("start", "end", "tag"))).alias("c"))
+    opens = lambda x, i: (i == 0) | ~F.get("c", i - 1)["tag"].eqNullSafe(x["tag"]) | (F.get("c", i - 1)["end"] != x["start"])
+    firsts = cuts.select("grp", F.filter("c", opens).alias("r"), F.col("c")[F.size("c") - 1]["end"].alias("stop"))
+
+    @F.pandas_udf("array<string>")
+    def sliced(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([[t[a - 1 : b - 1] for a, b in zip(s.tolist(), [*s[1:].tolist(), stop])] for t, s, stop in zip(texts, starts, stops)])
 
-    @F.pandas_udf("array<struct<pos:long,token:string,tag:string>>")
-    def sliced(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        out = []
-        for t, c in zip(texts, cuts):
-            runs = []
-            for x in c:
-                if runs and runs[-1][2] == x["tag"] and runs[-1][1] == x["start"]:
-                    runs[-1][1] = x["end"]
-                else:
-                    runs.append([x["start"], x["end"], x["tag"]])
-            out.append([{"pos": a, "token": t[a - 1 : b - 1], "tag": tag} for a, b, tag in runs])
-        return pd.Series(out)
-
-    return cuts.join(docs, "grp").select("grp", F.explode(sliced("text", "c")).alias("x")).select("grp", "x.pos", "x.token", "x.tag")
+    tokens = firsts.join(docs, "grp").select("grp", "r", sliced("text", F.transform("r", lambda x: x["start"]), "stop").alias("t"))
+    return tokens.select("grp", F.explode(F.arrays_zip("r", "t")).alias("x")).select("grp", F.col("x.r.start").alias("pos"), F.col("x.t").alias("token"), F.col("x.r.tag").alias("tag"))
 
 
 def link_target(rows: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -138,6 +138,10 @@ def is_acyclic(edges: DataFrame) -> bool:
     return edges.select(F.col("src").alias("id")).join(levels(edges), "id", "left_anti").isEmpty()
 
 
+#: Steps that marks travel between two writes.
+HOPS = 3
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp, cyclic): strongly connected components, named by their smallest node. Singletons without a
     self-loop are not cyclic.
@@ -150,29 +154,28 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("_loop"))
     done = []
     live = materialize(e.where("src <> dst"))
-    none = F.lit(None).cast(live.schema["src"].dataType)
     while not live.isEmpty():
-        ids = live.select(F.col("src").alias("id")).union(live.select("dst")).distinct()
-        marks = held = materialize(ids.select("id", F.col("id").alias("f"), F.col("id").alias("b")))
+        # either direction is a kind of step and of mark
+        steps = materialize(live.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(x).alias("at"), F.col(y).alias("to")) for k, x, y in ((0, "src", "dst"), (1, "dst", "src"))])).alias("x")).select("x.*"))
+        marks = held = materialize(steps.select("kind", F.col("to").alias("id"), F.col("to").alias("m")).union(steps.select("kind", "at", "at")).distinct())
         changed = 1
         while changed:
-            of = lambda name, mark: marks.select(F.col("id").alias(name), F.col(mark).alias("m"))  # noqa: E731, B023
-            own = marks.select("id", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
-            steps = [
-                live.join(of("src", "f"), "src").select(F.col("dst").alias("id"), F.col("m").alias("f"), none.alias("b")),
-                live.join(of("dst", "b"), "dst").select(F.col("src").alias("id"), none.alias("f"), F.col("m").alias("b")),
-                marks.select(F.col("id").alias("i"), F.col("f").alias("k")).join(of("k", "f"), "k").select(F.col("i").alias("id"), F.col("m").alias("f"), none.alias("b")),
-                marks.select(F.col("id").alias("i"), F.col("b").alias("k")).join(of("k", "b"), "k").select(F.col("i").alias("id"), none.alias("f"), F.col("m").alias("b")),
-            ]
-            every = _union([own, *[s.select("*", none.alias("f0"), none.alias("b0")) for s in steps]])
-            new = every.groupBy("id").agg(*[F.min(c).alias(c) for c in ("f", "b", "f0", "b0")])
-            new, changed = materialize_counting(new, (F.col("f") < F.col("f0")) | (F.col("b") < F.col("b0")))
+            old = marks.select("kind", "id", F.col("m").alias("was"))
+            for _ in range(HOPS):
+                hop = marks.withColumnRenamed("id", "at").join(steps, ["kind", "at"]).select("kind", F.col("to").alias("id"), "m")
+                marks = marks.union(hop).groupBy("kind", "id").agg(F.min("m").alias("m"))
+            over = marks.select("kind", F.col("id").alias("m"), F.col("m").alias("further"))
+            new = marks.join(over, ["kind", "m"]).select("kind", "id", F.least("m", "further").alias("m")).join(old, ["kind", "id"])
+            new, changed = materialize_counting(new, F.col("m") < F.col("was"))
             release(held)
-            held, marks = new, new.drop("f0", "b0")
-        done.append(marks.where("f = b").select(F.col("id").alias("node"), F.col("f").alias("comp")))
-        a, b = marks.toDF("src", "f", "b"), marks.toDF("dst", "f", "b")
+            held, marks = new, new.drop("was")
+        both = marks.where("kind = 0").select("id", F.col("m").alias("f")).join(marks.where("kind = 1").select("id", F.col("m").alias("b")), "id", "full")
+        both = materialize(both.select("id", F.coalesce("f", "id").alias("f"), F.coalesce("b", "id").alias("b")))
+        done.append(both.where("f = b").select(F.col("id").alias("node"), F.col("f").alias("comp")))
+        a, b = both.toDF("src", "f", "b"), both.toDF("dst", "f", "b")
         rest = materialize(live.join(a, "src").join(b, ["dst", "f", "b"]).where("f <> b").select("src", "dst"))
-        release(live)
+        for used in (held, steps, live):
+            release(used)
         live = rest
     every = nodes.select(F.col("id").alias("node")).union(e.select("src")).union(e.select("dst")).distinct()
     own = _union(done) if done else every.limit(0).select("node", F.col("node").alias("comp"))
