@@ -27,7 +27,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Leading bits of a hash by which first_of_each counts before it orders.
+BIN_BITS = 12
+
+
 def first_of_each(texts: DataFrame, kind: str, order: str, most: int) -> DataFrame:
-    """At most most rows of each kind, the first in this order; every partition passes on no more than that of a kind."""
-    n = fresh(texts, "n")[0]
-    return texts.withColumn(n, F.row_number().over(W.partitionBy(kind).orderBy(order))).where(F.col(n) <= most).drop(n)
+    """At most most rows of each kind, the first in this order; order is a column of 64-bit hashes, kind is not null.
+
+    Rows are counted by kind and the leading BIN_BITS of the hash; only the bins up to that of the last row wanted go on, so
+    the task that orders a kind gets most rows and one bin's, a 4096th of the kind, however many partitions there are."""
+    at, n = fresh(texts, "bin", "n")
+    binned = texts.withColumn(at, F.shiftright(order, 64 - BIN_BITS))
+    before = F.sum(n).over(W.partitionBy(kind).orderBy(at).rowsBetween(W.unboundedPreceding, -1))
+    counts = binned.groupBy(kind, at).agg(F.count("*").alias(n)).withColumn(n, F.coalesce(before, F.lit(0)))
+    some = binned.join(counts.where(F.col(n) < most), [kind, at], "left_semi")
+    place = F.row_number().over(W.partitionBy(kind).orderBy(order))
+    return some.withColumn(n, place).where(F.col(n) <= most).drop(at, n)

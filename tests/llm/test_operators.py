@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import ann, blocks, chat, langid, linededup, packing, pieces, queries, sharding, simhash, topk, toxicity
+from tessera.llm import ann, blocks, chat, common, langid, linededup, packing, pieces, queries, sharding, simhash, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string"
@@ -396,6 +396,21 @@ def test_copies_do_not_crowd_out_the_samples(spark, monkeypatch):
     assert len(set(got[0][0])) == len(got[0][0]) and (got[0][1].sum(), len(got[0][1])) == (5, 15)
 
 
+@pytest.mark.parametrize("most", [1, 700, 1500, 10**6])
+def test_first_of_each_kind_in_hash_order(spark, most):
+    rows = spark.range(9000).selectExpr("xxhash64(id) as h", "if(id % 9 = 0, 'b', if(id < 3, 'c', 'a')) as lang", "id as n", "id as bin")
+    want = defaultdict(list)
+    for r in rows.collect():
+        want[r["lang"]].append((r["h"], r["n"]))
+    drawn = common.first_of_each(rows, "lang", "h", most)
+    assert sorted(drawn.columns) == sorted(rows.columns)
+    got = defaultdict(list)
+    for r in drawn.collect():
+        got[r["lang"]].append((r["h"], r["n"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:most] for k, v in want.items()}
+    assert not common.first_of_each(rows.where("n < 0"), "lang", "h", most).count()
+
+
 def test_line_dedup(spark):
     pages = [("h", f"Menu\nown {i}\n\nown {i}") for i in range(30)] + [("h", "copy line\nMenu")] * 30 + [(None, "Menu"), ("h", None), ("h", ""), ("g", "Menu\nx")]
     df = spark.createDataFrame([(i, h, t, "z") for i, (h, t) in enumerate(pages)], "page_id long, host string, text string, n_lines string")
