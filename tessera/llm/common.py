@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the third of the documents that no model learns from."""
@@ -43,3 +45,20 @@ def first_of_each(texts: DataFrame, kind: str, order: str, most: int) -> DataFra
     some = binned.join(counts.where(F.col(n) < most), [kind, at], "left_semi")
     place = F.row_number().over(W.partitionBy(kind).orderBy(order))
     return some.withColumn(n, place).where(F.col(n) <= most).drop(at, n)
+
+
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows, written, with their places from 1 in this order, without gaps; equal rows get different places.
+
+    The order is dealt by ranges and sorted; a place is that in its partition after the sizes of the partitions before it. Only
+    one count for each partition is gathered."""
+    part, at, before = fresh(rows, "part", "at", "before")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    own = materialize(own.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    upto, offsets = 0, []
+    for r in own.groupBy(part).count().orderBy(part).collect():
+        offsets.append((r[0], upto))
+        upto += r[1]
+    table = own.sparkSession.createDataFrame(offsets, f"{part} int, {before} long")
+    return own.join(F.broadcast(table), part).withColumn(name, F.col(before) + F.col(at) + 1).select(*rows.columns, name)
