@@ -145,14 +145,14 @@ def test_clusters_of_few_and_of_none(spark):
     assert centroids.cluster(vectors_of(spark, []), dim=2).collect() == []
     rows = [(1, [1.0, 2.0]), (2, [3.0, -0.5])]
     got = centroids.cluster(vectors_of(spark, rows), dim=2)
-    assert sorted(tuple(r) for r in got.select(*OUT).collect()) == clustered(rows, 2, 256, 40, 5)
+    assert sorted((tuple(r) for r in got.select(*OUT).collect()), key=repr) == clustered(rows, 2, 256, 40, 5)
 
 
 def test_vectors_beyond_whole_numbers_move_nothing(spark):
     rows = [(i, [float(i), -float(i)]) for i in range(30)]
     got = {r["vec_id"]: r for r in centroids.cluster(vectors_of(spark, [*rows, (99, [1e30, 0.0])]), dim=2, clusters=4).collect()}
     assert got[99]["cluster"] is None and got[99]["distance"] is None
-    assert sorted(tuple(got[i][c] for c in OUT) for i in range(30)) == clustered(rows, 2, 256, 4, 5)
+    assert sorted((tuple(got[i][c] for c in OUT) for i in range(30)), key=repr) == clustered(rows, 2, 256, 4, 5)
     wide = [(0, [1e13, 0.0]), (1, [-1e13, 0.0]), (2, [0.0, 0.0])]  # whole numbers, distances beyond 64 bits
     got = centroids.cluster(vectors_of(spark, wide), dim=2, clusters=1).collect()
     assert {r["vec_id"]: r["distance"] for r in got if r["vec_id"] < 2} == {0: None, 1: None} and {r["inertia"] for r in got} == {None}
