@@ -160,8 +160,8 @@ def find_first(df: DataFrame, group: str, seq: str, cond: Column) -> DataFrame:
 def prefix_and_suffix_runs(df: DataFrame, group: str, seq: str, cond: Column) -> DataFrame:
     """df with in_prefix (this and all before satisfy cond), in_suffix (this and all after do) and from_end (1 for the
     last row, so that "drop the last n" is from_end > n)."""
-    w = W.partitionBy(group).orderBy(seq)
-    up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    # frames only grow: the way back is a sort of its own, not a frame to the end of the group for every row
+    up, down = (W.partitionBy(group).orderBy(o(seq)).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc, F.desc))
     return df.withColumn("in_prefix", F.bool_and(cond).over(up)).withColumn("in_suffix", F.bool_and(cond).over(down)).withColumn("from_end", F.count("*").over(down))
 
 

@@ -23,7 +23,7 @@ def _by(*order) -> W:
     return W.partitionBy("grp", "_piece").orderBy(*order)
 
 
-_BEFORE, _UPTO, _AFTER = (W.unboundedPreceding, -1), (W.unboundedPreceding, 0), (1, W.unboundedFollowing)
+_BEFORE, _UPTO = (W.unboundedPreceding, -1), (W.unboundedPreceding, 0)
 
 
 class _Sweep:
@@ -58,9 +58,11 @@ class _Sweep:
         return self.add(name, F.sum(value).over(_by(*order).rowsBetween(*_UPTO)), F.sum(value), lambda w: F.sum("_t").over(w.rowsBetween(*_BEFORE)), lambda x, c: x + F.coalesce(c, F.lit(0)))
 
     def following(self, name: str, value: Column, order: tuple) -> _Sweep:
-        """The first value that is not null behind each row."""
-        first = lambda c: F.first(c, ignorenulls=True)
-        return self.add(name, first(value).over(_by(*order).rowsBetween(*_AFTER)), F.min_by(value, F.when(value.isNotNull(), F.struct(*order))), lambda w: first("_t").over(w.rowsBetween(*_AFTER)), F.coalesce)
+        """The first value that is not null behind each row. In falling order it is the last one seen, so the frame only grows and
+        every row is looked at once."""
+        seen = lambda c: F.last(c, ignorenulls=True)
+        back = [F.desc(c) for c in order]
+        return self.add(name, seen(value).over(_by(*back).rowsBetween(*_BEFORE)), F.min_by(value, F.when(value.isNotNull(), F.struct(*order))), lambda w: seen("_t").over(W.partitionBy("grp").orderBy(F.desc("_piece")).rowsBetween(*_BEFORE)), F.coalesce)
 
     def preceding(self, name: str, value: Column, order: tuple) -> _Sweep:
         """The value of the row before each."""

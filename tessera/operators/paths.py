@@ -8,15 +8,18 @@ driver sees one emptiness check or count a round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semiring import BOOLEAN, MIN_PLUS, Semiring
-from ..sources.tables import Grown, materialize, materialize_counting, release
+from ..sources.tables import Grown, bucketed, materialize, materialize_counting, release, undealt
+from .chains import follow
 from .components import connected_components
-from .graph import build_with, transpose
+from .graph import build_with, dense_ids, transpose
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -81,49 +84,115 @@ def bounded_walks(edges: DataFrame, source: Column, target: Column, cases: list[
     return product_along(materialize(first), edges, semiring)
 
 
+class _Known(Grown):
+    """Pairs with the best labels so far, in parts that are dealt by src and dst as they lie; the label of a later part is the better one."""
+
+    def merged(self, parts: list[DataFrame]) -> DataFrame:
+        return bucketed(_union([undealt(d) for d in parts]).groupBy("src", "dst").agg(F.max_by("label", "round").alias("label"), F.max("round").alias("round")), "src", "dst", dealt=True)
+
+    def view(self) -> DataFrame:
+        return _union([undealt(d) for d, _ in self.parts])
+
+    def labels_of(self, pairs: DataFrame) -> DataFrame:
+        """pairs(src, dst, ..) with _was, the label known so far or null; the parts stay where they are."""
+        names = []
+        for i, (part, _) in enumerate(reversed(self.parts)):
+            names.append(f"_was{i}")
+            pairs = pairs.join(part.select("src", "dst", F.col("label").alias(names[-1])), ["src", "dst"], "left")
+        return pairs.withColumn("_was", F.coalesce(*names)).drop(*names)
+
+
 def closure(edges: DataFrame, semiring: Semiring = MIN_PLUS, rounds: int | None = None) -> DataFrame:
     """(src, dst, label, round): the non-reflexive closure over an idempotent semiring, semi-naive: only pairs whose
     label improved in a round are extended in the next. round is the last in which the label changed.
 
-    rounds bounds the rounds (a negative cycle under min-plus never ends by itself).
+    Edges lie in buckets by src, known pairs in buckets by src and dst, so a round shuffles what the last round improved and what
+    it leads to, not what is known. rounds bounds the rounds (a negative cycle under min-plus never ends by itself).
     """
     assert semiring.idempotent, "a closure by rounds needs an idempotent plus; use levels() sums on acyclic graphs"
     e = materialize(build_with(edges, semiring.plus))
-    delta = materialize(e.select("src", "dst", "label", F.lit(0).alias("round")))
-    found = Grown(delta)
+    by_src = bucketed(e.select(F.col("src").alias("_m"), "dst", F.col("label").alias("_b")), "_m")
+    delta = bucketed(e.select("src", "dst", "label", F.lit(0).alias("round")), "src", "dst")
+    found = _Known(delta)
     i = 0
     while rounds is None or i < rounds:
         i += 1
-        step = delta.select("src", F.col("dst").alias("_m"), F.col("label").alias("_a")).join(e.select(F.col("src").alias("_m"), "dst", F.col("label").alias("_b")), "_m")
-        step = step.select("src", "dst", semiring.times(F.col("_a"), F.col("_b")).alias("label")).groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"))
-        # what is known of the pairs met in this round; only pairs that improve are written
-        step = step.select("src", "dst", "label", F.lit(True).alias("_met"))
-        both = found.view().select("src", "dst", "label", F.lit(False).alias("_met")).unionByName(step)
-        new = both.groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"), semiring.plus(F.when(~F.col("_met"), F.col("label"))).alias("_was"), F.bool_or("_met").alias("_met"))
-        delta = materialize(new.where(F.col("_met") & ~F.col("label").eqNullSafe(F.col("_was"))).select("src", "dst", "label", F.lit(i).alias("round")))
-        if delta.isEmpty():
+        step = _extended(delta, by_src, semiring)
+        both = found.labels_of(step).select("src", "dst", "_was", F.explode(F.when(F.col("_was").isNull(), F.array("label")).otherwise(F.array("label", "_was"))).alias("label"))
+        new = both.groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"), F.any_value("_was").alias("_was"))
+        delta, n = bucketed(new.where(~F.col("label").eqNullSafe(F.col("_was"))).select("src", "dst", "label", F.lit(i).alias("round")), "src", "dst", dealt=True, counted=F.lit(True))
+        if not n:
             break
         found.add(delta)
     return found.view().groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"), F.max("round").alias("round"))
 
 
+def _extended(pairs: DataFrame, by_src: DataFrame, semiring: Semiring) -> DataFrame:
+    """pairs one edge longer; by_src(_m, dst, _b)."""
+    step = pairs.select("src", F.col("dst").alias("_m"), F.col("label").alias("_a")).join(by_src, "_m")
+    return step.select("src", "dst", semiring.times(F.col("_a"), F.col("_b")).alias("label")).groupBy("src", "dst").agg(semiring.plus(F.col("label")).alias("label"))
+
+
+def bottom_up(e: DataFrame, sinks: DataFrame, name: str, over: Column, aggregates: dict, own: Callable[[dict], dict]) -> DataFrame:
+    """The rows of sinks(id, ..), and one for each node all of whose targets along e(src, dst, ..) have got theirs, in that order.
+
+    over: the value that an edge hands on as name, of the target's columns and e's; aggregates: how every column of sinks is
+    put together from those of the targets (aggregate functions that may be applied in parts); own: the node's columns from that.
+    A node's open targets are not counted down in a table of all nodes: each round logs how many targets came, and what they gave, for
+    the nodes it touched, so what is written is linear in the edges. The log is merged as it ages; finished nodes leave it then."""
+    degree = materialize(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_open")))
+    put = [f(c).alias(c) for c, f in aggregates.items()]
+    last, log, found, n = materialize(sinks), None, [], 1
+    while n:
+        found.append(last)
+        step = last.withColumnRenamed("id", "dst").join(e, "dst").withColumn(name, over)
+        step = step.select(F.col("src").alias("id"), F.lit(1).cast("long").alias("_came"), F.lit(0).cast("long").alias("_before"), *aggregates)
+        if log:
+            step = step.unionByName(log.view().where("not _done").select("id", F.lit(0).cast("long").alias("_came"), F.col("_came").alias("_before"), *aggregates))
+        step = step.groupBy("id").agg(F.sum("_came").alias("_now"), F.max("_before").alias("_before"), *put).where("_now > 0")
+        touched = step.join(degree, "id").withColumn("_came", F.col("_now") + F.col("_before")).withColumn("_done", F.col("_came") == F.col("_open")).drop("_open", "_now", "_before")
+        touched, n = materialize_counting(touched, F.col("_done"))
+        last = touched.where("_done").select("id", *[own(c).alias(c) for c in aggregates])
+        if log:
+            log.add(touched)
+        else:
+            log = _Log(touched, aggregates)
+    return _union(found)
+
+
+class _Log(Grown):
+    """What the touched nodes have got so far; of a node's rows the latest holds all, and a finished node isn't touched again."""
+
+    def __init__(self, first: DataFrame, aggregates: dict):
+        super().__init__(first)
+        self.aggregates = {"_came": F.max, **aggregates, "_done": F.bool_or}
+
+    def drop(self, part: DataFrame) -> None:
+        """Its finished nodes are still wanted."""
+
+    def merged(self, parts: list[DataFrame]) -> DataFrame:
+        return materialize(_union(parts).groupBy("id").agg(*[f(c).alias(c) for c, f in self.aggregates.items()]).where("not _done"))
+
+
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, level): level of a node of an acyclic graph, 0 for nodes without outgoing edges, else one more than the
     highest level among its targets, so that edge (x, y) puts y before x. Nodes on or above a cycle are not in the
-    result."""
+    result.
+
+    Chains of nodes with one target each are followed first, by doubling, and become one edge with their length; rounds and writes
+    are those of the graph that is left (bottom_up)."""
     e = materialize(edges.select("src", "dst").distinct())
     ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id")))
     ids = (ids if nodes is None else ids.union(nodes.select("id"))).distinct()
-    sources = e.select(F.col("src").alias("id")).distinct()
-    left = materialize(e.groupBy(F.col("src").alias("id")).count().withColumnRenamed("count", "open"))
-    found = [materialize(ids.join(sources, "id", "left_anti").withColumn("level", F.lit(0)))]
-    while not found[-1].isEmpty():
-        done = found[-1].select(F.col("id").alias("dst")).join(e, "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-        new = materialize(left.join(done, "id", "left").select("id", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open")))
-        release(left)
-        found.append(materialize(new.where("open = 0").select("id", F.lit(len(found)).alias("level"))))
-        left = new.where("open > 0")
-    return _union(found)
+    out = materialize(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("to")))
+    chains = follow(out.where("n = 1").select("id", "to"), name_circles=False)
+    ended = materialize(chains.ended)
+    short = e.join(out.where("n > 1").select(F.col("id").alias("src")), "src", "left_semi").join(ended.withColumnRenamed("id", "dst"), "dst", "left")
+    short = short.select("src", F.coalesce("root", "dst").alias("dst"), (F.coalesce("dist", F.lit(0)) + 1).alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    sinks = ids.join(out.select("id"), "id", "left_anti").withColumn("level", F.lit(0).cast("long"))
+    high = materialize(bottom_up(materialize(short), sinks, "level", F.col("level") + F.col("w"), {"level": F.max}, F.col))
+    chained = ended.join(high.withColumnRenamed("id", "root"), "root").select("id", (F.col("level") + F.col("dist")).alias("level"))
+    return high.union(chained).select("id", F.col("level").cast("int").alias("level"))
 
 
 def topological_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -142,18 +211,59 @@ def is_acyclic(edges: DataFrame) -> bool:
 HOPS = 3
 
 
+#: Times that chains are contracted before marks are sent, forwards and backwards in turn.
+TURNS = 3
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp, cyclic): strongly connected components, named by their smallest node. Singletons without a
     self-loop are not cyclic.
 
-    Every node gets the smallest node that reaches it and the smallest that it reaches, both in the same rounds, which also take
-    the marks of the marks (what reaches my mark reaches me), so marks travel far in few rounds. Where both are the same node, it is
-    the component's name. Edges between nodes of different marks join no component and go; what is left is marked anew.
-    """
+    Nodes with one successor are contracted into the end of their chain first, by pointer doubling, then nodes with one predecessor; long
+    chains and all that hangs on a circle are so done with in log(length) rounds. What is left is marked."""
     e = materialize(edges.select("src", "dst").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("_loop"))
+    every = nodes.select(F.col("id").alias("node")).union(e.select("src")).union(e.select("dst")).distinct()
+    found = materialize(_contracted(materialize(e.where("src <> dst")), TURNS))
+    name = found.groupBy("comp").agg(F.min("node").alias("_name"))  # a contracted node may be the smallest
+    own = every.join(found.join(name, "comp").select("node", F.col("_name").alias("comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    own = materialize(own)
+    size = own.groupBy("comp").count()
+    return own.join(size, "comp").join(loops, "node", "left").select("node", "comp", ((F.col("count") > 1) | F.col("_loop").isNotNull()).alias("cyclic"))
+
+
+def _contracted(live: DataFrame, turns: int) -> DataFrame:
+    """(node, comp) of components of the edges live, of two nodes or more at least; live has no self-loops.
+
+    A node with one successor is in the component of its chain's root if an edge from there enters the chain at the node or before
+    it, and else alone; nodes that lead to a circle of such nodes are alone, and the circle is a component."""
+    if not turns:
+        return _marked(live)
+    nxt, n = materialize_counting(live.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1").select("id", "to"), F.lit(True))
+    if not n:
+        return _contracted(transpose(live), turns - 1)
+    chains = follow(nxt)
+    ended, gone = materialize(chains.ended), materialize(chains.endless)
+    rest = live.join(nxt.select(F.col("id").alias("src")), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    rest = materialize(rest.join(ended.select(F.col("id").alias("dst"), "root"), "dst", "left"))
+    inner = materialize(_contracted(materialize(rest.select("src", F.coalesce("root", "dst").alias("dst")).where("src <> dst").distinct()), turns - 1))
+    # entries of chains from the component of their root; the roots are alone if inner has no row for them
+    enter = rest.where("root is not null").join(inner.select(F.col("node").alias("src"), F.col("comp").alias("_a")), "src", "left").join(inner.select(F.col("node").alias("root"), F.col("comp").alias("_b")), "root", "left")
+    reached = materialize(enter.where(F.coalesce("_a", "src") == F.coalesce("_b", "root")).select(F.col("dst").alias("id"), F.coalesce("_b", "root").alias("comp")).distinct())
+    if not reached.isEmpty():
+        for jump in chains.jumps:
+            reached = materialize(reached.union(reached.join(jump, "id").select("to", "comp")).distinct())
+    own = reached.select(F.col("comp").alias("node"), "comp").distinct().join(inner.select("node"), "node", "left_anti")  # roots that were alone
+    return _union([inner, reached.select(F.col("id").alias("node"), "comp"), own, chains.circles.select(F.col("id").alias("node"), "comp")])
+
+
+def _marked(live: DataFrame) -> DataFrame:
+    """(node, comp): components of the edges live, without self-loops.
+
+    Every node gets the smallest node that reaches it and the smallest that it reaches, both in the same rounds, which also take
+    the marks of the marks (what reaches my mark reaches me), so marks travel far in few rounds. Where both are the same node, it is
+    the component's name. Edges between nodes of different marks join no component and go; what is left is marked anew."""
     done = []
-    live = materialize(e.where("src <> dst"))
     while not live.isEmpty():
         # either direction is a kind of step and of mark
         steps = materialize(live.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(x).alias("at"), F.col(y).alias("to")) for k, x, y in ((0, "src", "dst"), (1, "dst", "src"))])).alias("x")).select("x.*"))
@@ -174,14 +284,18 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         done.append(both.where("f = b").select(F.col("id").alias("node"), F.col("f").alias("comp")))
         a, b = both.toDF("src", "f", "b"), both.toDF("dst", "f", "b")
         rest = materialize(live.join(a, "src").join(b, ["dst", "f", "b"]).where("f <> b").select("src", "dst"))
-        for used in (held, steps, live):
+        for used in (held, steps):
             release(used)
         live = rest
-    every = nodes.select(F.col("id").alias("node")).union(e.select("src")).union(e.select("dst")).distinct()
-    own = _union(done) if done else every.limit(0).select("node", F.col("node").alias("comp"))
-    own = every.join(own, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    size = own.groupBy("comp").count()
-    return own.join(size, "comp").join(loops, "node", "left").select("node", "comp", ((F.col("count") > 1) | F.col("_loop").isNotNull()).alias("cyclic"))
+    return _union(done) if done else live.select(F.col("src").alias("node"), F.col("dst").alias("comp"))
+
+
+def component_order(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(comp, level, place): components in reverse topological order, sinks first: if an edge leads from one to another, the other has the lower
+    level and place. Places are 0, 1, .. by level, then name."""
+    c = components.select("comp").distinct()
+    at = levels(condensation(edges, components), c.withColumnRenamed("comp", "id")).select(F.struct("level", F.col("id").alias("comp")).alias("k"))
+    return dense_ids(at, "k", "place").select("k.comp", "k.level", "place")
 
 
 def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -232,15 +346,57 @@ def longest_path_lists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return _union(found) if found else live.select("src", "dst", "path")
 
 
+#: Labellings of the index of reachability.
+LABELS = 8
+
+
+def reach_index(edges: DataFrame, labels: int = LABELS) -> DataFrame:
+    """(id, level, lo0, hi0, lo1, ..) of the nodes of an acyclic graph: an index that tells most pairs that are not connected apart without a walk.
+
+    Every node has a number in each labelling (a hash); lo and hi are the least and greatest number of all that it reaches, itself
+    included, gathered from the sinks upwards. If x reaches y, the intervals of x contain those of y in all labellings and its level is higher.
+    Nodes on or above a cycle are left out."""
+    e = materialize(edges.select("src", "dst").distinct())
+    number = {f"{end}{i}": F.xxhash64("id", F.lit(i)) for i in range(labels) for end in ("lo", "hi")}
+    sinks = e.select(F.col("dst").alias("id")).distinct().join(e.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(0).cast("long").alias("level"), *[n.alias(c) for c, n in number.items()])
+
+    def own(c: str) -> Column:
+        return F.col(c) if c == "level" else (F.least if c[:2] == "lo" else F.greatest)(F.col(c), number[c])
+
+    return materialize(bottom_up(e, sinks, "level", F.col("level") + 1, {"level": F.max} | {c: F.min if c[:2] == "lo" else F.max for c in number}, own))
+
+
+def _may_reach(x: str, y: str, labels: int = LABELS) -> Column:
+    """Whether the index lets a node reach another; x and y come before the names of its columns."""
+    inside = [(F.col(f"{x}lo{i}") <= F.col(f"{y}lo{i}")) & (F.col(f"{x}hi{i}") >= F.col(f"{y}hi{i}")) for i in range(labels)]
+    return reduce(lambda a, b: a & b, inside, F.col(f"{x}level") > F.col(f"{y}level"))
+
+
 def transitive_reduction(edges: DataFrame, acyclic: bool = False) -> DataFrame:
     """Edges of an acyclic graph without a longer path between their ends. ValueError on a cycle; acyclic: the caller knows that there
-    is none."""
+    is none.
+
+    Edge (u, v) goes if another target w of u reaches v. Where no target of u above v's level has an interval around v's, labels decide (a running
+    minimum over the targets of u, which are sorted in one task). For what is left a walk starts at each w whose labels contain v's, and goes on only over such nodes, until it is at v."""
     e = materialize(edges.select("src", "dst").distinct())
-    if not acyclic:
-        topological_order(e)
-    reach = closure(e.withColumn("label", F.lit(True)), BOOLEAN).select("src", "dst")
-    longer = e.select("src", F.col("dst").alias("_m")).join(reach.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
-    return edges.join(longer, ["src", "dst"], "left_anti").select(*edges.columns)
+    index = reach_index(e)
+    if not acyclic and not e.select(F.col("src").alias("id")).join(index, "id", "left_anti").isEmpty():
+        raise ValueError("no transitive reduction: the graph has a cycle")
+    columns = [c for c in index.columns if c != "id"]
+    at = bucketed(e.join(index.withColumnRenamed("id", "dst"), "dst").select("src", "dst", *columns), "src")
+    above = W.partitionBy("src").orderBy(F.desc("level")).rangeBetween(W.unboundedPreceding, -1)
+    maybe = reduce(lambda a, b: a & b, [F.min(f"lo{i}").over(above) <= F.col(f"lo{i}") for i in range(LABELS)] + [F.max(f"hi{i}").over(above) >= F.col(f"hi{i}") for i in range(LABELS)])
+    open_ = materialize(at.withColumn("_maybe", maybe).where("_maybe").drop("_maybe"))
+    goal = ["src", "dst", *columns]
+    live = open_.join(at.select("src", F.col("dst").alias("_x"), *[F.col(c).alias(f"x_{c}") for c in columns]), "src").where(_may_reach("x_", "")).select(*goal, "_x")
+    n, hits = 1, []
+    while n:
+        step = live.join(at.select(F.col("src").alias("_x"), F.col("dst").alias("_y"), *[F.col(c).alias(f"y_{c}") for c in columns]), "_x")
+        step = step.withColumn("_hit", F.col("_y") == F.col("dst")).where(F.col("_hit") | _may_reach("y_", "")).select(*goal, F.col("_y").alias("_x"), "_hit").distinct()
+        step, n = materialize_counting(step, ~F.col("_hit"))
+        hits.append(step.where("_hit").select("src", "dst"))
+        live = step.where("not _hit").drop("_hit").join(hits[-1], ["src", "dst"], "left_anti")
+    return edges.join(_union(hits), ["src", "dst"], "left_anti").select(*edges.columns)
 
 
 def drop_nodes_keep_paths(edges: DataFrame, keep: DataFrame, semiring: Semiring, acyclic: bool = False) -> DataFrame:

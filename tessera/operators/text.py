@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,117 +13,125 @@ from pyspark.sql import functions as F
 
 # -- literate text --------------------------------------------------------------------------------
 
-#: File endings and their formats; marks that open and close code in each format.
-FORMATS = {".lagda.rst": "rst", ".lagda.tex": "tex", ".lagda.md": "md", ".lagda.org": "org", ".lagda.tree": "tree", ".lagda.typ": "md", ".lagda": "tex"}
-#: Lines that open and close code, by format; groups are the parts of the line.
-MARKS = {
-    "tex": (r"((?:[^\\%]|\\.)*)(\\begin\{code\}[^\n]*)(\n?)", r"([ \t]*)(\\end\{code\})(.*)"),
-    "tree": (r"((?:[^\\%]|\\.)*)(\\agda\{[^\n]*)(\n?)", r"([ \t]*)(\})(.*)"),
-    "org": (r"(?i).*\s*#\+begin_src agda2\s+", r"(?i)\s*#\+end_src\s*"),
-    "md": (r"(.*)(\s*```(agda)?\s*)", r"\s*```\s*"),
-    "md-other": (r"\s*```[a-zA-Z0-9-]*\s*", r"\s*```\s*"),
-    "rst": (r"(.*)(::)(\s*)", r"\s*\.\.(\s.*)?"),
-}
-MARKS = {k: tuple(re.compile(p, re.DOTALL) for p in v) for k, v in MARKS.items()}
+#: What follows the base ending in a file name, and the format it stands for.
+ENDINGS = {".rst": "rst", ".tex": "tex", ".md": "md", ".org": "org", ".tree": "tree", ".typ": "md", "": "tex"}
+#: Marks of the formats; {} is the language's name.
+FENCE, TEX, TREE, ORG, BLOCK = "```", ("\\begin{code}", "\\end{code}"), ("\\{}{{", "}"), ("#+begin_src {} ", "#+end_src"), "::"
 KNOWN = ("tex", "tree", "org", "md", "rst")
+LANGUAGE = "code"
 
 
-def format_of(path: Column) -> Column:
-    """The text format of a file name, null if it has none of the known endings."""
-    out = F.lit(None).cast("string")
-    for ending, name in reversed(FORMATS.items()):
-        out = F.when(F.endswith(path, F.lit(ending)), name).otherwise(out)
-    return out
-
-
-# A state takes a line, with its newline, and gives the parts of the line, (role, text), and the state of the next line.
-
-
-def _within_marks(format: str):
-    """Code from one mark to another, either in the middle of a line."""
-    opens, closes = MARKS[format]
-
-    def outside(line):
-        if m := opens.fullmatch(line):
-            return [("Comment", m[1]), ("Markup", m[2]), ("Code", m[3])], inside
-        return [("Comment", line)], outside
+def format_of(path: Column, base: str = ".lit") -> Column:
+    """The text format of a file name, null if it has none of the known endings behind the base ending."""
+    return F.coalesce(*[F.when(F.endswith(path, F.lit(base + more)), F.lit(name)) for more, name in ENDINGS.items()])
 
-    def inside(line):
-        if m := closes.fullmatch(line):
-            return [("Code", m[1]), ("Markup", m[2]), ("Comment", m[3])], outside
-        return [("Code", line)], inside
 
-    return outside
+class _Lines:
+    """A text by lines; lines end at newlines only."""
 
+    def __init__(self, text: str):
+        self.text, self.starts = text, [0, *(m.end() for m in re.finditer("\n", text))]
+        if self.starts[-1] == len(text):
+            self.starts.pop()
 
-def _between_lines():
-    """Code between two whole lines that begin like the marks."""
-    opens, closes = MARKS["org"]
-    outside = lambda line: ([("Markup", line)], inside) if opens.match(line) else ([("Comment", line)], outside)
-    inside = lambda line: ([("Markup", line)], outside) if closes.match(line) else ([("Code", line)], inside)
-    return outside
+    def __len__(self) -> int:
+        return len(self.starts)
 
+    def at(self, i: int) -> int:
+        """Where line i starts; the text's end behind the last."""
+        return self.starts[i] if i < len(self.starts) else len(self.text)
 
-def _fenced(only_tagged: bool):
-    """Code in fences without a language or with the right one (only_tagged: the latter alone); what is in other fences is no code."""
-    (opens, closes), other = MARKS["md"], MARKS["md-other"][0]
+    def __getitem__(self, i: int) -> str:
+        return self.text[self.at(i) : self.at(i + 1)]
 
-    def outside(line):
-        m = opens.fullmatch(line)
-        if m and (m[3] or not only_tagged):
-            return [("Comment", m[1]), ("Markup", m[2])], inside
-        return [("Comment", line)], foreign if m or other.fullmatch(line) else outside
+    def first(self, i: int, holds: Callable[[str], bool]) -> int:
+        """The first line from i on that holds, or the number of lines."""
+        return next((j for j in range(i, len(self)) if holds(self[j])), len(self))
 
-    inside = lambda line: ([("Markup", line)], outside) if closes.fullmatch(line) else ([("Code", line)], inside)
-    foreign = lambda line: ([("Comment", line)], outside if closes.fullmatch(line) else foreign)
-    return outside
 
+# A format looks for its next block from line i on and gives four positions, where the opening mark, the code, the closing mark and the
+# text behind it start, and the line to look on from; None if there is no more block.
 
-def _indented():
-    """Code is the indented block that follows a line ending in "::", which is no comment of its own."""
-    opens, comment = MARKS["rst"]
 
-    def outside(line):
-        m = None if comment.fullmatch(line) else opens.fullmatch(line)
-        if not m:
-            return [("Comment", line)], outside
-        if not m[1] or (m[1][-1].isspace() and m[1][-1] != "\n"):
-            return [("Markup", line)], waiting
-        return [("Comment", m[1] + ":"), ("Markup", ":" + m[3])], waiting
-
-    def waiting(line):
-        if not line.strip():
-            return [("Markup", line)], waiting
-        margin = line[: len(line) - len(line.lstrip())]
-        return ([("Code", line)], block(margin)) if margin else outside(line)
-
-    def block(margin):
-        inside = lambda line: ([("Code", line)], inside) if not line.strip() or line.startswith(margin) else outside(line)
-        return inside
-
-    return outside
+def _mark_in(line: str, mark: str) -> int | None:
+    """The last place of a mark that is neither behind a percent sign nor escaped by a backslash."""
+    i, found = 0, None
+    while i < len(line) and line[i] != "%":
+        found = i if line.startswith(mark, i) else found
+        i += 2 if line[i] == "\\" else 1
+    return found
 
 
-def literate_layers(text: str, format: str, only_tagged: bool = False) -> list[tuple[str, int, int]]:
+def _next_marked(lines: _Lines, i: int, begin: str, end: str) -> tuple | None:
+    """TeX-like: from a mark within a line to a line that starts with the other; what follows on their lines isn't code."""
+    i = lines.first(i, lambda x: _mark_in(x, begin) is not None)
+    if i == len(lines):
+        return None
+    line = lines[i]
+    j = lines.first(i + 1, lambda x: x.lstrip(" \t").startswith(end))
+    blanks = len(lines[j]) - len(lines[j].lstrip(" \t")) if j < len(lines) else 0
+    stop = lines.at(j) + blanks
+    return lines.at(i) + _mark_in(line, begin), lines.at(i) + len(line.rstrip("\n")), stop, stop + len(end) * (j < len(lines)), j + 1
+
+
+def _next_section(lines: _Lines, i: int, begin: str, end: str) -> tuple | None:
+    """Org: whole lines are marks, in any case of letters."""
+    i = lines.first(i, lambda x: begin in re.sub(r"\s", " ", x.lower()))
+    j = lines.first(i + 1, lambda x: x.lstrip().lower().startswith(end))
+    return (lines.at(i), lines.at(i + 1), lines.at(j), lines.at(j + 1), j + 1) if i < len(lines) else None
+
+
+def _next_fence(lines: _Lines, i: int, language: str, only_tagged: bool) -> tuple | None:
+    """Markdown: a fence at a line's end, bare or with the language's name (only_tagged: the latter alone), to a line that is a bare fence; fences of
+    other languages are passed over with what they hold."""
+    while i < len(lines):
+        body = lines[i].rstrip()
+        tag = next((t for t in (language, "") if body.endswith(FENCE + t)), None)
+        other = body.lstrip().startswith(FENCE) and re.fullmatch("[a-zA-Z0-9-]*", body.lstrip()[len(FENCE) :])
+        if tag is not None or other:
+            j = lines.first(i + 1, lambda x: x.strip() == FENCE)
+            if tag or tag == "" and not only_tagged:
+                return lines.at(i) + len(body) - len(FENCE + tag), lines.at(i + 1), lines.at(j), lines.at(j + 1), j + 1
+            i = j
+        i += 1
+    return None
+
+
+def _next_indented(lines: _Lines, i: int) -> tuple | None:
+    """reStructuredText: the indented lines behind one that ends in two colons, which is no comment. Of the colons one belongs to the
+    text before them, if that goes on to them; blank lines before the code belong to the mark."""
+    comment = lambda x: x.lstrip().startswith("..") and (x.lstrip() + " ")[2].isspace()
+    i = lines.first(i, lambda x: x.rstrip().endswith(BLOCK) and not comment(x))
+    if i == len(lines):
+        return None
+    before = lines[i].rstrip()[: -len(BLOCK)]
+    opens = lines.at(i) + (len(before) + 1 if before and not before[-1].isspace() else 0)
+    j = lines.first(i + 1, lambda x: bool(x.strip()))
+    margin = lines[j][: len(lines[j]) - len(lines[j].lstrip())]
+    k = lines.first(j, lambda x: bool(x.strip()) and not x.startswith(margin)) if margin else j
+    return opens, lines.at(j), lines.at(k), lines.at(k), k
+
+
+def literate_layers(text: str, format: str, only_tagged: bool = False, language: str = LANGUAGE) -> list[tuple[str, int, int]]:
     """(role, start, end) of the layers of a text, positions from 0; together they are the text. Role: Code, Markup (what opens or closes
-    code) or Comment; neighbouring parts that are both code or both comment are one layer. Lines end at newlines only."""
-    state = _fenced(only_tagged) if format == "md" else _indented() if format == "rst" else _between_lines() if format == "org" else _within_marks(format)
+    code) or Comment; none is empty."""
+    lines = _Lines(text)
+    find = {
+        "md": lambda i: _next_fence(lines, i, language, only_tagged), "rst": lambda i: _next_indented(lines, i), "tex": lambda i: _next_marked(lines, i, *TEX),
+        "tree": lambda i: _next_marked(lines, i, *(m.format(language) if "{}" in m else m for m in TREE)), "org": lambda i: _next_section(lines, i, *(m.format(language) for m in ORG)),
+    }[format]
     out: list[tuple[str, int, int]] = []
-    at = 0
-    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
-        parts, state = state(line)
-        for role, part in parts:
-            if not part:
-                continue
-            if out and out[-1][0] == role != "Markup":
-                out[-1] = (role, out[-1][1], at + len(part))
-            else:
-                out.append((role, at, at + len(part)))
-            at += len(part)
-    return out
+    at = line = 0
+    while block := find(line):
+        *cuts, line = block
+        for role, end in zip(("Comment", "Markup", "Code", "Markup"), cuts):
+            if at < end:
+                out.append((role, at, end))
+                at = end
+    return [*out, ("Comment", at, len(text))] if at < len(text) else out
 
 
-def layers(docs: DataFrame, only_tagged: bool = False) -> DataFrame:
+def layers(docs: DataFrame, only_tagged: bool = False, language: str = LANGUAGE) -> DataFrame:
     """(doc_id, idx, role, start, end, content) of docs(doc_id, format, text); positions from 1. only_tagged: Markdown blocks count as code only if they name
     the language. Null and empty texts have no layers, and neither have texts of a format that is null or not one of KNOWN."""
 
@@ -131,7 +139,7 @@ def layers(docs: DataFrame, only_tagged: bool = False) -> DataFrame:
         for pdf in batches:
             rows = []
             for d, f, t in zip(pdf["doc_id"], pdf["format"], pdf["text"]):
-                for i, (role, a, b) in enumerate(literate_layers(t or "", f, only_tagged)):
+                for i, (role, a, b) in enumerate(literate_layers(t or "", f, only_tagged, language)):
                     rows.append((d, i, role, a + 1, b + 1, t[a:b]))
             yield pd.DataFrame(rows, columns=["doc_id", "idx", "role", "start", "end", "content"])
 

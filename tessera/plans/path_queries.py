@@ -73,6 +73,35 @@ def g5_strong_components(spark, sf):
     return _scc(spark, sf)[1]
 
 
+_ORDER = """, k as (select distinct a.comp as src, b.comp as dst from {e} e join c a on a.node = e.src join c b on b.node = e.dst where a.comp <> b.comp),
+lv(id, h) as (select comp, 0 from c where comp not in (select src from k) union select k.src, lv.h + 1 from lv join k on k.dst = lv.id),
+m as (select id as comp, max(h) as level from lv group by id) select comp, level, row_number() over (order by level, comp) - 1 as place from m"""
+
+
+@query(SCC + _ORDER.format(e="top_next"), "next_supp top_next")
+def g5_component_order(spark, sf):
+    return p.component_order(*_scc(spark, sf))
+
+
+BLOCS = SCC.replace("top_next", "bloc_edges")
+
+
+def _blocs(spark, sf):
+    e = materialize(v.bloc_edges(spark, sf))
+    return e, materialize(p.strong_components(e, e.select(F.col("src").alias("id"))))
+
+
+@query(BLOCS + " select a.comp as src, b.comp as dst from bloc_edges e join c a on a.node = e.src join c b on b.node = e.dst where a.comp <> b.comp group by all", "next_supp bloc_edges")
+def g6_condensation_blocs(spark, sf):
+    """Of a graph with several large components, on every edge between suppliers that leads to no earlier bloc."""
+    return p.condensation(*_blocs(spark, sf))
+
+
+@query(BLOCS + _ORDER.format(e="bloc_edges"), "next_supp bloc_edges")
+def g5_component_order_blocs(spark, sf):
+    return p.component_order(*_blocs(spark, sf))
+
+
 @query(SCC + " select distinct a.comp as src, b.comp as dst from top_next e join c a on a.node = e.src join c b on b.node = e.dst where a.comp <> b.comp", "next_supp top_next")
 def g6_condensation(spark, sf):
     return p.condensation(*_scc(spark, sf))

@@ -72,17 +72,17 @@ def j14_bimap(spark, sf):
     return a.union(b).union(c).union(row(old, "old", "key", "value")).union(row(new, "new", "key", "value"))
 
 
-FILES = "select distinct r_name || '/' || p_brand || case when p_size > 25 then '.agda' else '.lagda' end as path from part join region on r_regionkey = p_size % 9"
+FILES = "select distinct r_name || '/' || p_brand || case when p_size > 25 then '.src' else '.lit' end as path from part join region on r_regionkey = p_size % 9"
 
 
 @query(f"""select name, case when n > 1 then 'Ambiguous' when n = 1 then 'Found' else 'NotFound' end as status, case when n = 1 then p end as path from (
-select name, (select count(*) from ({FILES}) f where f.path in (select r_name || '/' || b.name || e from region, (select unnest(['.agda', '.lagda']) as e) where r_name < 'B')) as n,
-  (select min(path) from ({FILES}) f where f.path in (select r_name || '/' || b.name || e from region, (select unnest(['.agda', '.lagda']) as e) where r_name < 'B')) as p from (select distinct p_brand as name from part union select 'Brand#none') b)""")
+select name, (select count(*) from ({FILES}) f where f.path in (select r_name || '/' || b.name || e from region, (select unnest(['.src', '.lit']) as e) where r_name < 'B')) as n,
+  (select min(path) from ({FILES}) f where f.path in (select r_name || '/' || b.name || e from region, (select unnest(['.src', '.lit']) as e) where r_name < 'B')) as p from (select distinct p_brand as name from part union select 'Brand#none') b)""")
 def j15_locate(spark, sf):
     p, r = table(spark, sf, "part"), table(spark, sf, "region")
-    f = p.join(r, F.col("r_regionkey") == F.col("p_size") % 9).select(F.concat("r_name", F.lit("/"), "p_brand", F.when(F.col("p_size") > 25, ".agda").otherwise(".lagda")).alias("path"))
+    f = p.join(r, F.col("r_regionkey") == F.col("p_size") % 9).select(F.concat("r_name", F.lit("/"), "p_brand", F.when(F.col("p_size") > 25, ".src").otherwise(".lit")).alias("path"))
     names = p.select(F.col("p_brand").alias("name")).union(spark.createDataFrame([("Brand#none",)], "name string"))
-    return repo.locate(names.distinct(), r.where("r_name < 'B'").select(F.col("r_name").alias("dir")), spark.createDataFrame([(".agda",), (".lagda",)], "ext string"), f)
+    return repo.locate(names.distinct(), r.where("r_name < 'B'").select(F.col("r_name").alias("dir")), spark.createDataFrame([(".src",), (".lit",)], "ext string"), f)
 
 
 @query("""select o_orderpriority as log, max(o_totalprice) filter (o_orderstatus = 'F') as "F", max(o_totalprice) filter (o_orderstatus = 'O') as "O", max(o_totalprice) filter (o_orderstatus = 'P') as "P" from orders where contains(o_orderpriority, 'I') group by 1""")

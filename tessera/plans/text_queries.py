@@ -46,8 +46,8 @@ def t3_line_and_column(spark, sf):
 
 #: Every third line becomes code, in the manner of the document's format; in Markdown the lines after these are in a fence of another language.
 FORMS = {
-    "md": ("```agda\n", "{}\n", "```\n", "", ""), "tex": ("\\begin{code}", "\n{}\n  ", "\\end{code}", "text ", " tail\n"), "tree": ("\\agda{", "\n{}\n ", "}", "see ", " rest\n"),
-    "org": ("#+BEGIN_SRC agda2 :tangle yes\n", "{}\n", "  #+end_src\n", "", ""), "rst": (":\n\n", "  x{}\n", "", "Say:", "back\n"),
+    "md": ("```code\n", "{}\n", "```\n", "", ""), "tex": ("\\begin{code}", "\n{}\n  ", "\\end{code}", "text ", " tail\n"), "tree": ("\\code{", "\n{}\n ", "}", "see ", " rest\n"),
+    "org": ("#+BEGIN_SRC code :tangle yes\n", "{}\n", "  #+end_src\n", "", ""), "rst": (":\n\n", "  x{}\n", "", "Say:", "back\n"),
 }
 FORM_NAMES = list(FORMS)
 
@@ -265,10 +265,10 @@ def io1_whole_texts(spark, sf):
     return d.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query("""select path, case when suffix(path, '.lagda.md') then 'md' when suffix(path, '.lagda.rst') then 'rst' when suffix(path, '.lagda') then 'tex' end as format from (select p_partkey || case p_size % 4 when 0 then '.lagda.md' when 1 then '.lagda.rst' when 2 then '.lagda' else '.agda' end as path from part)""")
+@query("""select path, case when suffix(path, '.lit.md') then 'md' when suffix(path, '.lit.rst') then 'rst' when suffix(path, '.lit') then 'tex' end as format from (select p_partkey || case p_size % 4 when 0 then '.lit.md' when 1 then '.lit.rst' when 2 then '.lit' else '.src' end as path from part)""")
 def io2_format_of(spark, sf):
     s = F.col("p_size") % 4
-    p = table(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.when(s == 0, ".lagda.md").when(s == 1, ".lagda.rst").when(s == 2, ".lagda").otherwise(".agda")).alias("path"))
+    p = table(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.when(s == 0, ".lit.md").when(s == 1, ".lit.rst").when(s == 2, ".lit").otherwise(".src")).alias("path"))
     return p.withColumn("format", t.format_of(F.col("path")))
 
 

@@ -88,6 +88,14 @@ def top_next(spark: SparkSession, sf: str) -> DataFrame:
     return next_supp(spark, sf).groupBy("src").agg(F.min_by(F.struct("dst", "label"), F.struct(-F.col("label"), "dst")).alias("x")).select("src", "x.*")
 
 
+SQL["bloc_edges"] = "select src, dst, label from next_supp where src % 7 <= dst % 7"
+
+
+def bloc_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """next_supp among seven blocs of suppliers, without what leads to an earlier bloc."""
+    return next_supp(spark, sf).where("src % 7 <= dst % 7")
+
+
 SQL["flow_edges"] = """select src, dst, count(*) as label from (select lag(event_type) over (partition by user_id order by ts, event_id) as src, event_type as dst from events) where src is not null group by src, dst"""
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Tables in the shared folder that are still there.
 _written: list[str] = []
+#: Their names, of those that are dealt into buckets.
+_named: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -70,9 +72,34 @@ def materialize_counting(df: DataFrame, counted: Column) -> tuple[DataFrame, int
     return out, seen.get.get("n", 0)
 
 
+def bucketed(df: DataFrame, *keys: str, dealt: bool = False, counted: Column | None = None) -> DataFrame | tuple[DataFrame, int]:
+    """materialize(), dealt into buckets by keys: joins and groupings on these keys read it as it lies, without a shuffle. There are
+    as many buckets as shuffle partitions, so the other side of a join is dealt to match. dealt: df comes out of a join or grouping on keys.
+    counted: as in materialize_counting()."""
+    spark = df.sparkSession
+    path, name = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", f"tessera_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = Observation()
+    df = df if counted is None else df.observe(seen, F.count_if(counted).alias("n"))
+    # dealt by the same hash as the buckets, so that a task writes one file
+    (df if dealt else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._tessera_path, out._tessera_name = path, name
+    _written.append(path)
+    _named[path] = name
+    return out if counted is None else (out, seen.get.get("n", 0))
+
+
+def undealt(df: DataFrame) -> DataFrame:
+    """What bucketed() wrote for df as a plain table. A union of tables must not count on their buckets."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._tessera_path)
+
+
 class Grown:
-    """A table that rows are added to. Parts of equal age are merged, so n additions leave about log n parts, and every row
-    is written that often at most."""
+    """A table that rows are added to. FAN parts of equal age are merged, so n additions leave some FAN log n parts, and every row
+    is written about log n times at most."""
+
+    FAN = 4
 
     def __init__(self, first: DataFrame):
         self.parts: list[tuple[DataFrame, int]] = [(first, 1)]
@@ -80,17 +107,28 @@ class Grown:
     def add(self, part: DataFrame) -> None:
         """part is a written table; it is not deleted before the next but one addition."""
         self.parts.append((part, 1))
-        while len(self.parts) > 2 and self.parts[-3][1] == self.parts[-2][1]:
-            (a, n), (b, m), last = self.parts[-3:]
-            self.parts[-3:] = [(materialize(a.unionByName(b)), n + m), last]
-            release(a)
-            release(b)
+        while len(self.parts) > self.FAN:
+            old, n = [d for d, _ in self.parts[-self.FAN - 1 : -1]], [n for _, n in self.parts[-self.FAN - 1 : -1]]
+            if len(set(n)) > 1:
+                break
+            self.parts[-self.FAN - 1 : -1] = [(self.merged(old), sum(n))]
+            for d in old:
+                self.drop(d)
+
+    def drop(self, part: DataFrame) -> None:
+        """part has been merged."""
+        release(part)
+
+    def merged(self, parts: list[DataFrame]) -> DataFrame:
+        return materialize(reduce(DataFrame.unionByName, parts))
 
     def view(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [p for p, _ in self.parts])
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _named:
+        spark.sql(f"drop table if exists {_named.pop(path)}")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -261,17 +261,17 @@ def test_compressed_paths_expand_again(spark):
 
 
 LITERATE = [
-    ("md", False, "a\n```agda\ncode\n```\nb\n```\nmore\n```", "code\nmore\n", "```agda\n```\n```\n```"),
-    ("md", True, "```agda\ncode\n```\n```\nmore\n```\nend", "code\n", "```agda\n```\n"),
+    ("md", False, "a\n```code\ncode\n```\nb\n```\nmore\n```", "code\nmore\n", "```code\n```\n```\n```"),
+    ("md", True, "```code\ncode\n```\n```\nmore\n```\nend", "code\n", "```code\n```\n"),
     ("md", False, "```haskell\nx\n```\nprose\n```\ncode\n ```\n", "code\n", "```\n ```\n"),
-    ("md", False, "- item ```agda\ncode\n```\n", "code\n", "```agda\n```\n"),
+    ("md", False, "- item ```code\ncode\n```\n", "code\n", "```code\n```\n"),
     ("md", False, "```\nopen to\x0cthe\u2028end", "open to\x0cthe\u2028end", "```\n"),
     ("tex", False, "text \\begin{code}[hide]\nx = 1\n  \\end{code} post\nend", "\nx = 1\n  ", "\\begin{code}[hide]\\end{code}"),
     ("tex", False, "% \\begin{code}\n\\% \\begin{code}\ny\n\\end{code}\n", "\ny\n", "\\begin{code}\\end{code}"),
     ("rst", False, "Title\n\nhere::\n\n  code\n\n  more\n\nback\n.. note::\n  no", "  code\n\n  more\n\n", ":\n\n"),
     ("rst", False, "::\n\n    a\n  b ::\n   c\n", "    a\n   c\n", "::\n\n  b ::\n"),
-    ("org", False, "x\n#+begin_src agda2\ny\n#+end_src\n#+begin_src haskell\nz\n#+BEGIN_SRC agda2 :tangle no\nw", "y\nw", "#+begin_src agda2\n#+end_src\n#+BEGIN_SRC agda2 :tangle no\n"),
-    ("tree", False, "t \\agda{\nc\n}\nd } e\n", "\nc\n", "\\agda{}"),
+    ("org", False, "x\n#+begin_src code\ny\n#+end_src\n#+begin_src haskell\nz\n#+BEGIN_SRC code :tangle no\nw", "y\nw", "#+begin_src code\n#+end_src\n#+BEGIN_SRC code :tangle no\n"),
+    ("tree", False, "t \\code{\nc\n}\nd } e\n", "\nc\n", "\\code{}"),
 ]
 
 
