@@ -45,6 +45,10 @@ class Vectors:
         """(id, vec) of the rows whose id is divisible by every; of rows that share an id the least."""
         return materialize(self.table.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vec").alias("vec")))
 
+    def query_rows(self, every: int) -> DataFrame:
+        """(id, rid, vec) of all rows whose id is divisible by every."""
+        return materialize(self.table.where(F.pmod("id", F.lit(every)) == 0).select("id", "rid", "vec"))
+
 
 def stored(df: DataFrame, vec_id: str, vec: str, among: Callable[[Column], Column] | None = None) -> Vectors:
     """The usable rows that have an id and satisfy among(vec). Vectors shorter than the longest count as zero beyond their end."""

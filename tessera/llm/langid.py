@@ -16,15 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
 from .common import first_of_each, fresh
 
 HIDDEN, WINDOW, BATCH = 6, 128, 2048
-#: Bounds of the training sample: rows, and windows taken of each (evenly spread over the whole text).
-SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 8
+#: Bounds of the training sample: rows, characters of them all, and languages.
+SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGS = 3000, 24_000_000, 1000
 STEPS, TRAIN_BATCH, SEED = 200, 160, 7
 UNDETERMINED = "und"
 
@@ -142,38 +143,36 @@ def _windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(rows * WINDOW), np.uint8).reshape(rows, WINDOW)
 
 
-def _spread(text: Column) -> Column:
-    """SAMPLE_WINDOWS windows of WINDOW characters, evenly spread from a text's first to its last character; all of a shorter text."""
-    far = F.greatest(F.length(text) - WINDOW, F.lit(0))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.floor(i * far / (SAMPLE_WINDOWS - 1)).cast("int")))
-    return F.transform(starts, lambda p: F.substr(text, p + 1, F.lit(WINDOW)))
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, most_langs: int = MOST_LANGS) -> dict:
     """A model from labelled rows: {"langs": [...], "weights": {...}}.
 
     docs holds only rows that may be learned from. A bounded sample teaches: of every language the same number of
     different texts, together sample_rows (one of each language if there are more languages than that), the first in the order of a
-    hash of the text; of each text SAMPLE_WINDOWS windows, evenly spread over the whole of it, those without a letter
-    left out if others have one. Every language that has a text with a letter is learned. Rows with a null
+    hash of the text. Each teaches whole, by all its windows of WINDOW bytes (those without a letter left out if others have
+    one); if the drawn texts exceed sample_chars characters together, each language has an equal share of these, and its longest
+    texts are left out until they fit (the shortest is always taken). The most_langs languages with most different texts are learned, ties by name. Rows with a null
     language or a text without letters teach nothing; with no rows left the model knows no language and predicts "und".
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    texts = materialize(rows.select("lang", "h").distinct())  # copies are one text
-    n = texts.select("lang").distinct().count()
+    texts = materialize(rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n")))  # copies are one text
+    known = materialize(texts.groupBy("lang").agg(F.count("*").alias("texts")).orderBy(F.desc("texts"), "lang").limit(most_langs).select("lang"))
+    n = known.count()
     if not n:
         return {"langs": [], "weights": {}}
-    drawn = materialize(first_of_each(texts, "lang", "h", max(1, sample_rows // n)))
-    # at most sample_rows or n rows; of the texts only the windows of those drawn move
-    some = rows.join(F.broadcast(drawn), ["lang", "h"]).select("lang", "h", _spread(F.col("text")).alias("windows"))
-    some = some.groupBy("lang", "h").agg(F.min("windows").alias("windows")).orderBy("lang", "h").collect()
+    drawn = first_of_each(texts.join(F.broadcast(known), "lang", "left_semi"), "lang", "h", max(1, sample_rows // n))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("n", "h").rowsBetween(W.unboundedPreceding, 0))
+    drawn = drawn.withColumn("upto", upto).where((F.col("upto") <= sample_chars // n) | (F.col("upto") == F.col("n"))).select("lang", "h")
+    drawn = materialize(drawn)  # at most sample_rows or n rows
+    some = rows.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
     langs = sorted({r["lang"] for r in some})
     number = {name: k for k, name in enumerate(langs)}
-    sample = []
+    windows, labels = [], []
     for r in some:
-        lettered = [w for w in r["windows"] if any(map(str.isalpha, w))]
-        sample += [(number[r["lang"]], _windows(w.encode()[:WINDOW])[0]) for w in lettered or r["windows"]]
-    return {"langs": langs, "weights": train(np.stack([x for _, x in sample]), np.array([k for k, _ in sample]), len(langs))}
+        own = _windows(r["text"].encode())
+        lettered = [any(map(str.isalpha, w.tobytes().decode(errors="ignore"))) for w in own]
+        windows.append(own[lettered] if any(lettered) else own)
+        labels.append(np.full(len(windows[-1]), number[r["lang"]]))
+    return {"langs": langs, "weights": train(np.concatenate(windows), np.concatenate(labels), len(langs))}
 
 
 def label_positions(data: bytes, model: dict) -> np.ndarray:

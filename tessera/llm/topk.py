@@ -41,12 +41,14 @@ class Search:
     def __init__(self, df: DataFrame, k: int, vec_id: str, vec: str, lists: int, every: int):
         self.k, self.lists = k, lists
         self.rows: Vectors = stored(df, vec_id, vec)
-        high = self.rows.largest**2 * max(1, self.rows.dim)
+        self.queries = self.rows.queries(every)
+        squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+        # no product, nor any part of its sum, exceeds the length of the longest query times that of the longest row
+        high = ((self.queries.agg(F.max(squares)).first()[0] or 0.0) * self.rows.longest) ** 0.5 * (1 + 1e-9)
         if high >= 2**63:
             raise ArithmeticError("inner products may not fit 64-bit integers")
         #: Whole numbers are exact in doubles while sums stay below 2^53.
         self.kind = np.float64 if high < 2**53 else np.int64
-        self.queries = self.rows.queries(every)
         at = np.linspace(0, self.rows.dim, lists + 1).astype(int).tolist()
         self.cuts = list(zip(at, at[1:]))
 
@@ -149,7 +151,7 @@ def top_k(df: DataFrame, k: int = 20, vec_id: str = "vec_id", vec: str = "vec",
     vec holds whole numbers. Rows whose vector is null or holds null or non-finite numbers take no part, nor do
     rows without an id. A vector shorter than the longest counts as zero beyond its end, an empty one as zero.
     Repeated rows are candidates each; queries with one id count once. Other columns are not read; an
-    empty table gives no rows. ArithmeticError if numbers are so large that a sum may exceed 64 bits.
+    empty table gives no rows. ArithmeticError if the longest query's length times the longest row's reaches 2**63, so that a sum may exceed 64 bits.
     """
     search = Search(df, k, vec_id, vec, lists, every)
     cutoffs = materialize(search.first_cutoff())

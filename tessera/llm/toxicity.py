@@ -107,8 +107,8 @@ def train(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_each: int = SAMPLE_EACH, sample_chars: int = SAMPLE_CHARS) -> dict[str, float]:
     """Weights from a bounded sample of docs with labels (both by doc_id, and only rows that may be learned from): at most
     sample_each toxic and twice as many clean different texts, the first in the order of a hash of the text. Each teaches
-    whole, whatever its length; if the texts together exceed sample_chars characters for each label, the sample ends with
-    the last text before that (one text of each label is always taken).
+    whole, whatever its length; if the drawn texts of a label exceed sample_chars characters together, the longest of them
+    are left out until they don't (the shortest is always taken).
 
     Labelled documents are first brought to one hash for each different text, so copies count once and no texts but the sample's
     move; a text with both labels is toxic. Null texts, ids and labels teach nothing.
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = materialize(texts)
     want = {k: (2 - k) * sample_each for k in (0, 1)}
     drawn = reduce(DataFrame.unionByName, [first_of_each(texts.where(F.col("_toxic") == k), "_toxic", "_h", n) for k, n in want.items()])
-    upto = F.sum("_n").over(W.partitionBy("_toxic").orderBy("_h").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("_n").over(W.partitionBy("_toxic").orderBy("_n", "_h").rowsBetween(W.unboundedPreceding, 0))
     drawn = drawn.withColumn("_upto", upto).where((F.col("_upto") <= sample_chars) | (F.col("_upto") == F.col("_n")))
     drawn = materialize(drawn.drop("_n", "_upto"))  # at most 3 * sample_each ids
     got = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id").where(F.xxhash64("_text") == F.col("_h"))

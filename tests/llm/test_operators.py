@@ -64,6 +64,40 @@ def test_ann_recall_and_scores(spark):
         assert [(-s, v) for _, v, s in rows] == sorted((-s, v) for _, v, s in rows)
 
 
+def test_ann_scores_a_share_of_the_rows(spark):
+    """On vectors without clusters: at most 45 % of any block for any query, with a recall of 0.9."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.where(blocks.usable(F.col("embedding"))).select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+    got = ann.search(df).collect()
+    assert max(r["scored"] / r["block_rows"] for r in got) <= 0.45
+    found, hits = defaultdict(set), 0
+    for r in got:
+        found[r["query_id"]].add(r["vec_id"])
+    for q in found:
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -np.inf
+        hits += len(found[q] & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert set(found) == {int(i) for i in ids if i % 20 == 0} and hits >= 0.9 * 20 * len(found)
+
+
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.search(df).collect())
+    assert got == sorted([(1, 1, 2.0), (2, 2, 1.0), (3, 20, 0.0), (1, 2, 3.0), (2, 1, 1.0), (3, 20, 0.0)])
+
+
+def test_one_large_row_stops_no_search(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(v) for v in rng.integers(-6, 7, 5)]) for i in range(60)] + [(61, [2e9, 0.0, 0.0, 0.0, 0.0])]
+    x = np.array([v for _, v in rows])
+    got = defaultdict(list)
+    for r in sorted(topk.top_k(spark.createDataFrame(rows, "vec_id long, vec array<double>")).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for q in (0, 20, 40):
+        assert got[q] == sorted(((int(x[i] @ x[q]), rows[i][0]) for i in range(61) if i != q), key=lambda t: (-t[0], t[1]))[:20]
+
+
 def test_ann_few_rows_and_empty(spark):
     df, _ = embeddings(spark, 12)
     got = ann.search(df).collect()
@@ -424,13 +458,44 @@ def test_line_dedup(spark):
 def test_line_dedup_of_large_and_small_hosts(spark):
     pages = [("big", f"own {i}" + "\nLicensed" * (i % 100 == 0) + "\nrare" * (i < 3)) for i in range(800)] + [("small", f"mine {i}\nMenu" + "\ntwice" * (i < 2)) for i in range(5)]
     df = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(pages)], "page_id long, host string, text string")
-    got = {r["page_id"]: r["text"] for r in linededup.drop_boilerplate(df, "host").collect()}
+    got = {r["page_id"]: r["text"] for r in linededup.drop_boilerplate(df, "host", ratio=0.005).collect()}
     assert got[100] == "own 100" and got[0] == "own 0\nrare"  # on 1 % of a large host's pages, and on 3 of 800
     assert [got[800], got[804]] == ["mine 0", "mine 4"]  # a small host is cleaned alike
     two = spark.createDataFrame([(0, "h", "Menu\nx", "a"), (1, "h", "Menu\ny", "b"), (2, "i", "Menu\nz", "c")], "page_id long, host string, text string, kept string")
     assert [(r["text"], r["kept"]) for r in linededup.drop_boilerplate(two, "host").orderBy("page_id").collect()] == [("x", "a"), ("y", "b"), ("Menu\nz", "c")]
 
 
+@pytest.mark.parametrize("pages, least", [(1, 2), (2, 2), (15, 3), (30, 4), (58, 7), (300, 31)])
+def test_the_ratio_decides_on_hosts_of_all_sizes(spark, pages, least):
+    """A line goes from that number of pages on and stays on one fewer."""
+    rows = [(i, "h", f"own {i}" + "\ngoes" * (i < least) + "\nstays" * (i < least - 1)) for i in range(pages)]
+    got = linededup.drop_boilerplate(spark.createDataFrame(rows, "page_id long, host string, text string"), "host").select(F.sum("n_dropped"), F.count_if(F.contains("text", F.lit("stays")))).first()
+    assert tuple(got) == (least if pages > 1 else 0, min(least - 1, pages))
+
+
+def test_one_huge_text_ends_no_sample(spark):
+    """Texts behind it in the order of the hash teach as before."""
+    texts = [f"clean words number {i} of calm prose. " * 3 for i in range(40)] + [f"vile hatred insult {i}. calm prose." for i in range(40)]
+    rows = [(i, t, int(i >= 40)) for i, t in enumerate(texts)] + [(100, "vile endless " * 40000, 1), (101, "calm endless " * 40000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    w = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), sample_chars=20_000)
+    some = toxicity.fit(df.where("doc_id < 100").drop("toxic"), df.where("doc_id < 100").select("doc_id", "toxic"))
+    assert w == some and len(w) > 3
+
+
+def test_language_of_three_byte_letters_learns_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda x, y, n: seen.append((x, y)) or {})
+    thai, text = "ก" * 1000, "plain words " * 500
+    df = spark.createDataFrame([(1, thai, "th"), (2, text, "en"), (3, "1 2 3", "en"), (4, "q " * 300_000, "en")], "doc_id long, text string, lang string")
+    assert langid.fit(df, sample_chars=20_000)["langs"] == ["en", "th"]
+    x, y = seen[0]
+    assert x[y == 1].tobytes().decode(errors="ignore").count("ก") >= 1000 - 2 * len(x[y == 1]) and x[y == 1].tobytes().rstrip(b" ") == thai.encode()
+    assert x[y == 0].tobytes().rstrip(b" ") == text.encode().rstrip(b" ")  # the longest text doesn't fit
+    many = spark.createDataFrame([(i, f"word {i}", f"l{i % 7}" if i < 21 else f"x{i}") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.fit(many, most_langs=7)["langs"] == [f"l{i}" for i in range(7)]
+
+
 # -- 5, 6 and 7 -----------------------------------------------------------------------------------
 
 
