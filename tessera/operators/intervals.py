@@ -167,10 +167,21 @@ def expand(ranges: DataFrame) -> DataFrame:
     return ranges.where("start < end").select(*rest, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
 
 
+#: Positions of a piece in which runs are made.
+STRETCH = 65_536
+
+
 def coalesce_positions(positions: DataFrame) -> DataFrame:
-    """(grp, start, end, value): consecutive positions(grp, pos, value) of equal value become one interval."""
-    p = positions.withColumn("_run", F.col("pos") - F.row_number().over(W.partitionBy("grp", "value").orderBy("pos")))
-    return p.groupBy("grp", "value", "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).select("grp", "start", "end", "value")
+    """(grp, start, end, value): consecutive positions(grp, pos, value) of equal value become one interval; repeated positions count once.
+
+    Positions are cut into stretches, and each stretch makes its own runs, so a large group is spread over many tasks. Only runs that
+    touch a border of their stretch can go on in the next one; these, two a stretch at most, are fused."""
+    piece = W.partitionBy("grp", "value", "_stretch").orderBy("pos")
+    p = positions.withColumn("_stretch", F.floor(F.col("pos") / STRETCH))
+    runs = p.withColumn("_run", F.col("pos") - F.dense_rank().over(piece)).groupBy("grp", "value", "_stretch", "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    runs = materialize(runs.withColumn("_border", (F.col("start") == F.col("_stretch") * STRETCH) | (F.col("end") == (F.col("_stretch") + 1) * STRETCH)))
+    border = fuse(runs.where("_border").select(F.struct("grp", "value").alias("grp"), "start", "end"))
+    return runs.where("not _border").select("grp", "start", "end", "value").union(border.select("grp.grp", "start", "end", "grp.value"))
 
 
 def covering_range(ranges: DataFrame) -> DataFrame:

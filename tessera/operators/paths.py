@@ -85,20 +85,24 @@ def bounded_walks(edges: DataFrame, source: Column, target: Column, cases: list[
 
 
 class _Known(Grown):
-    """Pairs with the best labels so far, in parts that are dealt by src and dst as they lie; the label of a later part is the better one."""
+    """Keys with the best labels so far, in parts that are dealt by key as they lie; the label of a later part is the better one."""
+
+    def __init__(self, first: DataFrame, *keys: str):
+        super().__init__(first)
+        self.keys = keys
 
     def merged(self, parts: list[DataFrame]) -> DataFrame:
-        return bucketed(_union([undealt(d) for d in parts]).groupBy("src", "dst").agg(F.max_by("label", "round").alias("label"), F.max("round").alias("round")), "src", "dst", dealt=True)
+        return bucketed(_union([undealt(d) for d in parts]).groupBy(*self.keys).agg(F.max_by("label", "round").alias("label"), F.max("round").alias("round")), *self.keys, dealt=True)
 
     def view(self) -> DataFrame:
         return _union([undealt(d) for d, _ in self.parts])
 
     def labels_of(self, pairs: DataFrame) -> DataFrame:
-        """pairs(src, dst, ..) with _was, the label known so far or null; the parts stay where they are."""
+        """pairs(keys, ..) with _was, the label known so far or null; the parts stay where they are."""
         names = []
         for i, (part, _) in enumerate(reversed(self.parts)):
             names.append(f"_was{i}")
-            pairs = pairs.join(part.select("src", "dst", F.col("label").alias(names[-1])), ["src", "dst"], "left")
+            pairs = pairs.join(part.select(*self.keys, F.col("label").alias(names[-1])), list(self.keys), "left")
         return pairs.withColumn("_was", F.coalesce(*names)).drop(*names)
 
 
@@ -113,7 +117,7 @@ def closure(edges: DataFrame, semiring: Semiring = MIN_PLUS, rounds: int | None
     e = materialize(build_with(edges, semiring.plus))
     by_src = bucketed(e.select(F.col("src").alias("_m"), "dst", F.col("label").alias("_b")), "_m")
     delta = bucketed(e.select("src", "dst", "label", F.lit(0).alias("round")), "src", "dst")
-    found = _Known(delta)
+    found = _Known(delta, "src", "dst")
     i = 0
     while rounds is None or i < rounds:
         i += 1
@@ -315,19 +319,20 @@ def component_reach(edges: DataFrame, components: DataFrame, comp: Column) -> Da
 
 def longest_paths(edges: DataFrame) -> DataFrame:
     """(src, dst, length, paths): for each reachable pair of an acyclic graph, (n, n) with length 0 included, the longest length
-    and the number of longest paths. ValueError on a cycle."""
+    and the number of longest paths. ValueError on a cycle.
+
+    Sources are taken by level, from the sinks upwards: when a level is reached all pairs from the targets of its nodes are final, so
+    one row for each pair is made, once, whatever the lengths of its walks."""
     e = materialize(edges.select("src", "dst").distinct())
-    topological_order(e)
-    ids = e.select("src").union(e.select("dst")).distinct()
-    known = delta = materialize(ids.select("src", F.col("src").alias("dst"), F.lit(0).alias("length"), F.lit(1).cast("long").alias("paths")))
-    i = 0
-    found = [delta]
-    while not delta.isEmpty():
-        i += 1  # all walks of i edges, with their numbers
-        step = delta.select("src", F.col("dst").alias("_m"), "paths").join(e.withColumnRenamed("src", "_m"), "_m")
-        delta = materialize(step.groupBy("src", "dst").agg(F.lit(i).alias("length"), F.sum("paths").alias("paths")))
-        found.append(delta)
-    return _union(found).groupBy("src", "dst").agg(F.max("length").alias("length"), F.max_by("paths", "length").alias("paths"))
+    at = materialize(topological_order(e))
+    by_level = materialize(e.select("src", F.col("dst").alias("_m")).join(at.select(F.col("id").alias("src"), "level"), "src"))
+    own = at.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("length"), F.lit(1).cast("long").alias("paths"), "level")
+    found = Grown(materialize(own.where("level = 0").drop("level")))
+    for level in range(1, (at.agg(F.max("level")).first()[0] or 0) + 1):
+        step = by_level.where(F.col("level") == level).select("src", "_m").join(found.view().withColumnRenamed("src", "_m"), "_m")
+        step = step.groupBy("src", "dst", "length").agg(F.sum("paths").alias("paths")).groupBy("src", "dst").agg((F.max("length") + 1).alias("length"), F.max_by("paths", "length").alias("paths"))
+        found.add(materialize(step.unionByName(own.where(F.col("level") == level).drop("level"))))
+    return found.view()
 
 
 def longest_path_lists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -453,3 +458,38 @@ def difference_constraints(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def forced_to_infinity(edges: DataFrame) -> DataFrame:
     """(id): nodes with x + n <= x, a loop of a label below zero in the closure."""
     return difference_constraints(edges)[1]
+
+
+def consistent_offsets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(offsets, loops) of the constraints dst - src <= label. offsets(id, value): the greatest values of at most 0 that satisfy them all; no rows if there
+    are none. loops(loop, place, id): then, loops of a negative sum, in the order of their edges from the smallest node on, which names the loop.
+
+    Values are relaxed from a virtual source with an edge of 0 to every node, and only nodes whose value fell are relaxed from in the next round. Each
+    node keeps the one that its value came from. A circle of these predecessors is a negative loop, and there is one soon after a loop
+    has been gone round; they are followed by doubling after 1, 2, 4, .. rounds, so a loop is found in about twice its rounds."""
+    e = build_with(edges, F.min)
+    by_src = bucketed(e.select(F.col("src").alias("_m"), F.col("dst").alias("id"), F.col("label").alias("_w")), "_m")
+    zero = F.struct(F.lit(0).cast(edges.schema["label"].dataType).alias("value"), F.lit(None).cast(edges.schema["src"].dataType).alias("from")).alias("label")
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    delta = bucketed(nodes.select("id", zero, F.lit(0).alias("round")), "id")
+    found, i, look, n = _Known(delta, "id"), 0, 1, 1
+    none = delta.where("false").select(F.col("id").alias("loop"), F.lit(0).cast("long").alias("place"), "id")
+    while True:
+        i += 1
+        step = delta.select(F.col("id").alias("_m"), F.col("label.value").alias("_v")).join(by_src, "_m").groupBy("id").agg(F.min(F.struct((F.col("_v") + F.col("_w")).alias("value"), F.col("_m").alias("from"))).alias("label"))
+        better = found.labels_of(step).where("label.value < _was.value").select("id", "label", F.lit(i).alias("round"))
+        delta, n = bucketed(better, "id", dealt=True, counted=F.lit(True))
+        now = lambda: found.view().groupBy("id").agg(F.max_by("label", "round").alias("label"))
+        if not n:
+            return materialize(now().select("id", "label.value")), none
+        found.add(delta)
+        if i == look:
+            look *= 2
+            back = materialize(now().where("label.from is not null").select("id", F.col("label.from").alias("to")))
+            circles = materialize(follow(back).circles)
+            if not circles.isEmpty():
+                # cut open at the smallest node, whose predecessor the last of the loop then is
+                open_ = back.join(circles.where("id <> comp"), "id").select("id", "to")
+                places = follow(open_, name_circles=False).ended.select("id", F.col("root").alias("loop"), F.col("dist").alias("place"))
+                first = circles.where("id = comp").select("comp", F.lit(0).cast("long").alias("place"), "id")
+                return delta.where("false").select("id", "label.value"), materialize(first.unionByName(places.select(F.col("loop").alias("comp"), "place", "id")).withColumnRenamed("comp", "loop"))

@@ -265,17 +265,35 @@ def _osa(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
+#: Leading characters of a name that are indexed: 93 strings with up to three of eight left out.
+INDEXED = 8
+
+
+def _with_deletions(df: DataFrame, name: str, most: int) -> DataFrame:
+    """df with _key: one row for each string that is left of the name's beginning with up to most characters left out."""
+    cut = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))).otherwise(F.array().cast("array<string>"))
+    out = df.withColumn("_left0", F.array(F.substr(name, F.lit(1), F.lit(max(INDEXED, 2 * most)))))
+    for k in range(most):
+        out = out.withColumn(f"_left{k + 1}", F.array_distinct(F.flatten(F.transform(f"_left{k}", cut))))
+    lefts = [f"_left{k}" for k in range(most + 1)]
+    return out.withColumn("_key", F.explode(F.array_distinct(F.concat(*lefts)))).drop(*lefts)
+
+
 def close_options(words: DataFrame, options: DataFrame, most: int = 3, nearest_only: bool = False) -> DataFrame:
-    """(word, option, distance) within a restricted Damerau-Levenshtein distance; nearest_only keeps the least distance of each word. options are a program's
-    option names, a short list; words are joined to it by length band."""
+    """(word, option, distance) within a restricted Damerau-Levenshtein distance; nearest_only keeps the least distance of each word. Null words and
+    options match nothing.
+
+    An index of deletion neighbourhoods: an edit (insertion, deletion, replacement, swap of neighbours) costs either side one character at most, so
+    names within most edits have a string in common that is left when up to most characters go from each, and so have their beginnings.
+    Words meet options on such a string; Spark's own distance (a swap is two edits there) drops most, and what is left is verified in Python."""
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_osa(x, y, most) for x, y in zip(a, b)], dtype="int32")
 
-    w = words.select("word").distinct().withColumn("_n", F.explode(F.sequence(F.length("word") - most, F.length("word") + most)))
-    pairs = w.join(options.select("option", F.length("option").alias("_n")).distinct(), "_n")
-    near = pairs.where(F.expr(f"levenshtein(word, option, {2 * most}) >= 0"))  # a transposition is two edits there: few pairs are left for Python
+    w = _with_deletions(words.select("word").where("word is not null").distinct(), "word", most)
+    pairs = w.join(_with_deletions(options.select("option").where("option is not null").distinct(), "option", most), "_key").where(F.abs(F.length("word") - F.length("option")) <= most)
+    near = pairs.select("word", "option").distinct().where(F.expr(f"levenshtein(word, option, {2 * most}) >= 0"))
     out = near.withColumn("distance", distance("word", "option")).where(F.col("distance") <= most).select("word", "option", "distance")
     if nearest_only:
         out = out.withColumn("_m", F.min("distance").over(W.partitionBy("word"))).where("distance = _m").drop("_m")

@@ -210,6 +210,36 @@ def g15_negative_loops(spark, sf):
     return p.forced_to_infinity(materialize(e))
 
 
+OFFSETS = """, w(src, dst, label) as (select src, dst, label - 25 from dag_edges union select * from (select w.src, e.dst, min(w.label + e.label - 25) from w join dag_edges e on w.dst = e.src group by w.src, e.dst))"""
+
+
+@query(OFFSETS + " select id, least(0, coalesce((select min(label) from w where dst = id), 0)) as value from (select src as id from dag_edges union select dst from dag_edges)", "dag_edges")
+def g15_offsets(spark, sf):
+    """The greatest offsets of at most 0 that keep all constraints."""
+    return p.consistent_offsets(v.dag_edges(spark, sf).withColumn("label", F.col("label") - 25))[0]
+
+
+def _closed(spark, sf):
+    """Each part to its half, and part 1 to the last one at a price below all: one negative loop."""
+    h = v.dag_edges(spark, sf).where("dst = src div 2").select("src", "dst", F.lit(1).cast("long").alias("label"))
+    return materialize(h.union(h.agg(F.lit(1).cast("long"), F.max("src"), F.lit(-1000).cast("long"))))
+
+
+@query(""", h as (select src, dst from dag_edges where dst = src // 2), r(id, place) as (select max(src), cast(1 as bigint) from h union all select h.dst, r.place + 1 from r join h on h.src = r.id where h.dst > 1)
+select 1 as loop, place, id from r union all select 1, 0, 1""", "dag_edges")
+def g15_negative_loop(spark, sf):
+    """The loop of a negative sum itself, from its smallest node on."""
+    return p.consistent_offsets(_closed(spark, sf))[1]
+
+
+@query(OFFSETS + """, h as (select src, dst, 1 as label from dag_edges where dst = src // 2 union all select 1, max(src), -1000 from dag_edges where dst = src // 2),
+z(src, dst, label, n) as (select *, 1 from h union all select * from (select z.src, h.dst, min(z.label + h.label), z.n + 1 from z join h on z.dst = h.src where z.src = 1 and z.n < 60 group by z.src, h.dst, z.n))
+select 'parts' as graph, not exists (select 1 from w where src = dst and label < 0) as consistent union all select 'closed', not exists (select 1 from z where src = dst and label < 0)""", "dag_edges")
+def g15_consistency(spark, sf):
+    graphs = {"parts": v.dag_edges(spark, sf).withColumn("label", F.col("label") - 25), "closed": _closed(spark, sf)}
+    return spark.createDataFrame([(name, p.consistent_offsets(e)[1].isEmpty()) for name, e in graphs.items()], "graph string, consistent boolean")
+
+
 @query(""", lv(id, h) as (select dst, 0 from dag_edges where dst not in (select src from dag_edges) union select e.src, lv.h + 1 from lv join dag_edges e on e.dst = lv.id)
 select id, max(h) as level from lv group by id""", "dag_edges")
 def s2_topological_levels(spark, sf):

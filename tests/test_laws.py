@@ -194,6 +194,16 @@ def test_interval_laws(spark, monkeypatch, seed, most):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, flat.collect()))
 
 
+def test_runs_go_on_over_the_borders_of_stretches(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "STRETCH", 4)
+    r = random.Random(3)
+    at = {(g, v, p) for g in (1, None) for v in ("a", None) for p in range(-20, 40) if r.random() < 0.8} | {(2, "b", p) for p in range(-9, 30)}
+    rows = sorted(at, key=repr)
+    got = intervals.coalesce_positions(spark.createDataFrame([*rows, *rows[:9]], "grp int, value string, pos long"))
+    want = {(g, v, p, next(e for e in range(p, 99) if (g, v, e) not in at)) for g, v, p in at if (g, v, p - 1) not in at}
+    assert sorted((tuple(q) for q in got.select("grp", "value", "start", "end").collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_unbounded_sets(spark):
     ray = lambda *rows: spark.createDataFrame(list(rows), "grp long, start long, end long")
     got = intervals.unbounded_union(ray((1, None, 3)), ray((1, 3, None)))
@@ -407,6 +417,17 @@ def test_edit_distances_and_float_parts():
     assert (p["mantissa"][0], p["exponent"][0], p["mantissa"][1], p["exponent"][1], p["mantissa"][2], p["exponent"][2]) == (3, -2, 0, 0, -1, 1)
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_close_options_are_all_pairs_within_the_distance(spark, most):
+    r = random.Random(most)
+    long = "abcabcabcabcabc"
+    names = {"".join(r.choice("abc") for _ in range(r.randrange(0, 12))) for _ in range(60)} | {"", "a", long, long[:7] + long[8:], "x" + long, long[::-1], long[1] + long[0] + long[2:], long[:12] + "zzz"}
+    words, options = sorted(names)[::2] + [long], sorted(names)
+    d = lambda rows, c: spark.createDataFrame([(x,) for x in [*rows, None, *rows[:3]]], f"{c} string")
+    got = {(q["word"], q["option"]): q["distance"] for q in text.close_options(d(words, "word"), d(options, "option"), most).collect()}
+    assert got == {(a, b): text._osa(a, b, most) for a in words for b in options if text._osa(a, b, most) <= most}
+
+
 def test_empty_inputs(spark):
     e = spark.createDataFrame([], E)
     ids = spark.createDataFrame([], "id long")

@@ -122,7 +122,7 @@ def test_closure_leaves_known_pairs_where_they_are(spark):
     try:
         e = edges_of(spark, dag(5, 30, 60))
         known = tables.bucketed(e.select("src", "dst", "label", F.lit(0).alias("round")), "src", "dst")
-        found = paths._Known(known)
+        found = paths._Known(known, "src", "dst")
         found.add(tables.bucketed(e.where("src > 500").select("src", "dst", "label", F.lit(1).alias("round")), "src", "dst"))
         by_src = tables.bucketed(e.select(F.col("src").alias("_m"), "dst", F.col("label").alias("_b")), "_m")
         step = paths._extended(known.where("src < 10"), by_src, MIN_PLUS)
@@ -135,6 +135,26 @@ def test_closure_leaves_known_pairs_where_they_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_offsets_or_the_loop_that_forbids_them(spark, seed):
+    r = random.Random(seed)
+    n = 14
+    cost = {(a, b): r.randrange(-3 if seed % 2 else 0, 9) for a, b in [(r.randrange(n), r.randrange(n)) for _ in range(30)]}
+    if not seed % 2:  # shifted by potentials: consistent, with negative labels
+        cost = {(a, b): c + (a * 7) % 10 - (b * 7) % 10 for (a, b), c in cost.items()}
+    value, falls = {x: 0 for e in cost for x in e}, True
+    for _ in value:
+        falls = [value.__setitem__(b, value[a] + c) for (a, b), c in cost.items() if value[a] + c < value[b]]
+    values, loops = paths.consistent_offsets(spark.createDataFrame([(a, b, c) for (a, b), c in cost.items()], "src long, dst long, label long"))
+    assert {q["id"]: q["value"] for q in values.collect()} == ({} if falls else value)
+    of = {}
+    for q in sorted(loops.collect(), key=lambda q: q["place"]):
+        of.setdefault(q["loop"], []).append(q["id"])
+    assert bool(of) == bool(falls)
+    for name, loop in of.items():
+        assert loop[0] == name == min(loop) and sum(cost[a, b] for a, b in zip(loop, loop[1:] + loop[:1])) < 0
+
+
 def test_sweeps_of_a_large_group_are_linear(spark):
     n = 400_000
     rows = spark.range(n).select(F.lit(1).alias("grp"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + F.when(F.col("id") % 1000 == 0, 5).otherwise(2)).alias("end"))
