@@ -198,6 +198,13 @@ def m6_multiply(spark, sf):
     return m.multiply(m.transpose(c), c, COUNTING, F.lit(0))
 
 
+@query("select a.j as i, b.j, cast(sum(a.v * b.v) as bigint) as v from coo_all a join coo_all b on a.i = b.i group by a.j, b.j having sum(a.v * b.v) <> 0", "coo_all")
+def m6_multiply_blocked(spark, sf):
+    """Products of all columns of the embeddings, every component in hundredths: dense blocks."""
+    c = materialize(v.coo_all(spark, sf))
+    return m.multiply_blocked(m.transpose(c), c)
+
+
 @query("select distinct a.src as i, b.dst as j, true as v from flow_edges a join flow_edges b on a.dst = b.src", "flow_edges")
 def m6_multiply_boolean(spark, sf):
     f = v.flow_edges(spark, sf).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(True).alias("v"))

@@ -207,6 +207,16 @@ def coo(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["coo"] = SQL["coo"].replace("unnest(embedding) as x", "cast(unnest(embedding) as double) as x")
 
+SQL["coo_all"] = "select vec_id + 1 as i, j, cast(round(x * 100) as bigint) as v from (select vec_id, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) as j from embeddings) where round(x * 100) <> 0"
+
+
+def coo_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All components of the embeddings, in hundredths."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x"))
+    e = e.select((F.col("vec_id") + 1).alias("i"), (F.col("p") + 1).cast("long").alias("j"), F.round(F.col("x").cast("double") * 100).cast("long").alias("v"))
+    return e.where("v <> 0")
+
+
 SQL["issues"] = """select o_orderkey as number, o_orderpriority || ' order of ' || o_custkey || '  ' as title, year(o_orderdate) as milestone,
   list_filter([o_orderpriority, case when o_totalprice > 300000 then 'large' end], lambda x: x is not null) as labels, o_custkey % 2 = 0 as is_pr, o_orderstatus <> 'P' as merged, case when o_orderstatus = 'O' then 'not_planned' else 'completed' end as state_reason from orders"""
 

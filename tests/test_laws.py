@@ -248,6 +248,17 @@ def test_matrix_laws(spark):
     assert matrix.compare(m(a), m(a), (4, 4), (4, 4)).first()[0] == "EQ" and matrix.compare(m(a), m({}), (4, 4), (4, 4)).first()[0] == "GT"
 
 
+def test_blocked_product_is_the_sparse_one(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "BLOCK", 8)
+    r = random.Random(2)
+    cells = lambda n, k, most: spark.createDataFrame([(i, j, r.randrange(-most, most)) for i in range(1, n + 1) for j in range(1, k + 1) if r.random() < 0.3 or j == 3], "i long, j long, v long").where("v <> 0")
+    for most in (5, 1 << 29):
+        a, b = cells(21, 30, most), cells(26, 17, most)
+        rows = lambda d: sorted(map(tuple, d.select("i", "j", "v").collect()))
+        assert rows(matrix.multiply_blocked(a, b)) == rows(matrix.multiply(a, b, COUNTING, F.lit(0)))
+    assert matrix.multiply_blocked(a.limit(0), b).collect() == []
+
+
 def test_occurrence_semiring_laws(spark):
     one = spark.createDataFrame([(a, b, c) for a in POLARITIES for b in POLARITIES for c in POLARITIES], "a string, b string, c string")
     t = polarity_times
