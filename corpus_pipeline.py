@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import langid, linededup, packing, simhash, toxicity
 from tessera.llm.common import held_out
-from tessera.sources.tables import materialize, table
+from tessera.sources.tables import materialize, release, table
 
 #: Documents with a language whose pooled probability is below this are rejected, as are those
 #: without a language; toxic from this score on.
@@ -63,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -48,7 +48,23 @@ def g3_constrained_walk(spark, sf):
     return _walk(materialize(v.main_next(spark, sf))).select((F.size("walk") - 1).alias("length"))
 
 
-@query()
+def _cases(cases: list[tuple[str, str]]) -> str:
+    """Shortest walks from a to b, all of whose edges satisfy the one condition and one the other, by case; then the product along the first."""
+    sql = """, e as (select src, dst, ['++', '+', 'g+', '-'][label % 4 + 1] as label from main_next), ends as (select min(src) as a, max(dst) as b from e)"""
+    for i, (every, some) in enumerate(cases):
+        for name, x, y, end in (("t", "src", "dst", "a"), ("u", "dst", "src", "b")):
+            sql += f""", {name}{i}(id, hops, path) as (select {end}, 0, [{end}] from ends union all
+  select * from (select e.{y}, t.hops + 1, min(list_append(t.path, e.{y})) from {name}{i} t join e on e.{x} = t.id where t.hops < 40 and ({every}) group by e.{y}, t.hops)),
+m{name}{i} as (select id, min(hops) as hops, arg_min(path, hops) as path from {name}{i} group by id)"""
+        sql += f""", w{i} as (select t.hops + 1 + u.hops as n, t.path || list_reverse(u.path) as walk from e join mt{i} t on t.id = e.src join mu{i} u on u.id = e.dst where ({every}) and ({some}) order by n, walk limit 1)"""
+    sql += ", f as (select walk from (" + " union all ".join(f"select {i} as k, walk from w{i}" for i in range(len(cases))) + """) order by k limit 1),
+s as (select walk, i, walk[i] as src, walk[i + 1] as dst from f, (select unnest(range(1, 200)) as i) where i < len(walk)),
+l as (select walk, list(e.label order by i) as labels from s join e using (src, dst) group by walk), o as (select ['_', '*', '-', '+', 'g+', '++'] as o)
+select walk, list_reduce(labels, lambda x, y: case when x = '-' and y = '-' then '+' else o[least(list_position(o, x), list_position(o, y))] end) as product from l, o"""
+    return sql
+
+
+@query(_cases([("label <> '_'", "label in ('*', '-', '+')"), ("label not in ('_', 'g+')", "true")]), "next_supp main_next")
 def g4_bounded_walk_product(spark, sf):
     e = materialize(v.main_next(spark, sf))
     marks = F.element_at(F.array(*map(F.lit, ("++", "+", "g+", "-"))), (F.col("label") % 4 + 1).cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import text as t
 from ..sources import files
-from ..sources.tables import materialize, shared_dir, ship, table
+from ..sources.tables import materialize, scratch, shared_dir, ship, table
 from ..streaming import jobs
 from . import views as v
 from .base import query
@@ -259,10 +259,9 @@ def j13_close_options(spark, sf):
 
 @query("select item_id, length(text) + 1 as chars, md5(text || chr(10)) as digest from benchmark")
 def io1_whole_texts(spark, sf):
-    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
-    table(spark, sf, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
-    d = files.read_whole_texts(spark, path + "/*")
-    return d.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+    path = scratch(spark)
+    files.write_whole_texts(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name"), "text"), path)
+    return files.read_named_texts(spark, path).select(F.col("name").cast("long").alias("item_id"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query("""select path, case when suffix(path, '.lit.md') then 'md' when suffix(path, '.lit.rst') then 'rst' when suffix(path, '.lit') then 'tex' end as format from (select p_partkey || case p_size % 4 when 0 then '.lit.md' when 1 then '.lit.rst' when 2 then '.lit' else '.src' end as path from part)""")

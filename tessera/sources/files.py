@@ -11,6 +11,17 @@ from ..operators.text import format_of, list_entries
 MEMORY, SECONDS, TICK = r"([0-9]+)\s*MB total memory in use", r"Total\s+time\s+([0-9.]+)s", r"(?m)^\s*{}\s*=?\s*([0-9,]+)\s*$"
 
 
+def write_whole_texts(df: DataFrame, path: str) -> None:
+    """One file for each row of df(name, text), all in one folder: the name on the first line, then the text. Only Spark's writer touches the path."""
+    df.select(F.concat("name", F.lit("\n"), "text").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def read_named_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of what write_whole_texts() wrote; the text ends with a newline of the writer's."""
+    at = F.locate("\n", "text")
+    return read_whole_texts(spark, path).select(F.substr("text", F.lit(1), at - 1).alias("name"), F.substr("text", at + 1).alias("text"))
+
+
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, hash, format): one row a file, its text whole, hashed and its format told by its ending."""
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

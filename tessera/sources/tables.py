@@ -53,6 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which clean() deletes."""
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: a cut in the lineage
     that survives lost executors and gives the optimizer true sizes."""

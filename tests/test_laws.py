@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.semiring import BOOLEAN, COUNTING, MIN_PLUS, POLARITIES, POLARITY, polarity_plus, polarity_times
 from tessera.operators import components, graph, grouping, hierarchy, intervals, matrix, paths, repo, text
+from tessera.sources import files
 from tessera.streaming import jobs
 
 E = "src long, dst long, label long"
@@ -439,6 +440,21 @@ def test_close_options_are_all_pairs_within_the_distance(spark, most):
     assert got == {(a, b): text._osa(a, b, most) for a in words for b in options if text._osa(a, b, most) <= most}
 
 
+def test_what_the_sinks_write_is_read_again(spark, tmp_path):
+    names = [("a", "x\ny"), ("b", ""), ("c", "\n\nz")]
+    files.write_whole_texts(spark.createDataFrame(names, "name string, text string"), f"{tmp_path}/texts")
+    assert sorted(map(tuple, files.read_named_texts(spark, f"{tmp_path}/texts").collect())) == [(n, t + "\n") for n, t in names]
+    lines = lambda name: [r["value"] for r in spark.read.text(f"{tmp_path}/{name}").withColumn("f", F.input_file_name()).orderBy("f", F.monotonically_increasing_id()).collect()]
+    files.write_dot(spark.createDataFrame([(2, "two"), (1, "one")], "id long, label string"), spark.createDataFrame([(2, 1)], "src long, dst long"), f"{tmp_path}/dot")
+    assert lines("dot") == ["digraph dependencies {", '   m1[label="one"];', '   m2[label="two"];', "   m2 -> m1;", "}"]
+    rows = spark.createDataFrame([(1, 5, 7, "n", ["k"], None, True, None), (1, 2, 4, None, None, "note", None, "s")], "grp long, start long, end long, aspect string, others array<string>, note string, flag boolean, site string")
+    files.write_annotations(rows, f"{tmp_path}/json")
+    assert lines("json") == ['{"range":[2,4],"atoms":[],"tokenBased":false,"note":"note","definitionSite":"s"}', '{"range":[5,7],"atoms":["n","k"],"tokenBased":true}']
+    issues = spark.createDataFrame([(3, "three", False, "listed"), (4, "four", True, "listed"), (5, "five", False, "listed"), (6, "six", False, "other")], "number long, title string, is_pr boolean, outcome string")
+    files.write_issue_list(issues, "http://x", f"{tmp_path}/md")
+    assert lines("md") == ["- [Issue #5](http://x/issues/5): five", "- [Issue #3](http://x/issues/3): three", "- [PR #4](http://x/pull/4): four"]
+
+
 def test_empty_inputs(spark):
     e = spark.createDataFrame([], E)
     ids = spark.createDataFrame([], "id long")
