@@ -1,7 +1,7 @@
 """Graph queries again, on every edge of next_supp: those they repeat run on one or two followers a supplier.
 
 A query keeps its SQL, with the capped view read as all of next_supp. Where top_next only selects nodes
-or edges out of the graph it stays. g2's SQL lists all simple paths and is left out here; tests hold g2 against plain Python.
+or edges out of the graph it stays. g2's SQL lists all simple paths; here it is one that keeps the least path of every length.
 The whole graph is one component, so g6_condensation would have no rows and isn't repeated.
 """
 
@@ -29,3 +29,7 @@ def _register(name: str, view: str) -> None:
 for _names, _view in ((MAIN, "main_next"), (TOP, "top_next")):
     for _name in _names.split():
         _register(_name, _view)
+
+ORACLE_SQL["g2_shortest_paths_whole"] = f"""with recursive next_supp as ({SQL["next_supp"]}), b(id, hops, path) as (select min(src), 0, [min(src)] from next_supp union all
+  select * from (select e.dst, b.hops + 1, min(list_append(b.path, e.dst)) from b join next_supp e on e.src = b.id where b.hops < 20 group by e.dst, b.hops))
+select id, min(hops) as hops, arg_min(path, hops) as path from b group by id"""
