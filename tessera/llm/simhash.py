@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.tables import materialize
-from .common import fresh
+from .common import ceil_div, fresh
 
 #: The code's generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1, segment widths and shifts.
 GENERATOR = 0b110001110101
@@ -37,6 +37,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS, SEED = 3, 42
 #: Members of a key beyond which it is worked in blocks of this many.
 BLOCK = 512
+#: Fingerprints of which one task makes keys, and of which it makes them at a time.
+PRINTS, AT_ONCE = 16_384, 1024
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -185,12 +187,14 @@ def links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 4000):
-                fp = pdf["fingerprint"].to_numpy()[i : i + 4000]
+            for i in range(0, len(pdf), AT_ONCE):
+                fp = pdf["fingerprint"].to_numpy()[i : i + AT_ONCE]
                 key, at, side = keys_of(fp.view(np.uint64))
                 yield pd.DataFrame({"key": key, "fingerprint": fp[at], "side": side})
 
-    keys = materialize(prints.select("fingerprint").mapInPandas(emit, schema))
+    # some 70 keys a fingerprint: tasks of PRINTS fingerprints keep what a writer buffers small
+    dealt = prints.select("fingerprint").repartition(ceil_div(prints.count(), PRINTS), "fingerprint")
+    keys = materialize(dealt.mapInPandas(emit, schema))
     # members are counted by partial sums; only the few common keys with their counts are joined
     hot = materialize(keys.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK))
     rare = keys.join(hot, "key", "left_anti")
