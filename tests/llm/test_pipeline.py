@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 import corpus_pipeline as cp  # noqa: E402
 
-from tessera.llm import langid, linededup, toxicity  # noqa: E402
+from tessera.llm import langid, toxicity  # noqa: E402
 from tessera.llm.common import held_out  # noqa: E402
 
 from .test_operators import naive_components, naive_print  # noqa: E402
@@ -58,7 +58,7 @@ def test_every_stage_against_plain_python(spark):
             for line in t.split("\n"):
                 if line.strip(" "):
                     on[s, line.strip(" ")].add(t)
-    gone = {k for k, v in on.items() if len(v) - 1 > corpus_pipeline.BOILERPLATE * (len(pages[k[0]]) - 1)}
+    gone = {k for k, v in on.items() if len(v) - 1 > cp.BOILERPLATE * (len(pages[k[0]]) - 1)}
     texts = {i: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in gone) for i, r in want.items()}
     third = cp.STAGES[2][1](spark, second, SF)
     assert third.columns == docs.columns and {r["doc_id"]: r["text"] for r in third.collect()} == texts
