@@ -12,7 +12,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
@@ -41,10 +40,6 @@ class Vectors:
     longest: float
     largest: float
 
-    def queries(self, every: int) -> DataFrame:
-        """(id, vec) of the rows whose id is divisible by every; of rows that share an id the least."""
-        return materialize(self.table.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vec").alias("vec")))
-
     def query_rows(self, every: int) -> DataFrame:
         """(id, rid, vec) of all rows whose id is divisible by every."""
         return materialize(self.table.where(F.pmod("id", F.lit(every)) == 0).select("id", "rid", "vec"))
@@ -106,9 +101,3 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     else:
         keep = np.arange(len(scores))
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-
-
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query over all blocks: query_id, rank, vec_id, score."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

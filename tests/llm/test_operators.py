@@ -137,6 +137,31 @@ def test_vectors_of_mixed_lengths_many_blocks_and_odd_rows(spark, monkeypatch):
     assert [r["score"] for r in huge] == [9 * 10**16 - 1]
 
 
+def test_topk_rows_of_one_id_are_queries_of_their_own(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])], "vec_id long, vec array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect())
+    assert got == sorted([(1, 1, 2), (2, 2, 1), (3, 20, 0), (1, 2, 3), (2, 1, 1), (3, 20, 0)])
+
+
+@pytest.mark.parametrize("k", [3, 20])
+def test_topk_is_exact_where_bounds_and_parts_pass_64_bits(spark, k):
+    rng = np.random.default_rng(2)
+    small = rng.integers(-6, 7, (200, 4)).astype(float)
+    rows = [[float(v) for v in r] for r in small]
+    # products of the outliers are huge in either slice and small in sum; query 40 is large itself, but not along most rows
+    rows[3], rows[4], rows[7] = [2.0**70, 1.0, -(2.0**70), 5.0], [2.0**60, 0.0, -(2.0**60), 9.0], [-(2.0**80), 0.0, 2.0**80, 4.0]
+    for q in range(0, 200, 20):
+        rows[q][2] = rows[q][0]
+    rows[40] = [2.0**52, 3.0, 2.0**52, 1.0]
+    whole = [[int(v) for v in r] for r in rows]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(list(enumerate(rows)), "vec_id long, vec array<double>"), k).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 200, 20):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(200) if i != q)[:k]
+        assert [(-s, v) for _, v, s in sorted(got[q])] == want
+
+
 def test_forest_descends_to_longest_prefixes():
     x = np.random.default_rng(3).normal(size=(500, 16)).astype(np.float32)
     f = ann.Forest(x, 5, 3)
