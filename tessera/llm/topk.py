@@ -147,10 +147,9 @@ class Search:
         """Phase 3: (query, query_id, vec_id, score, fits), the k best of each block among the entries that can still reach the cutoff. A score
         beyond 64 bits does not fit and is told as the nearest that does."""
         lists, k, most = self.lists, self.k, self.most
-        each = entries.select("id", F.explode(F.arrays_zip("rids", "scores")).alias("e")).groupBy("id", F.col("e.rids").alias("rid")).agg(F.sum("e.scores").alias("total"), F.count("*").alias("n"))
-        # no list told a bounded entry, so the totals are true
-        told = entries.select("id", F.explode(F.arrays_zip("rids", "scores")).alias("e")).where(F.abs("e.scores") >= most).select("id", F.col("e.rids").alias("rid")).distinct()
-        raised = _kth(each.where(F.col("n") == lists).join(told, ["id", "rid"], "left_anti"), k).withColumnRenamed("cutoff", "higher")
+        each = entries.select("id", F.explode(F.arrays_zip("rids", "scores")).alias("e")).groupBy("id", F.col("e.rids").alias("rid")).agg(F.sum("e.scores").alias("total"), F.count("*").alias("n"), F.max(F.abs("e.scores")).alias("size"))
+        # a total is true where no list told a bounded entry
+        raised = _kth(each.where((F.col("n") == lists) & (F.col("size") < most)), k).withColumnRenamed("cutoff", "higher")
         bounds = cutoffs.join(raised, "id", "left").select("id", F.array("cutoff", F.greatest("cutoff", F.coalesce("higher", "cutoff"))).alias("cut"))
         block = (F.col("list") / lists).cast("int")
         wanted = entries.groupBy("id", block.alias("block")).agg(F.collect_list(F.struct("rids", "scores")).alias("lists"))
