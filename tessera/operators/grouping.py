@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sweeps import Sweep
+
 
 # -- multisets and duplicates ---------------------------------------------------------------------
 
@@ -61,12 +63,17 @@ def unique_or_ambiguous(df: DataFrame, key: str, place: str) -> DataFrame:
 
 
 def partition_by_class(df: DataFrame, cls: Column, names: list[str]) -> dict[str, DataFrame]:
-    """The rows of each class; rows of no class are under ""."""
+    """The rows of each class; rows of no class are under "". Each frame scans df; classed() does with one pass."""
     c = df.withColumn("_class", cls)
     out = {n: c.where(F.col("_class") == n).drop("_class") for n in names}
     return out | {"": c.where(F.col("_class").isNull() | ~F.col("_class").isin(*names)).drop("_class")}
 
 
+def classed(df: DataFrame, cls: Column, names: list[str]) -> DataFrame:
+    """df with class, one of names or "" for rows of none: the partition in one pass, to be written by class or grouped on."""
+    return df.withColumn("class", F.when(cls.isin(*names), cls).otherwise(""))
+
+
 def partition_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is, and is not, in keys(key)."""
     k = keys.select(key).distinct()
@@ -116,39 +123,37 @@ def favourite_per_key(df: DataFrame, key: str, fav: str, seq: str) -> DataFrame:
 def consecutive_check(df: DataFrame, group: str, seq: str, relation) -> DataFrame:
     """(group, holds): relation(previous row, this row) on every adjacent pair; the columns of the previous row are
     given as a struct."""
-    w = W.partitionBy(group).orderBy(seq)
-    d = df.withColumn("_p", F.lag(F.struct(*df.columns)).over(w))
+    d = Sweep(df, seq, group).preceding("_p", F.struct(*df.columns), (seq,)).df
     return d.groupBy(group).agg(F.coalesce(F.bool_and(F.when(F.col("_p").isNotNull(), relation(F.col("_p")))), F.lit(True)).alias("holds"))
 
 
 def runs(df: DataFrame, group: str, seq: str, same) -> DataFrame:
     """df with run (from 1): a new one whenever same(previous row) fails."""
-    w = W.partitionBy(group).orderBy(seq)
-    d = df.withColumn("_p", F.lag(F.struct(*df.columns)).over(w))
-    d = d.withColumn("_s", F.when(F.col("_p").isNotNull() & F.coalesce(same(F.col("_p")), F.lit(False)), 0).otherwise(1))
-    return d.withColumn("run", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_p", "_s")
+    sweep = Sweep(df, seq, group).preceding("_p", F.struct(*df.columns), (seq,))
+    sweep.df = sweep.df.withColumn("_s", F.when(F.col("_p").isNotNull() & F.coalesce(same(F.col("_p")), F.lit(False)), 0).otherwise(1)).drop("_p")
+    return sweep.running("run", F.col("_s"), (seq,)).rows().select(*df.columns, "run")
 
 
 def chunks(df: DataFrame, group: str, seq: str, n: int) -> DataFrame:
     """df with chunk (from 0): pieces of n rows."""
-    return _numbered(df, [group], [seq]).withColumn("chunk", F.floor((F.col("_n") - 1) / n)).drop("_n")
+    d = Sweep(df, seq, group).running("_n", F.lit(1), (seq,)).df
+    return d.select(*df.columns, F.expr(f"(_n - 1) div {n}").alias("chunk"))
 
 
 def split_when(df: DataFrame, group: str, seq: str, separator: Column) -> DataFrame:
     """df with segment (from 0): its number among the segments between separator rows; separators belong to the segment before them
     and are flagged is_separator, so empty segments can be told."""
-    w = W.partitionBy(group).orderBy(seq)
     sep = F.when(separator, 1).otherwise(0)
-    before = F.coalesce(F.sum(sep).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("segment", before).withColumn("is_separator", separator)
+    d = Sweep(df, seq, group).running("segment", sep, (seq,)).df
+    return d.select(*df.columns, (F.col("segment") - sep).alias("segment"), separator.alias("is_separator"))
 
 
 def bill_switches(df: DataFrame, stream: str, ts: str, account: str) -> DataFrame:
     """(stream, account, ms): each switch bills the time up to the next one to its account; null accounts bill nothing, and so
     does the last, still open one."""
-    nxt = F.lead(ts).over(W.partitionBy(stream).orderBy(ts, F.col(account)))
-    ms = F.unix_millis(nxt) - F.unix_millis(F.col(ts))
-    return df.withColumn("_ms", ms).where(F.col(account).isNotNull() & F.col("_ms").isNotNull()).groupBy(stream, account).agg(F.sum("_ms").alias("ms"))
+    d = Sweep(df, ts, stream).following("_next", F.col(ts), (ts, account)).df
+    ms = F.unix_millis("_next") - F.unix_millis(F.col(ts))
+    return d.withColumn("_ms", ms).where(F.col(account).isNotNull() & F.col("_ms").isNotNull()).groupBy(stream, account).agg(F.sum("_ms").alias("ms"))
 
 
 def find_first(df: DataFrame, group: str, seq: str, cond: Column) -> DataFrame:
@@ -160,9 +165,8 @@ def find_first(df: DataFrame, group: str, seq: str, cond: Column) -> DataFrame:
 def prefix_and_suffix_runs(df: DataFrame, group: str, seq: str, cond: Column) -> DataFrame:
     """df with in_prefix (this and all before satisfy cond), in_suffix (this and all after do) and from_end (1 for the
     last row, so that "drop the last n" is from_end > n)."""
-    # frames only grow: the way back is a sort of its own, not a frame to the end of the group for every row
-    up, down = (W.partitionBy(group).orderBy(o(seq)).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc, F.desc))
-    return df.withColumn("in_prefix", F.bool_and(cond).over(up)).withColumn("in_suffix", F.bool_and(cond).over(down)).withColumn("from_end", F.count("*").over(down))
+    sweep = Sweep(df, seq, group).all_hold("in_prefix", cond, (seq,)).all_hold("in_suffix", cond, (seq,), back=True)
+    return sweep.running("from_end", F.lit(1), (seq,), back=True).rows().select(*df.columns, "in_prefix", "in_suffix", "from_end")
 
 
 def align(a: DataFrame, b: DataFrame, seq: str) -> DataFrame:
@@ -176,7 +180,7 @@ def align(a: DataFrame, b: DataFrame, seq: str) -> DataFrame:
 
 def align_groups(a: DataFrame, b: DataFrame, group: str, seq: str) -> DataFrame:
     """align() within each group."""
-    n = lambda d, name: d.select(group, F.row_number().over(W.partitionBy(group).orderBy(seq)).alias("pos"), F.col("value").alias(name))
+    n = lambda d, name: Sweep(d, seq, group).running("pos", F.lit(1), (seq,)).df.select(group, "pos", F.col("value").alias(name))
     return n(a, "left").join(n(b, "right"), [group, "pos"], "full")
 
 

@@ -1,72 +1,17 @@
 """Half-open intervals (grp, start, end) and annotations on them.
 
-Sweeps run in a window for each group. A group of more than SPLIT rows is cut into PIECES by quantiles of the start, each a window of
-its own; what a piece needs of those before or behind it (the furthest end, a running sum, the next start) is one
-value for each piece, carried over. The overlap join puts intervals in bins, so a huge group is dealt over many tasks there too.
+Sweeps (sweeps.py) run in a window for each group, or for each piece of a very large one. The overlap join puts intervals in bins, so a huge group is dealt over many tasks there too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-
-SPLIT, PIECES = 1_000_000, 64
-
-
-def _by(*order) -> W:
-    return W.partitionBy("grp", "_piece").orderBy(*order)
-
-
-_BEFORE, _UPTO = (W.unboundedPreceding, -1), (W.unboundedPreceding, 0)
-
-
-class _Sweep:
-    """Rows (grp, at, ...) whose groups are swept in the order of the column at and others after it."""
-
-    def __init__(self, df: DataFrame, at: str = "start"):
-        big = df.groupBy("grp").agg(F.count("*").alias("_n")).where(F.col("_n") > SPLIT)
-        big = materialize(big.select("grp"))  # one row for each SPLIT rows, at most
-        if big.isEmpty():
-            self.df, self.big = df.withColumn("_piece", F.lit(0)), None
-            return
-        cuts = df.join(big, "grp", "left_semi").groupBy("grp").agg(F.percentile_approx(at, [i / PIECES for i in range(1, PIECES)]).alias("_cuts"))
-        cuts = materialize(cuts)
-        piece = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda x: x < F.col(at)))
-        self.df, self.big = df.join(cuts, "grp", "left").withColumn("_piece", piece).drop("_cuts"), big
-
-    def add(self, name: str, local: Column, total: Column, carried: Callable[[W], Column], combine: Callable[[Column, Column], Column]) -> _Sweep:
-        """A column: local is its value from the row's own piece, total what a piece passes on, carried(window over a group's pieces) what arrives."""
-        self.df = self.df.withColumn(name, local)
-        if self.big is not None:
-            t = self.df.join(self.big, "grp", "left_semi").groupBy("grp", "_piece").agg(total.alias("_t"))
-            t = t.select("grp", "_piece", carried(W.partitionBy("grp").orderBy("_piece")).alias("_c"))
-            self.df = self.df.join(t, ["grp", "_piece"], "left").withColumn(name, combine(F.col(name), F.col("_c"))).drop("_c")
-        return self
-
-    def furthest(self, name: str, value: Column, order: tuple, frame: tuple = _BEFORE) -> _Sweep:
-        """The maximum over the rows before (or up to) each."""
-        return self.add(name, F.max(value).over(_by(*order).rowsBetween(*frame)), F.max(value), lambda w: F.max("_t").over(w.rowsBetween(*_BEFORE)), F.greatest)
-
-    def running(self, name: str, value: Column, order: tuple) -> _Sweep:
-        """The sum up to each row."""
-        return self.add(name, F.sum(value).over(_by(*order).rowsBetween(*_UPTO)), F.sum(value), lambda w: F.sum("_t").over(w.rowsBetween(*_BEFORE)), lambda x, c: x + F.coalesce(c, F.lit(0)))
-
-    def following(self, name: str, value: Column, order: tuple) -> _Sweep:
-        """The first value that is not null behind each row. In falling order it is the last one seen, so the frame only grows and
-        every row is looked at once."""
-        seen = lambda c: F.last(c, ignorenulls=True)
-        back = [F.desc(c) for c in order]
-        return self.add(name, seen(value).over(_by(*back).rowsBetween(*_BEFORE)), F.min_by(value, F.when(value.isNotNull(), F.struct(*order))), lambda w: seen("_t").over(W.partitionBy("grp").orderBy(F.desc("_piece")).rowsBetween(*_BEFORE)), F.coalesce)
-
-    def preceding(self, name: str, value: Column, order: tuple) -> _Sweep:
-        """The value of the row before each."""
-        return self.add(name, F.lag(value).over(_by(*order)), F.max_by(value, F.struct(*order)), lambda w: F.last("_t").over(w.rowsBetween(*_BEFORE)), F.coalesce)
+from .sweeps import UPTO, Sweep
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
@@ -86,7 +31,7 @@ def overlap_exists(a: DataFrame, b: DataFrame) -> DataFrame:
     earlier-starting one of the other side if it starts before the furthest end there."""
     both = a.select("grp", "start", "end", F.lit(0).alias("s")).union(b.select("grp", "start", "end", F.lit(1).alias("s"))).where("start < end")
     order = ("start", "s", "end")
-    sweep = _Sweep(both)
+    sweep = Sweep(both)
     for side in (0, 1):
         sweep.furthest(f"f{side}", F.when(F.col("s") == side, F.col("end")), order)
     return sweep.df.where("(s = 1 and start < f0) or (s = 0 and start < f1)").select("grp").distinct()
@@ -94,21 +39,21 @@ def overlap_exists(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def fuse(ranges: DataFrame) -> DataFrame:
     """The least intervals that cover these; overlapping and touching ones merge. Empty intervals vanish."""
-    return _fused(_Sweep(ranges.where("start < end").select("grp", "start", "end")))
+    return _fused(Sweep(ranges.where("start < end").select("grp", "start", "end")))
 
 
-def _fused(sweep: _Sweep) -> DataFrame:
+def _fused(sweep: Sweep) -> DataFrame:
     sweep.furthest("_far", F.col("end"), ("start", "end"))
     opens = F.when(F.col("_far").isNull() | (F.col("start") > F.col("_far")), F.col("start"))
-    run = sweep.furthest("_run", opens, ("start", "end"), _UPTO).df  # told by its first start
+    run = sweep.furthest("_run", opens, ("start", "end"), UPTO).df  # told by its first start
     return run.groupBy("grp", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
-def _cover(a: DataFrame, b: DataFrame) -> _Sweep:
+def _cover(a: DataFrame, b: DataFrame) -> Sweep:
     """Segments between neighbouring ends, with how many intervals of either side cover them."""
     ev = lambda d, x, s: d.where("start < end").select("grp", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e")).select("grp", "e.at", (F.col("e.d") * x).alias("da"), (F.col("e.d") * s).alias("db"))
     e = ev(a, 1, 0).union(ev(b, 0, 1)).groupBy("grp", "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    sweep = _Sweep(e, "at").running("in_a", F.col("da"), ("at",)).running("in_b", F.col("db"), ("at",)).following("end", F.col("at"), ("at",))
+    sweep = Sweep(e, "at").running("in_a", F.col("da"), ("at",)).running("in_b", F.col("db"), ("at",)).following("end", F.col("at"), ("at",))
     sweep.df = sweep.df.withColumnRenamed("at", "start").where("end is not null")
     return sweep
 
@@ -147,7 +92,7 @@ def unbounded_member(points: DataFrame, r: DataFrame) -> DataFrame:
     none = F.lit(None).cast(points.select(rest.alias("r")).schema["r"].dataType)
     both = fuse(_finite(r)).select("grp", F.col("start").alias("at"), "end", none.alias("_r"))
     both = both.union(points.select("grp", F.col("pos").alias("at"), F.lit(None).cast("long").alias("end"), rest.alias("_r")))
-    far = _Sweep(both, "at").furthest("_far", F.col("end"), ("at", F.col("_r").isNotNull())).df
+    far = Sweep(both, "at").furthest("_far", F.col("end"), ("at", F.col("_r").isNotNull())).df
     return far.where("_r is not null and at < _far").select("_r.*")
 
 
@@ -156,7 +101,7 @@ def overlay(layers: DataFrame, width: int = 4096) -> DataFrame:
     the highest seq (the newest) first. Equal neighbours stay apart. width: that of overlap_join's bins."""
     r = layers.where("start < end")
     cuts = r.select("grp", F.explode(F.array("start", "end")).alias("at")).distinct()
-    seg = _Sweep(cuts, "at").following("end", F.col("at"), ("at",)).df.select("grp", F.col("at").alias("start"), "end").where("end is not null")
+    seg = Sweep(cuts, "at").following("end", F.col("at"), ("at",)).df.select("grp", F.col("at").alias("start"), "end").where("end is not null")
     cover = overlap_join(seg, r.select("grp", "start", "end", "seq", "value"), width)
     return cover.groupBy("grp", "start", "end").agg(F.transform(F.sort_array(F.collect_list(F.struct("b_seq", "b_value")), False), lambda x: x["b_value"]).alias("labels"))
 
@@ -207,7 +152,7 @@ def inside_and_outside(ranges: DataFrame, low: Column, high: Column) -> DataFram
 
 def fuse_per_line(ranges: DataFrame) -> DataFrame:
     """Merge neighbours (by start) where one ends on the line on which the next starts: ranges(grp, start, end, line_start, line_end)."""
-    sweep = _Sweep(ranges.select("grp", "start", "end", "line_start", "line_end")).preceding("_line", F.col("line_end"), ("start", "end"))
+    sweep = Sweep(ranges.select("grp", "start", "end", "line_start", "line_end")).preceding("_line", F.col("line_end"), ("start", "end"))
     run = sweep.running("_run", F.when(F.col("_line") == F.col("line_start"), 0).otherwise(1), ("start", "end")).df
     return run.groupBy("grp", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end")).drop("_run")
 
@@ -216,7 +161,7 @@ def violations(ranges: DataFrame) -> DataFrame:
     """(grp, start, end, problem): empty intervals, and neighbours by start that overlap or only touch."""
     nxt = F.col("_next")
     problem = F.when(F.col("start") >= F.col("end"), "empty").when(nxt < F.col("end"), "overlap").when(nxt == F.col("end"), "touch")
-    found = _Sweep(ranges.select("grp", "start", "end")).following("_next", F.col("start"), ("start", "end")).df
+    found = Sweep(ranges.select("grp", "start", "end")).following("_next", F.col("start"), ("start", "end")).df
     return found.withColumn("problem", problem).where("problem is not null").select("grp", "start", "end", "problem")
 
 
@@ -263,7 +208,7 @@ def ordered_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
     """(grp, side, start, end, other_start, other_end): a and b merged by (start, end, a first); each item that overlaps the
     next item of the other side in this order is a conflict."""
     both = a.select("grp", "start", "end", F.lit(0).alias("side")).union(b.select("grp", "start", "end", F.lit(1).alias("side")))
-    sweep = _Sweep(both)
+    sweep = Sweep(both)
     for side in (0, 1):
         sweep.following(f"n{side}", F.when(F.col("side") == side, F.struct("start", "end")), ("start", "end", "side"))
     both = sweep.df.withColumn("o", F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")))

@@ -21,8 +21,7 @@ def _lines(spark, sf):
 def p7_partition_by_class(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     cls = F.when(F.col("o_totalprice") > 300000, "large").when(F.col("o_totalprice") < 50000, "small")
-    parts = [d.select("o_orderkey", F.lit(n).alias("class")) for n, d in g.partition_by_class(o, cls, ["large", "small"]).items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    return g.classed(o, cls, ["large", "small"]).select("o_orderkey", "class")
 
 
 @query("select o_orderkey, o_custkey in (select c_custkey from customer where c_acctbal < 0) as is_in from orders")

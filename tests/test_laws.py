@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.semiring import BOOLEAN, COUNTING, MIN_PLUS, POLARITIES, POLARITY, polarity_plus, polarity_times
-from tessera.operators import components, graph, grouping, hierarchy, intervals, matrix, paths, repo, text
+from tessera.operators import components, graph, grouping, hierarchy, intervals, matrix, paths, repo, sweeps, text
 from tessera.sources import files
 from tessera.streaming import jobs
 
@@ -142,12 +142,57 @@ def positions(rows):
     return {g: p for g, p in out.items() if p}
 
 
+@pytest.mark.parametrize("most, struct", [(10**6, False), (3, False), (3, True)])
+def test_order_based_laws(spark, monkeypatch, most, struct):
+    monkeypatch.setattr(sweeps, "SPLIT", most)  # 3: every group is worked in pieces
+    r = random.Random(5)
+    rows = [(g, s, r.choice([None, 1, 2, 3]), r.choice("ab")) for g in (1, 2, 3, None) for s in r.sample(range(500), 90 if g == 2 else 30)]
+    df = spark.createDataFrame([(g, (s, "x") if struct else s, v, t, s) for g, s, v, t in rows], f"g long, seq {'struct<n: long, t: string>' if struct else 'long'}, v long, t string, s long")
+    of = defaultdict(list)
+    for g, s, v, t in sorted(rows, key=lambda x: x[1]):
+        of[g].append((s, v, t))
+    by = lambda d, *c: {(q["g"], q["s"]): tuple(q[x] for x in c) for q in d.collect()}
+    want, holds = {}, {}
+    for g, all_rows in of.items():
+        run = segment = 0
+        holds[g] = all(a[2] <= b[2] for a, b in zip(all_rows, all_rows[1:]))
+        for i, (s, v, t) in enumerate(all_rows):
+            run += not (i and v is not None and all_rows[i - 1][1] == v)
+            known = [x for x in (q[1] for q in all_rows[: i + 1]) if x is not None], [x for x in (q[1] for q in all_rows[i:]) if x is not None]
+            prefix, suffix = (all(x > 1 for x in k) if k else None for k in known)
+            want[g, s] = (run, i // 4, segment, t == "a", prefix, suffix, len(all_rows) - i)
+            segment += t == "a"
+    d = grouping.runs(df, "g", "seq", lambda before: before["v"] == F.col("v"))
+    d = grouping.split_when(grouping.chunks(d, "g", "seq", 4), "g", "seq", F.col("t") == "a")
+    d = grouping.prefix_and_suffix_runs(d, "g", "seq", F.col("v") > 1)
+    assert by(d, "run", "chunk", "segment", "is_separator", "in_prefix", "in_suffix", "from_end") == want
+    assert {q["g"]: q["holds"] for q in grouping.consecutive_check(df, "g", "seq", lambda before: before["t"] <= F.col("t")).collect()} == holds
+    stamps = df.select("g", F.timestamp_millis("s").alias("ts"), F.when(F.col("v").isNotNull(), F.col("t")).alias("account"))
+    bills = defaultdict(int)
+    for g, all_rows in of.items():
+        for (s, v, t), after in zip(all_rows, all_rows[1:]):
+            if v is not None:
+                bills[g, t] += after[0] - s
+    assert {(q["g"], q["account"]): q["ms"] for q in grouping.bill_switches(stamps, "g", "ts", "account").collect()} == bills
+    left, right = df.where("g is not null").select("g", "seq", F.col("s").alias("value")), df.where("g is not null and s % 2 = 0").select("g", "seq", F.col("s").alias("value"))
+    pairs = {(q["g"], q["pos"]): (q["left"], q["right"]) for q in grouping.align_groups(left, right, "g", "seq").collect()}
+    for g in (1, 2, 3):
+        a, b = [s for s, *_ in of[g]], [s for s, *_ in of[g] if s % 2 == 0]
+        assert [pairs[g, i + 1] for i in range(len(a))] == [(x, b[i] if i < len(b) else None) for i, x in enumerate(a)]
+
+
+def test_classes_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z")], "id long, c string")
+    whole = {(q["id"], q["class"]) for q in grouping.classed(df, F.col("c"), ["a", "b"]).collect()}
+    assert whole == {(1, "a"), (2, "b"), (3, ""), (4, "")} == {(q["id"], n) for n, d in grouping.partition_by_class(df, F.col("c"), ["a", "b"]).items() for q in d.collect()}
+
+
 R = "grp long, start long, end long, seq long, value string"
 
 
 @pytest.mark.parametrize("seed, most", [(1, 10**6), (2, 3)])
 def test_interval_laws(spark, monkeypatch, seed, most):
-    monkeypatch.setattr(intervals, "SPLIT", most)  # 3: every group is worked in pieces
+    monkeypatch.setattr(sweeps, "SPLIT", most)  # 3: every group is worked in pieces
     a, b = random_ranges(seed), random_ranges(seed + 50)
     da, db = spark.createDataFrame(a, R), spark.createDataFrame(b, R)
     as_rows = lambda df: [(r["grp"], r["start"], r["end"]) for r in df.collect()]
