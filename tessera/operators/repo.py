@@ -73,10 +73,14 @@ def bimap_insert(mapping: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def locate(names: DataFrame, dirs: DataFrame, extensions: DataFrame, files: DataFrame) -> DataFrame:
-    """(name, status, path): Found with its path if one candidate dir/name+extension exists in files(path), Ambiguous if several, NotFound if none. dirs and
-    extensions are search paths of a few entries."""
-    c = names.crossJoin(F.broadcast(dirs)).crossJoin(F.broadcast(extensions)).withColumn("path", F.concat("dir", F.lit("/"), "name", "ext"))
-    hit = c.join(files.select("path").distinct(), "path", "left_semi").groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path"))
+    """(name, status, path): Found with its path if one candidate dir/name+extension exists in files(path), Ambiguous if several, NotFound if none.
+
+    Each path is cut at its slashes and what is behind a known dir at every place, so dirs, extensions and names are all met by equality, however many."""
+    cut = F.expr("explode(filter(sequence(1, length(path)), i -> substr(path, i, 1) = '/')) as _i")
+    under = files.select("path").distinct().where("path <> ''").select("path", cut).select("path", F.expr("substr(path, 1, _i - 1)").alias("dir"), F.expr("substr(path, _i + 1)").alias("_rest"))
+    under = under.join(dirs.select("dir"), "dir", "left_semi")
+    ends = under.select("path", "_rest", F.expr("explode(sequence(0, length(_rest))) as _n")).select("path", F.expr("substr(_rest, 1, _n)").alias("name"), F.expr("substr(_rest, _n + 1)").alias("ext"))
+    hit = ends.join(extensions.select("ext"), "ext", "left_semi").join(names.select("name"), "name", "left_semi").groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path"))
     return names.select("name").distinct().join(hit, "name", "left").select("name", F.when(F.col("n") > 1, "Ambiguous").when(F.col("n") == 1, "Found").otherwise("NotFound").alias("status"), F.when(F.col("n") == 1, F.col("path")).alias("path"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -53,18 +54,18 @@ def next_supp(spark: SparkSession, sf: str) -> DataFrame:
     return e.where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("label"))
 
 
-#: Names of views that give all of next_supp for now.
-_WHOLE: set[str] = set()
+#: Names of views that give all of next_supp for now, in this thread.
+_WHOLE: ContextVar[frozenset[str]] = ContextVar("whole", default=frozenset())
 
 
 @contextmanager
 def whole(*names: str) -> Iterator[None]:
     """main_next, top_next or both stand for next_supp without their cap."""
-    _WHOLE.update(names)
+    before = _WHOLE.set(_WHOLE.get() | set(names))
     try:
         yield
     finally:
-        _WHOLE.difference_update(names)
+        _WHOLE.reset(before)
 
 
 SQL["main_next"] = """select src, dst, label from (select *, row_number() over (partition by src order by label desc, dst) as k from next_supp) where k <= 2"""
@@ -72,7 +73,7 @@ SQL["main_next"] = """select src, dst, label from (select *, row_number() over (
 
 def main_next(spark: SparkSession, sf: str) -> DataFrame:
     """The two most frequent followers of each supplier."""
-    if "main_next" in _WHOLE:
+    if "main_next" in _WHOLE.get():
         return next_supp(spark, sf)
     e = next_supp(spark, sf).withColumn("_k", F.row_number().over(W.partitionBy("src").orderBy(F.desc("label"), "dst")))
     return e.where("_k <= 2").drop("_k")
@@ -83,7 +84,7 @@ SQL["top_next"] = """select src, dst, label from (select *, row_number() over (p
 
 def top_next(spark: SparkSession, sf: str) -> DataFrame:
     """The most frequent follower of each supplier."""
-    if "top_next" in _WHOLE:
+    if "top_next" in _WHOLE.get():
         return next_supp(spark, sf)
     return next_supp(spark, sf).groupBy("src").agg(F.min_by(F.struct("dst", "label"), F.struct(-F.col("label"), "dst")).alias("x")).select("src", "x.*")
 
@@ -196,27 +197,19 @@ def imports(spark, sf):
     return dag_edges(spark, sf).withColumnRenamed("dst", "imported").join(m, "imported").select(F.col("src").alias("module"), "imported", (F.col("src_hash") + F.when(F.col("label") == 49, 1).otherwise(0)).alias("imported_hash"))
 
 
-SQL["coo"] = """select vec_id + 1 as i, j, cast(round(x * 100) as bigint) as v from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as j from embeddings) where abs(x) > 0.2 and round(x * 100) <> 0"""
+SQL["coo"] = SQL["coo_all"] = "select vec_id + 1 as i, j, cast(round(x * 100) as bigint) as v from (select vec_id, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) as j from embeddings) where round(x * 100) <> 0"
 
 
 def coo(spark: SparkSession, sf: str) -> DataFrame:
-    """Large components of the embeddings, in hundredths."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x"))
-    return e.where("abs(x) > cast(0.2 as double) and round(cast(x as double) * 100) <> 0").select((F.col("vec_id") + 1).alias("i"), (F.col("p") + 1).cast("long").alias("j"), F.round(F.col("x").cast("double") * 100).cast("long").alias("v"))
-
-
-SQL["coo"] = SQL["coo"].replace("unnest(embedding) as x", "cast(unnest(embedding) as double) as x")
-
-SQL["coo_all"] = "select vec_id + 1 as i, j, cast(round(x * 100) as bigint) as v from (select vec_id, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) as j from embeddings) where round(x * 100) <> 0"
-
-
-def coo_all(spark: SparkSession, sf: str) -> DataFrame:
     """All components of the embeddings, in hundredths."""
     e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x"))
     e = e.select((F.col("vec_id") + 1).alias("i"), (F.col("p") + 1).cast("long").alias("j"), F.round(F.col("x").cast("double") * 100).cast("long").alias("v"))
     return e.where("v <> 0")
 
 
+coo_all = coo
+
+
 SQL["issues"] = """select o_orderkey as number, o_orderpriority || ' order of ' || o_custkey || '  ' as title, year(o_orderdate) as milestone,
   list_filter([o_orderpriority, case when o_totalprice > 300000 then 'large' end], lambda x: x is not null) as labels, o_custkey % 2 = 0 as is_pr, o_orderstatus <> 'P' as merged, case when o_orderstatus = 'O' then 'not_planned' else 'completed' end as state_reason from orders"""
 

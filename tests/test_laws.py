@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.semiring import BOOLEAN, COUNTING, MIN_PLUS, POLARITIES, POLARITY, polarity_plus, polarity_times
 from tessera.operators import components, graph, grouping, hierarchy, intervals, matrix, paths, repo, sweeps, text
+from tessera.plans import views
 from tessera.sources import files
 from tessera.streaming import jobs
 
@@ -181,6 +183,23 @@ def test_order_based_laws(spark, monkeypatch, most, struct):
         assert [pairs[g, i + 1] for i in range(len(a))] == [(x, b[i] if i < len(b) else None) for i, x in enumerate(a)]
 
 
+def test_locate_cuts_paths_at_every_slash(spark):
+    files = ["a/b/m.src", "a/b/m.lit", "a/b/m.src.lit", "a/n.src", "b/n.src", "c/q.src", "a/b.c", "/r.src", "", "plain", "a/.src"]
+    names, dirs, ends = ["b/m", "m", "m.src", "n", "q", "r", "", "b", "none", None], ["a", "a/b", "b", ""], [".src", ".lit", ".src.lit", ""]
+    as_frame = lambda values, c: spark.createDataFrame([(x,) for x in values], f"{c} string")
+    got = {q["name"]: (q["status"], q["path"]) for q in repo.locate(as_frame(names, "name"), as_frame(dirs, "dir"), as_frame(ends, "ext"), as_frame(files + files, "path")).collect()}
+    for name in names:
+        hits = {f for f in files for d in dirs for e in ends if name is not None and f"{d}/{name}{e}" == f}
+        assert got[name] == (("Found", *hits) if len(hits) == 1 else ("Ambiguous" if hits else "NotFound", None))
+
+
+def test_views_of_one_thread_are_its_own():
+    with views.whole("main_next"):
+        with ThreadPoolExecutor(1) as other:
+            assert not other.submit(views._WHOLE.get).result() and views._WHOLE.get() == {"main_next"}
+    assert not views._WHOLE.get()
+
+
 def test_classes_in_one_pass(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z")], "id long, c string")
     whole = {(q["id"], q["class"]) for q in grouping.classed(df, F.col("c"), ["a", "b"]).collect()}
