@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import text as t
@@ -139,13 +140,19 @@ def t7_name_suffixes(spark, sf):
     return n.select("name", s["kind"].alias("kind"), s["n"].alias("n"), s["base"].alias("base"), t.next_name(F.col("name")).alias("next"))
 
 
-NAMES = "(select distinct a.p_name as a, b.p_name as b from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type)"
+#: A name is paired with itself and this many that come next in its brand and type, both ways: pairs grow with the rows.
+NEXT = 3
+_AHEAD = ", ".join(f"lead(p_name, {n}) over w" for n in range(1, NEXT + 1))
+NAMES = f"""(select distinct unnest([x, y]) as a, unnest([y, x]) as b from (select p_name as x, unnest([p_name, {_AHEAD}]) as y from (select distinct p_brand, p_type, p_name from part) window w as (partition by p_brand, p_type order by p_name)) where y is not null)"""
 
 
 def _names(spark, sf):
-    """Pairs of names of one brand and type."""
+    """Pairs of near names of one brand and type."""
     p = table(spark, sf, "part").select("p_brand", "p_type", "p_name").distinct()
-    return p.withColumnRenamed("p_name", "a").join(p.withColumnRenamed("p_name", "b"), ["p_brand", "p_type"]).select("a", "b").distinct()
+    w = W.partitionBy("p_brand", "p_type").orderBy("p_name")
+    near = p.select(F.col("p_name").alias("x"), F.array("p_name", *[F.lead("p_name", n).over(w) for n in range(1, NEXT + 1)]).alias("ys"))
+    near = near.select("x", F.explode("ys").alias("y")).where("y is not null")
+    return near.select("x", "y").union(near.select("y", "x")).toDF("a", "b").distinct()
 
 
 @query(f"""select a, b, a[1:coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: a[1:i] = b[1:i])), 0)] as prefix,
