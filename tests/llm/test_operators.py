@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -498,6 +499,21 @@ def test_the_ratio_decides_on_hosts_of_all_sizes(spark, pages, least):
     assert tuple(got) == (least if pages > 1 else 0, min(least - 1, pages))
 
 
+def test_the_line_query_drops_what_pages_of_a_host_share(spark, tmp_path):
+    """All that is on two pages goes on hosts of fewer than 400, and what is on over 0.5 % of the pages on larger ones; as by its SQL."""
+    hosts = {1: 2, 2: 2, 30: 2, 58: 2, 399: 2, 400: 3, 800: 5}  # pages: from how many a line goes
+    rows = [(f"http://h{n}/{i}", f"<p>own {i}</p>" + "<p>goes</p>" * (i < least) + "<p>stays</p>" * (i < least - 1)) for n, least in hosts.items() for i in range(n)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op9_linededup(spark, str(tmp_path)).select("page_id", "host", "text", "n_lines", "n_dropped").collect()
+    dropped, left = Counter(), Counter()
+    for r in got:
+        dropped[r["host"]] += r["n_dropped"]
+        left[r["host"]] += "stays" in r["text"]
+    assert {h: (dropped[h], left[h]) for h in dropped} == {f"h{n}": (least if n > 1 else 0, least - 1) for n, least in hosts.items()}
+    sql = queries.ORACLE_SQL["op9_linededup"].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_one_huge_text_ends_no_sample(spark):
     """Texts behind it in the order of the hash teach as before."""
     texts = [f"clean words number {i} of calm prose. " * 3 for i in range(40)] + [f"vile hatred insult {i}. calm prose." for i in range(40)]
