@@ -326,8 +326,9 @@ def next_name(name: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
+    """Empty if b is null."""
     n = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i)))
-    return F.substr(a, F.lit(1), n)
+    return F.substr(a, F.lit(1), F.coalesce(n, F.lit(0)))
 
 
 def common_suffix(a: Column, b: Column) -> Column:

@@ -140,13 +140,25 @@ def t7_name_suffixes(spark, sf):
     return n.select("name", s["kind"].alias("kind"), s["n"].alias("n"), s["base"].alias("base"), t.next_name(F.col("name")).alias("next"))
 
 
+#: Every name with every name, itself too.
+NAMES = "(select x.p_name as a, y.p_name as b from (select distinct p_name from part) x, (select distinct p_name from part) y)"
+#: So many names are paired with all in one task.
+DEALT = 256
+
+
+def _names(spark, sf):
+    """Pairs of all different names, null as one of them; their number is the square of the number of names."""
+    names = materialize(table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct())  # its true size decides how it is joined
+    return names.repartition(1 + names.count() // DEALT).crossJoin(names.withColumnRenamed("a", "b"))
+
+
 #: A name is paired with itself and this many that come next in its brand and type, both ways: pairs grow with the rows.
 NEXT = 3
 _AHEAD = ", ".join(f"lead(p_name, {n}) over w" for n in range(1, NEXT + 1))
-NAMES = f"""(select distinct unnest([x, y]) as a, unnest([y, x]) as b from (select p_name as x, unnest([p_name, {_AHEAD}]) as y from (select distinct p_brand, p_type, p_name from part) window w as (partition by p_brand, p_type order by p_name)) where y is not null)"""
+NEAR_NAMES = f"""(select distinct unnest([x, y]) as a, unnest([y, x]) as b from (select p_name as x, unnest([p_name, {_AHEAD}]) as y from (select distinct p_brand, p_type, p_name from part) window w as (partition by p_brand, p_type order by p_name)) where y is not null)"""
 
 
-def _names(spark, sf):
+def _near_names(spark, sf):
     """Pairs of near names of one brand and type."""
     p = table(spark, sf, "part").select("p_brand", "p_type", "p_name").distinct()
     w = W.partitionBy("p_brand", "p_type").orderBy("p_name")
@@ -162,9 +174,9 @@ def t8_common_parts(spark, sf):
     return _names(spark, sf).select("a", "b", t.common_prefix(a, b).alias("prefix"), t.common_suffix(a, b).alias("suffix"), t.strip_suffix(a, F.right(b, F.lit(4))).alias("stripped"), t.strip_prefix(a, F.lit("red")).alias("rest"))
 
 
-@query(f"select a, b, list_min(list_filter(range(0, length(a) + 1), lambda i: starts_with(b, a[i + 1:]))) as start, length(a) - list_min(list_filter(range(0, length(a) + 1), lambda i: starts_with(b, a[i + 1:]))) as length from {NAMES}")
+@query(f"select a, b, list_min(list_filter(range(0, length(a) + 1), lambda i: starts_with(b, a[i + 1:]))) as start, length(a) - list_min(list_filter(range(0, length(a) + 1), lambda i: starts_with(b, a[i + 1:]))) as length from {NEAR_NAMES}")
 def t9_find_overlap(spark, sf):
-    return _names(spark, sf).withColumn("o", t.find_overlap(F.col("a"), F.col("b"))).select("a", "b", F.col("o.start").cast("long").alias("start"), F.col("o.length").cast("long").alias("length"))
+    return _near_names(spark, sf).withColumn("o", t.find_overlap(F.col("a"), F.col("b"))).select("a", "b", F.col("o.start").cast("long").alias("start"), F.col("o.length").cast("long").alias("length"))
 
 
 @query("""select o_orderkey, '"' || replace(replace(replace(o_orderpriority || '"\\' || chr(10), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"' as quoted, '  a' || chr(10) || chr(10) || '  ' || o_orderstatus as indented, format('{:,}', cast(o_totalprice * 100 as bigint)) as thousands,
