@@ -129,6 +129,13 @@ def coalesce_positions(positions: DataFrame) -> DataFrame:
     return runs.where("not _border").select("grp", "start", "end", "value").union(border.select("grp.grp", "start", "end", "grp.value"))
 
 
+def coalesce_ranges(ranges: DataFrame) -> DataFrame:
+    """coalesce_positions(expand(ranges)) for ranges(grp, start, end, value), without a row for each position: a run of positions of
+    equal value is made of ranges that overlap or touch."""
+    runs = fuse(ranges.select(F.struct("grp", "value").alias("grp"), "start", "end"))
+    return runs.select("grp.grp", "start", "end", "grp.value")
+
+
 def covering_range(ranges: DataFrame) -> DataFrame:
     return ranges.where("start < end").groupBy("grp").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 

@@ -88,8 +88,8 @@ def r2_expand_days(spark, sf):
 @query(""", x as (select distinct grp, value, unnest(range(start, "end")) as d from order_spans)
 select grp, min(d) as start, max(d) + 1 as "end", value from (select *, d - row_number() over (partition by grp, value order by d) as r from x) group by grp, value, r""", "order_spans")
 def r3_coalesce_days(spark, sf):
-    """Long ranges, very many positions: each day of each order, coalesced by customer and priority."""
-    return i.coalesce_positions(i.expand(v.order_spans(spark, sf)).select("grp", "pos", "value"))
+    """Long ranges, very many positions: each day of each order, coalesced by customer and priority. Spans are fused, no row is made for a day."""
+    return i.coalesce_ranges(v.order_spans(spark, sf))
 
 
 @query('select grp, min(start) as start, max("end") as "end" from order_spans group by grp', "order_spans")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.semiring import BOOLEAN, COUNTING, MIN_PLUS, POLARITIES, POLARITY, polarity_plus, polarity_times
 from tessera.operators import components, graph, grouping, hierarchy, intervals, matrix, paths, repo, sweeps, text
 from tessera.plans import views
+from tessera.plans.registry import QUERIES
 from tessera.sources import files
 from tessera.streaming import jobs
 
@@ -269,6 +270,25 @@ def test_runs_go_on_over_the_borders_of_stretches(spark, monkeypatch):
     assert sorted((tuple(q) for q in got.select("grp", "value", "start", "end").collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("most", [3, 1_000_000])
+def test_ranges_coalesce_as_their_positions_do(spark, monkeypatch, most):
+    """Also ranges of more positions than could be told."""
+    monkeypatch.setattr(sweeps, "SPLIT", most)
+    r = random.Random(8)
+    rows = [(g, s, s + r.randrange(-2, 5), v) for g in (1, 2, None) for v in ("a", "b", None) for s in r.sample(range(-30, 60), 12)]
+    d = spark.createDataFrame([*rows, *rows[:9], (1, None, 5, "a"), (1, 5, None, "a")], "grp int, start long, end long, value string")
+    want = intervals.coalesce_positions(intervals.expand(d).select("grp", "pos", "value"))
+    got = intervals.coalesce_ranges(d)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    long = spark.createDataFrame([(1, 0, 1 << 40, "a"), (1, 1 << 40, 1 << 41, "a"), (1, 1 << 42, 1 << 43, "a"), (1, 5, 1 << 41, "b")], "grp int, start long, end long, value string")
+    assert sorted(map(tuple, intervals.coalesce_ranges(long).collect())) == [(1, 0, 1 << 41, "a"), (1, 5, 1 << 41, "b"), (1, 1 << 42, 1 << 43, "a")]
+
+
+def test_the_day_query_makes_no_row_for_a_day(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "expand", None)
+    assert QUERIES["r3_coalesce_days"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_unbounded_sets(spark):
     ray = lambda *rows: spark.createDataFrame(list(rows), "grp long, start long, end long")
     got = intervals.unbounded_union(ray((1, None, 3)), ray((1, 3, None)))
