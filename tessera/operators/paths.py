@@ -26,6 +26,15 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def _plain(edges: DataFrame) -> DataFrame:
+    """Every edge(src, dst) once, written; what comes from here is not written again."""
+    if getattr(edges, "_tessera_plain", False):
+        return edges
+    e = materialize(edges.select("src", "dst").distinct())
+    e._tessera_plain = True
+    return e
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, hops): nodes reachable from starts(id), the starts included with 0 hops."""
     e = materialize(edges.select("src", "dst").distinct())
@@ -185,7 +194,7 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     Chains of nodes with one target each are followed first, by doubling, and become one edge with their length; rounds and writes
     are those of the graph that is left (bottom_up)."""
-    e = materialize(edges.select("src", "dst").distinct())
+    e = _plain(edges)
     ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id")))
     ids = (ids if nodes is None else ids.union(nodes.select("id"))).distinct()
     out = materialize(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("to")))
@@ -317,16 +326,17 @@ def component_reach(edges: DataFrame, components: DataFrame, comp: Column) -> Da
     return c.join(reached, "comp").where(~((F.col("comp") == comp) & ~F.col("cyclic"))).select(F.col("node").alias("id"))
 
 
-def longest_paths(edges: DataFrame) -> DataFrame:
+def longest_paths(edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(src, dst, length, paths): for each reachable pair of an acyclic graph, (n, n) with length 0 included, the longest length
-    and the number of longest paths. ValueError on a cycle.
+    and the number of longest paths. ValueError on a cycle. ends(id): the pairs with these targets only.
 
     Sources are taken by level, from the sinks upwards: when a level is reached all pairs from the targets of its nodes are final, so
     one row for each pair is made, once, whatever the lengths of its walks."""
-    e = materialize(edges.select("src", "dst").distinct())
+    e = _plain(edges)
     at = materialize(topological_order(e))
     by_level = materialize(e.select("src", F.col("dst").alias("_m")).join(at.select(F.col("id").alias("src"), "level"), "src"))
-    own = at.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("length"), F.lit(1).cast("long").alias("paths"), "level")
+    own = at if ends is None else materialize(at.join(ends.select("id").distinct(), "id", "left_semi"))
+    own = own.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("length"), F.lit(1).cast("long").alias("paths"), "level")
     found = Grown(materialize(own.where("level = 0").drop("level")))
     for level in range(1, (at.agg(F.max("level")).first()[0] or 0) + 1):
         step = by_level.where(F.col("level") == level).select("src", "_m").join(found.view().withColumnRenamed("src", "_m"), "_m")
@@ -338,17 +348,29 @@ def longest_paths(edges: DataFrame) -> DataFrame:
 def longest_path_lists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst, path): all longest paths, as arrays of nodes, between the ends of pairs(src, dst) of an acyclic graph. ValueError on a cycle.
 
-    A path is followed from its end backwards to its source, over nodes that lie on a longest path only, so nothing is built in vain."""
-    e = materialize(edges.select("src", "dst").distinct())
-    far = materialize(longest_paths(e).select("src", "dst", "length"))
-    live = materialize(pairs.select("src", "dst").distinct().join(far, ["src", "dst"]).select("src", "dst", F.col("dst").alias("_at"), F.col("length").alias("_left"), F.array("dst").alias("path")))
-    found = []
-    while not live.isEmpty():
-        found.append(live.where("_left = 0").select("src", "dst", "path"))
-        step = live.where("_left > 0").join(e.select(F.col("src").alias("_to"), F.col("dst").alias("_at")), "_at")
-        step = step.join(far.select("src", F.col("dst").alias("_to"), F.col("length").alias("_n")), ["src", "_to"]).where("_n = _left - 1")
-        live = materialize(step.select("src", "dst", F.col("_to").alias("_at"), F.col("_n").alias("_left"), F.concat(F.array("_to"), "path").alias("path")))
-    return _union(found) if found else live.select("src", "dst", "path")
+    Lengths are found to the ends of pairs only. The edges that shorten them by one are walked from the longest pairs down, so only nodes on a
+    longest path of a pair are kept, then the paths are built up from their ends: those from a node are made once, for all sources above it."""
+    e = _plain(edges)
+    wanted = materialize(pairs.select("src", "dst").distinct())
+    far = materialize(longest_paths(e, wanted.select(F.col("dst").alias("id"))).select("src", "dst", "length"))
+    most = far.agg(F.max("length")).first()[0] or 0
+    ahead = far.select(F.col("src").alias("_to"), "dst", F.col("length").alias("_n"))
+    steps = e.withColumnRenamed("dst", "_to").join(ahead, "_to").join(far, ["src", "dst"]).where("_n = length - 1").select("src", "_to", "dst", "length")
+    steps = materialize(steps)
+    by_length = {n: steps.where(F.col("length") == n) for n in range(1, most + 1)}
+    every = far.join(wanted, ["src", "dst"], "left_anti").isEmpty()  # no node that leads to an end is left out
+    if not every:
+        asked = materialize(wanted.join(far, ["src", "dst"]))
+        last = asked.where(F.col("length") == most).select("src", "dst")
+        for n in range(most, 0, -1):
+            by_length[n] = materialize(by_length[n].join(last, ["src", "dst"], "left_semi"))
+            last = by_length[n].select(F.col("_to").alias("src"), "dst").union(asked.where(F.col("length") == n - 1).select("src", "dst"))
+    found = [far.where("length = 0").select("src", "dst", F.array("dst").alias("path"))]
+    for n in range(1, most + 1):
+        ahead = found[-1].withColumnRenamed("src", "_to")
+        paths = by_length[n].join(ahead, ["_to", "dst"]).select("src", "dst", F.concat(F.array("src"), "path").alias("path"))
+        found.append(materialize(paths) if n < most else paths)  # nothing is built on the longest ones
+    return _union(found) if every else _union(found).join(wanted, ["src", "dst"], "left_semi")
 
 
 #: Labellings of the index of reachability.

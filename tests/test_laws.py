@@ -436,6 +436,27 @@ def test_all_longest_paths(spark):
     assert got == want
 
 
+def test_path_lists_look_for_the_asked_ends_only(spark, monkeypatch):
+    """No row for each pair of nodes, and no path that is no part of an asked one."""
+    made = []
+
+    def counted(*args):
+        made.append(longest_paths(*args))
+        return made[-1]
+
+    longest_paths = paths.longest_paths
+    monkeypatch.setattr(paths, "longest_paths", counted)
+    lists = lambda e, *pairs: sorted((r["src"], r["dst"], r["path"]) for r in paths.longest_path_lists(e, spark.createDataFrame(list(pairs), "src long, dst long")).collect())
+    halves = edges_of(spark, {(n, d): 1 for n in range(2, 14) for d in (n // 2, n // 3) if d})
+    assert [x[2] for x in lists(halves, (12, 1), (7, 1))] == [[7, 2, 1], [7, 3, 1], [12, 4, 2, 1], [12, 6, 2, 1], [12, 6, 3, 1]]
+    assert made[0].count() == 13
+    layers = edges_of(spark, {(60 * k + i, 60 * (k - 1) + j): 1 for k in range(1, 6) for i in range(60) for j in range(60)})  # 60^4 paths from each node on top to each below
+    assert lists(layers, (125, 3), (65, 3), (3, 3), (3, 65)) == [(3, 3, [3]), (65, 3, [65, 3]), *((125, 3, [125, j, 3]) for j in range(60, 120))]
+    assert lists(edges_of(spark, {(2, 1): 1}), (1, 2), (9, 1)) == []
+    with pytest.raises(ValueError):
+        lists(edges_of(spark, {(5, 6): 1, (6, 5): 1, (2, 1): 1}), (2, 1))
+
+
 def test_negative_loops_force_nodes_to_infinity(spark):
     g = {(1, 2): 3, (2, 3): -4, (3, 1): 0, (3, 4): 1, (5, 1): 2}
     assert {r["id"] for r in paths.forced_to_infinity(edges_of(spark, g)).collect()} == {1, 2, 3}
